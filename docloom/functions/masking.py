@@ -31,13 +31,19 @@ def _mask(text: Column, term_map: Column) -> Column:
 
 
 def _numbered(c: Column, pattern: str, token, shown, original) -> Column:
-    """Replace the k-th match by ``shown(token, match)`` and remember ``original(match)``."""
-    parts, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    n = F.size(found)
+    """Replace the k-th match by ``shown(token, match)`` and remember ``original(match)``.
+
+    Parts and matches are zipped before the lambda: what a lambda reads from outside would
+    be computed again for every element.
+    """
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(F.split(c, pattern, -1).alias("part"), found.alias("match"))
     text = F.array_join(
         F.transform(
-            parts,
-            lambda p, i: F.when(i < n, F.concat(p, shown(token(i), F.get(found, i)))).otherwise(p),
+            pairs,
+            lambda x, i: F.when(
+                x["match"].isNotNull(), F.concat(x["part"], shown(token(i), x["match"]))
+            ).otherwise(x["part"]),
         ),
         "",
     )
@@ -153,7 +159,7 @@ def unmask_styles(c: ColumnOrName, term_map: ColumnOrName) -> Column:
     """
     def step(text: Column, e: Column) -> Column:
         div = F.concat(F.lit('<div class="'), e["token"], F.lit(r'"\s*>\s*</div>'))
-        placed = F.array_join(F.split(text, div, -1), e["original"])
+        placed = F.call_function("array_join", F.split(text, div, -1), e["original"])
         # a token is followed by a digit when it is only the head of a longer one
         bare = F.concat(e["token"], F.lit(r"(?!\d)"))
         return F.when(

@@ -43,23 +43,28 @@ def _block(section: Column, kind: Column, level: Column, style: Column, raw: Col
 
 def _blocks_of(section: str, html: str) -> Column:
     """Array of blocks of one HTML column; images follow the block that holds them."""
-    pieces = F.split(F.col(html), BLOCK_TAG, -1)
     tags = F.regexp_extract_all(F.col(html), F.lit(BLOCK_TAG), F.lit(0))
+    after = F.slice(F.split(F.col(html), BLOCK_TAG, -1), F.lit(2), F.length(html) + 1)
     none = F.lit(None).cast("int")
+    read = F.transform(
+        F.arrays_zip(tags.alias("tag"), after.alias("raw")),
+        lambda x: F.struct(
+            x["tag"].alias("tag"), x["raw"].alias("raw"),
+            F.lower(F.regexp_extract(x["tag"], KEPT_TAG, 1)).alias("kind")),
+    )
 
-    def rows(tag: Column, i: Column) -> Column:
-        raw = F.get(pieces, i + 1)
-        kind = F.lower(F.regexp_extract(tag, KEPT_TAG, 1))
+    def rows(x: Column) -> Column:
+        kind = x["kind"]
         level = F.when(F.startswith(kind, F.lit("h")), F.substring(kind, 2, 1).cast("int")).otherwise(none)
-        block = _block(F.lit(section), kind, level, _style(tag), raw, trim_ws(inline_text(raw)))
+        block = _block(F.lit(section), kind, level, _style(x["tag"]), x["raw"], trim_ws(inline_text(x["raw"])))
         images = F.transform(
-            F.regexp_extract_all(raw, F.lit(IMG_TAG), F.lit(0)),
+            F.regexp_extract_all(x["raw"], F.lit(IMG_TAG), F.lit(0)),
             lambda m: _block(F.lit(section), F.lit("img"), none, _style(m), m,
                              F.regexp_extract(m, r"""(?i)\ssrc=["']([^"']*)["']""", 1)),
         )
         return F.when(kind != "", F.concat(F.array(block), images)).otherwise(images)
 
-    return F.flatten(F.transform(tags, rows))
+    return F.flatten(F.transform(read, rows))
 
 
 def html_blocks(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -173,10 +178,9 @@ def table_cells(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -
     docs = df.where(holds).select(
         id_col, F.regexp_replace(F.col(html_col), NOISE, "").alias("__html")).repartition(id_col)
     tags = F.regexp_extract_all(F.col("__html"), F.lit(TABLE_TAG), F.lit(0))
-    pieces = F.split(F.col("__html"), TABLE_TAG, -1)
+    after = F.slice(F.split(F.col("__html"), TABLE_TAG, -1), F.lit(2), F.length("__html") + 1)
     tokens = docs.select(id_col, F.posexplode(
-        F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.get(pieces, i + 1).alias("piece")))
-    ).alias("pos", "t")).select(id_col, "pos", "t.*")
+        F.arrays_zip(tags.alias("tag"), after.alias("piece"))).alias("pos", "t")).select(id_col, "pos", "t.*")
 
     name = F.lower(F.regexp_extract("tag", r"(?i)^</?([a-z]+)", 1))
     opening = ~F.startswith(F.col("tag"), F.lit("</"))
@@ -199,7 +203,7 @@ def table_cells(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -
     )
     cells = grouped.groupBy(id_col, "table_no", "row_seq", "grp").agg(
         F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("body"),
+            F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("body"),
         F.max("is_cell").alias("is_cell"),
         F.min_by("name", "pos").alias("kind"), F.min_by("tag", "pos").alias("tag"),
     ).where("is_cell")

@@ -29,8 +29,8 @@ def _base64_body(data):
     Characters outside the alphabet are skipped. ``=`` counts only after two or three
     letters of a group of four; when it completes the group the rest is ignored.
     """
-    pieces = F.split(F.regexp_replace(data, r"[^A-Za-z0-9+/=]", ""), "=", -1)
-    n = F.size(pieces)
+    clean = F.regexp_replace(data, r"[^A-Za-z0-9+/=]", "")
+    pieces = F.regexp_extract_all(clean, F.lit("[^=]*=|[^=]+"), F.lit(0))
 
     def state(text, pads, done):
         return F.struct(text.alias("text"), pads.alias("pads"), done.alias("done"))
@@ -43,7 +43,8 @@ def _base64_body(data):
         done = p["padded"] & (group >= 2) & (group + pads >= 4)
         return F.when(acc["done"], acc).otherwise(state(text, pads, done))
 
-    marked = F.transform(pieces, lambda p, i: F.struct(p.alias("piece"), (i < n - 1).alias("padded")))
+    marked = F.transform(pieces, lambda p: F.struct(
+        F.replace(p, F.lit("="), F.lit("")).alias("piece"), F.endswith(p, F.lit("=")).alias("padded")))
     return F.aggregate(marked, state(F.lit(""), F.lit(0), F.lit(False)), step)
 
 

@@ -9,8 +9,8 @@ from docloom.operators.routing import normalize_language, uses_model
 
 
 def encode_outputs(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Binary to base64 text; a rendering that failed is null and stays null."""
-    return df.withColumn(out, F.base64(column))
+    """Binary to base64 text on one line; a rendering that failed is null and stays null."""
+    return df.withColumn(out, F.translate(F.base64(column), "\r\n", ""))
 
 
 def result_rows(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -55,11 +55,14 @@ def write_chunks(events: DataFrame, path: str, checkpoint: str):
     )
 
 
-def track_arrivals(chunks: DataFrame, forget_after_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def track_arrivals(chunks: DataFrame, late_by: str = "1 day",
+                   forget_after_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """``(doc_id, bucket, arrived, expected, chunk_total)`` after each trigger.
 
     A repeated index changes nothing. A finished bucket drops its indices and keeps an
-    empty mark for ``forget_after_ms``, so a late repeat cannot open it again.
+    empty mark for ``forget_after_ms``, so a late repeat cannot open it again; an open one
+    waits without limit. Time is when a chunk entered the chunk table, which a stream over
+    that table sees in order, so ``late_by`` has a wide margin.
     """
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState):
         doc_id, bucket = key
@@ -67,25 +70,26 @@ def track_arrivals(chunks: DataFrame, forget_after_ms: int = 24 * 3600 * 1000) -
             state.remove()
             return
         seen, finished = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
-        total = 0
+        total, newest = 0, 0
         for pdf in batches:
             seen.update(pdf["chunk_index"].tolist())
             total = max(total, int(pdf["chunk_total"].max()))
+            newest = max(newest, int(pdf["received_at"].max().timestamp() * 1000))
         expected = min(BUCKET, total - bucket * BUCKET)
         finished = finished or len(seen) >= expected
         arrived = expected if finished else len(seen)
         state.update(([] if finished else sorted(seen), finished))
         if finished:
-            state.setTimeoutDuration(forget_after_ms)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + forget_after_ms)
         yield pd.DataFrame({"doc_id": [doc_id], "bucket": [bucket], "arrived": [arrived],
                             "expected": [expected], "chunk_total": [total]})
 
-    keyed = chunks.select(
+    keyed = chunks.withWatermark("received_at", late_by).select(
         "doc_id", F.floor(F.col("chunk_index") / BUCKET).cast("long").alias("bucket"),
-        "chunk_index", "chunk_total")
+        "chunk_index", "chunk_total", "received_at")
     return keyed.groupBy("doc_id", "bucket").applyInPandasWithState(
         update, PROGRESS_SCHEMA, "seen array<long>, finished boolean", "update",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def write_progress(progress: DataFrame, path: str, checkpoint: str):

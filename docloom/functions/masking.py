@@ -1,8 +1,8 @@
 """Hide what a translator must not touch behind numbered tokens, and bring it back.
 
 A mask is a struct ``(text, term_map)``; ``term_map`` is an array of
-``(token, original)`` in the order the tokens were made. Restoring walks it
-backwards, so a token never swallows a longer one and nested tokens resolve.
+``(token, original)`` in the order the tokens were made. Restoring reads whole tokens,
+so ``…_1`` never damages ``…_10``, and takes brackets before the terms inside them.
 """
 
 from __future__ import annotations
@@ -143,12 +143,43 @@ def mask_protected(c: ColumnOrName, terms: list[str] | None = None, prefix: str
     return F.get(both, F.lit(0))
 
 
+BRACKET_TOKEN = r"__R?BRACKET_[0-9]+__"
+TERM_TOKEN = r"__R?TERM_[0-9]+A?__"
+IMAGE_TOKEN = r"IMG_PLACEHOLDER_[0-9]+"
+STYLE_TOKEN = r"STYLE_PLACEHOLDER_[0-9]+"
+STYLE_DIV = r'<div class="STYLE_PLACEHOLDER_[0-9]+"\s*>\s*</div>'
+
+
+def _restore(c: Column, entries: Column, pattern: str, shown=lambda original: original,
+             token_of=lambda match: match) -> Column:
+    """One pass over the text: every match of ``pattern`` whose token is known is replaced.
+
+    A replace for each token would read a long text once for each of its tokens. Text and
+    map are bound in a struct first, so the lambda does not compute them per match.
+    """
+    bound = F.array(F.struct(
+        F.arrays_zip(F.split(c, pattern, -1).alias("part"),
+                     F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("match")).alias("pairs"),
+        F.map_from_entries(entries).alias("known")))
+
+    def text(b: Column) -> Column:
+        def one(x: Column) -> Column:
+            original = F.try_element_at(b["known"], token_of(x["match"]))
+            return F.concat(x["part"], F.coalesce(shown(original), x["match"], F.lit("")))
+
+        return F.array_join(F.transform(b["pairs"], one), "")
+
+    return F.get(F.transform(bound, text), F.lit(0))
+
+
 def unmask(c: ColumnOrName, term_map: ColumnOrName) -> Column:
-    """Put every original back, last token first."""
-    return F.aggregate(
-        F.reverse(col(term_map)), col(c),
-        lambda text, e: F.replace(text, e["token"], e["original"]),
-    )
+    """Put every original back: brackets first, as they may hold term tokens, then terms."""
+    entries = col(term_map)
+    return _restore(_restore(col(c), entries, BRACKET_TOKEN), entries, TERM_TOKEN)
+
+
+def unmask_images(c: ColumnOrName, term_map: ColumnOrName) -> Column:
+    return _restore(col(c), col(term_map), IMAGE_TOKEN)
 
 
 def unmask_styles(c: ColumnOrName, term_map: ColumnOrName) -> Column:
@@ -157,21 +188,27 @@ def unmask_styles(c: ColumnOrName, term_map: ColumnOrName) -> Column:
     When a translator damaged the div but the bare token survived, the token is
     deleted and the style block goes to the front.
     """
-    def step(text: Column, e: Column) -> Column:
-        div = F.concat(F.lit('<div class="'), e["token"], F.lit(r'"\s*>\s*</div>'))
-        placed = F.call_function("array_join", F.split(text, div, -1), e["original"])
-        # a token is followed by a digit when it is only the head of a longer one
-        bare = F.concat(e["token"], F.lit(r"(?!\d)"))
-        return F.when(
-            F.regexp_like(placed, bare),
-            F.concat(e["original"], F.array_join(F.split(placed, bare, -1), "")),
-        ).otherwise(placed)
+    entries = col(term_map)
+    placed = _restore(
+        col(c), entries, STYLE_DIV, token_of=lambda m: F.regexp_extract(m, STYLE_TOKEN, 0))
+    bound = F.array(F.struct(
+        placed.alias("text"), F.regexp_extract_all(placed, F.lit(STYLE_TOKEN), F.lit(0)).alias("bare")))
 
-    return F.aggregate(F.reverse(col(term_map)), col(c), step)
+    def text(b: Column) -> Column:
+        moved = F.filter(entries, lambda e: F.array_contains(b["bare"], e["token"]))
+        rest = _restore(b["text"], entries, STYLE_TOKEN, shown=lambda o: F.when(o.isNotNull(), ""))
+        return F.when(F.size(b["bare"]) == 0, b["text"]).otherwise(
+            F.concat(F.array_join(F.transform(moved, lambda e: e["original"]), ""), rest))
 
+    return F.get(F.transform(bound, text), F.lit(0))
 
-def unmask_images(c: ColumnOrName, term_map: ColumnOrName) -> Column:
-    return unmask(c, term_map)
+
+def terms_pattern(terms: list[str] | None = None) -> str:
+    """All terms as one pattern, in list order; a look at the first letter rejects most
+    positions at once."""
+    terms = PROTECTED_TERMS if terms is None else terms
+    first = "".join(sorted({re.escape(t[0]) for t in terms}))
+    return f"(?=[{first}])(?:{'|'.join(re.escape(t) for t in terms)})"
 
 
 def term_hits(c: ColumnOrName, terms: list[str] | None = None) -> Column:

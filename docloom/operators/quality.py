@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
-from docloom.functions.masking import term_hits
-from docloom.functions.text import col, replace_all, strip_code_fence, trim_ws
+from docloom.functions.masking import terms_pattern
+from docloom.functions.text import col, strip_code_fence, trim_ws
 from docloom.operators.memory import HOT_USES, apply_memory, hot_keys
 from docloom.operators.policy import RetryPolicy
 from docloom.operators.translate import translate_segments
@@ -17,28 +17,24 @@ from docloom.operators.translate import translate_segments
 TOKEN = r"__R?(?:TERM|BRACKET)_[0-9]+A?__|\[\[[^\n]*?\]\]|(?:STYLE|IMG)_PLACEHOLDER_[0-9]+"
 NUMBER = r"[0-9]+(?:[.,/:\-][0-9]+)*%?"
 WORD = r"[\p{L}\p{M}]+"
-LATIN_WORD = r"^\p{IsLatin}+$"
-
-
-def visible_words(c: Column, terms: list[str] | None = None) -> Column:
-    """Words left once tags, tokens, protected terms and numbers are taken out."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), TOKEN, " ")
-    bare = replace_all(bare, [(t, " ") for t in (fixed.PROTECTED_TERMS if terms is None else terms)])
-    return F.regexp_extract_all(F.regexp_replace(bare, NUMBER, " "), F.lit(WORD), F.lit(0))
+LATIN_WORD = r"(?<![\p{L}\p{M}])\p{IsLatin}+(?![\p{L}\p{M}])"
 
 
 def is_missed(original: str, translated: str, threshold: float = 0.5,
               terms: list[str] | None = None) -> Column:
-    """True where a segment still reads as the source language."""
-    words = visible_words(F.col(translated), terms)
+    """True where a segment still reads as the source language: it did not change, or more
+    than ``threshold`` of its words are Latin. Tags, tokens, protected terms and numbers
+    do not count as words."""
+    aside = f"<[^>]*>|{TOKEN}|{terms_pattern(terms)}|{NUMBER}"
+    bare = F.regexp_replace(F.col(translated), aside, " ")
 
-    def judge(w: Column) -> Column:
-        latin = F.size(F.filter(w, lambda x: F.regexp_like(x, F.lit(LATIN_WORD))))
-        same = F.col(original) == F.col(translated)
-        return (F.size(w) > 0) & (same | (latin / F.size(w) > threshold))
+    def judge(b: Column) -> Column:
+        words = F.regexp_count(b, F.lit(WORD))
+        latin = F.regexp_count(b, F.lit(LATIN_WORD))
+        return (words > 0) & ((F.col(original) == F.col(translated)) | (latin > threshold * words))
 
-    # the word list is bound once, not computed for each use
-    return F.get(F.transform(F.array(words), judge), F.lit(0))
+    # the text is bound once, not computed for each count
+    return F.get(F.transform(F.array(bare), judge), F.lit(0))
 
 
 def missed_segments(df: DataFrame, original: str = "text", translated: str = "translated",
@@ -109,11 +105,9 @@ def check_structure(df: DataFrame, original: str = "original_html", translated:
 
 
 def preserved_tokens(c: Column, terms: list[str] | None = None) -> Column:
-    """What must survive, with repeats: tokens, numbers, check glyphs and protected terms."""
-    pattern = f"{TOKEN}|{NUMBER}|[{fixed.CHECK_GLYPHS}]"
-    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    held = F.flatten(F.transform(term_hits(c, terms), lambda h: F.array_repeat(h["term"], h["n"])))
-    return F.array_sort(F.concat(found, held))
+    """What must survive, with repeats: tokens, protected terms, numbers and check glyphs."""
+    pattern = f"{TOKEN}|{terms_pattern(terms)}|{NUMBER}|[{fixed.CHECK_GLYPHS}]"
+    return F.array_sort(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
 
 
 def check_preserved(df: DataFrame, original: str = "text", translated: str = "translated",

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed import CHECK_GLYPHS, PROTECTED_TERMS
 from docloom.operators import quality
 from docloom.operators.segment import segments
-from docloom.plans.common import SEGS, documents, sql_text
+from docloom.plans.common import SEGS, documents, pages
 from docloom.plans.registry import query
-from docloom.sources.requests import read_table
 
 # translations of different quality: none, none in every second line, all letters, a few
 _TRANSLATED = (
@@ -17,15 +18,13 @@ _TRANSLATED = (
     "WHEN 'de' THEN concat('अनुवाद __TERM_3__ [[Key Word]] GST 12/03 ', substr(text, 1, 0), 'समाप्त') "
     "ELSE concat('एक दो तीन ', text) END"
 )
-_BARE = "regexp_replace(regexp_replace(translated, '<[^>]*>', ' ', 'g'), '{token}', ' ', 'g')".format(
-    token=quality.TOKEN.replace("'", "''"))
-for _t in PROTECTED_TERMS:
-    _BARE = f"replace({_BARE}, {sql_text(_t)}, ' ')"
-_WORDS = f"regexp_extract_all(regexp_replace({_BARE}, '{quality.NUMBER}', ' ', 'g'), '[\\p{{L}}\\p{{M}}]+')"
+_TERMS = "|".join(re.escape(t) for t in PROTECTED_TERMS)
+_BARE = f"regexp_replace(translated, '<[^>]*>|{quality.TOKEN}|{_TERMS}|{quality.NUMBER}', ' ', 'g')"
 _JUDGED = f"""
 SELECT *, len(words) > 0 AND (text = translated OR
   len(list_filter(words, lambda w: regexp_full_match(w, '\\p{{Latin}}+'))) / len(words) > 0.5) AS missed
-FROM (SELECT *, {_WORDS} AS words FROM (SELECT doc_id, seg_no, text, {_TRANSLATED} AS translated FROM ({SEGS})))
+FROM (SELECT *, regexp_extract_all({_BARE}, '[\\p{{L}}\\p{{M}}]+') AS words
+      FROM (SELECT doc_id, seg_no, text, {_TRANSLATED} AS translated FROM ({SEGS})))
 """
 
 
@@ -88,9 +87,9 @@ SELECT page_id, {_equal(_TAGS)} AS same_tags, {_equal(_COUNT, tag="tr")} AS same
 FROM (SELECT page_id, html AS original_html, {_DAMAGED} AS html FROM pages)
 """)
 def check_structure(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages").selectExpr(
+    html = pages(spark, sf_dir).selectExpr(
         "page_id", "html AS original_html", f"{_DAMAGED} AS html")
-    return quality.check_structure(pages).drop("html", "original_html")
+    return quality.check_structure(html).drop("html", "original_html")
 
 
 # tokens put into the lines, and a translation that loses or changes some
@@ -102,18 +101,15 @@ _LOSSY = (
     "CASE WHEN length(text) > 250 THEN replace(tokened, '2024', '2025') "
     "WHEN length(text) > 150 THEN replace(tokened, ' GST ☑', '') ELSE concat('नया ', tokened) END"
 )
-_FOUND = "regexp_extract_all({x}, '%s|%s|[%s]')" % (quality.TOKEN, quality.NUMBER, CHECK_GLYPHS)
-# of the protected terms only this one is in the lines; the others occur in no text here
-_HELD = "list_concat({f}, list_transform(range((length({x}) - length(replace({x}, 'GST', ''))) // 3), lambda i: 'GST'))"
 
 
 def _held(x: str) -> str:
-    return f"list_sort({_HELD.format(f=_FOUND.format(x=x), x=x)})"
+    return f"list_sort(regexp_extract_all({x}, '{quality.TOKEN}|{_TERMS}|{quality.NUMBER}|[{CHECK_GLYPHS}]'))"
 
 
 @query("check_preserved", f"""
 WITH t AS (SELECT doc_id, seg_no, text, {_TOKENS} AS tokened
-           FROM (SELECT doc_id, seg_no, replace(text, 'Co.', 'Ko.') AS text FROM ({SEGS}))),
+           FROM ({SEGS})),
 p AS (SELECT doc_id, seg_no, {_held("tokened")} AS o, {_held(f"({_LOSSY})")} AS n FROM t)
 SELECT doc_id, seg_no, o = n AS preserved,
   array_to_string(list_sort(list_filter(list_distinct(o), lambda x:
@@ -121,8 +117,7 @@ SELECT doc_id, seg_no, o = n AS preserved,
 FROM p
 """)
 def check_preserved(spark, sf_dir):
-    segs = segments(documents(spark, sf_dir)).withColumn("text", F.replace("text", F.lit("Co."), F.lit("Ko.")))
-    pairs = segs.selectExpr("doc_id", "seg_no", "text", f"{_TOKENS} AS tokened").selectExpr(
+    pairs = segments(documents(spark, sf_dir)).selectExpr("doc_id", "seg_no", "text", f"{_TOKENS} AS tokened").selectExpr(
         "doc_id", "seg_no", "tokened", f"{_LOSSY} AS translated")
     checked = quality.check_preserved(pairs, "tokened")
     return checked.select("doc_id", "seg_no", "preserved", F.array_join(F.array_sort("lost"), " ").alias("lost"))
@@ -144,7 +139,7 @@ SELECT page_id, concat_ws('; ', CASE WHEN language IS NULL THEN 'missing languag
 FROM (SELECT page_id, html AS original_html, {_RESULT} AS html, {_LANGUAGE} AS language, {_ENCODED} AS pdf FROM pages)
 """)
 def check_result(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "pages").selectExpr(
+    rows = pages(spark, sf_dir).selectExpr(
         "page_id", "html AS original_html", f"{_RESULT} AS html", f"{_LANGUAGE} AS language", f"{_ENCODED} AS pdf")
     return quality.check_result(rows, encoded=("pdf",)).select(
         "page_id", F.array_join("violations", "; ").alias("violations"))

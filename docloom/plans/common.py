@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.functions.fixed import WHITE_SPACE
-from docloom.sources.requests import read_table
+from docloom.sources.requests import read_table, spread
 
 # request fields that the documents table does not have, from its language and source
 TARGET = (
@@ -28,7 +28,11 @@ REQUESTS = (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "pages"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from docloom.functions.fixed import PROTECTED_TERMS
 from docloom.functions.text import escape_html
 from docloom.operators import html as H
 from docloom.operators.assemble import assemble
-from docloom.plans.common import WS, documents, sql_text
+from docloom.plans.common import WS, documents, pages, sql_text
 from docloom.plans.registry import query
 from docloom.sources.requests import read_table
 
@@ -40,7 +40,7 @@ _IMAGE_SQL = _numbered_sql(
 
 
 def _pages(spark, sf_dir, source="html"):
-    return read_table(spark, sf_dir, "pages").selectExpr("page_id", f"{source} AS html")
+    return pages(spark, sf_dir).selectExpr("page_id", f"{source} AS html")
 
 
 @query("mask_styles", f"SELECT page_id, html, len(found) AS masked, found[1] AS first_style FROM ({_STYLE_SQL})")

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed, text
 from docloom.operators import routing
-from docloom.plans.common import REQUESTS, SEGS, WS, documents, requests, sql_text
+from docloom.plans.common import REQUESTS, SEGS, WS, documents, pages, requests, sql_text
 from docloom.plans.registry import query
 from docloom.operators.segment import segments
 from docloom.sources import requests as req
-from docloom.sources.requests import read_table
 
 
 def _case(column: str, table: dict[str, str], other: str) -> str:
@@ -114,7 +113,7 @@ SELECT page_id, url, file_type, CASE WHEN file_type IS NULL THEN 400 ELSE 200 EN
   CASE WHEN file_type IS NULL THEN {sql_text(fixed.BAD_URL_TYPE)} END AS detail FROM k
 """)
 def detect_file_type(spark, sf_dir):
-    urls = read_table(spark, sf_dir, "pages").selectExpr("page_id", f"{_URL} AS url", f"{_TYPE} AS content_type")
+    urls = pages(spark, sf_dir).selectExpr("page_id", f"{_URL} AS url", f"{_TYPE} AS content_type")
     return req.detect_file_type(urls).select("page_id", "url", "file_type", "status", "detail")
 
 
@@ -190,8 +189,8 @@ def unescape_html(spark, sf_dir):
 SELECT page_id, replace(replace(replace(html, '&#39;', ''''), '&quot;', '"'), '&amp;', '&') AS html FROM pages
 """)
 def decode_entities(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
-    return pages.select("page_id", text.decode_entities("html").alias("html"))
+    html = pages(spark, sf_dir)
+    return html.select("page_id", text.decode_entities("html").alias("html"))
 
 
 @query("extract_body", """
@@ -200,14 +199,14 @@ SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<body[^>]*>([\\s\\S]*?)</bod
 """)
 def extract_body(spark, sf_dir):
     """Pages without a closing body tag come back whole."""
-    pages = read_table(spark, sf_dir, "pages")
-    return pages.select("page_id", text.extract_body("html").alias("body"))
+    html = pages(spark, sf_dir)
+    return html.select("page_id", text.extract_body("html").alias("body"))
 
 
 @query("strip_tags", "SELECT page_id, regexp_replace(html, '<[^>]*>?', ' ', 'g') AS text FROM pages")
 def strip_tags(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
-    return pages.select("page_id", text.strip_tags("html").alias("text"))
+    html = pages(spark, sf_dir)
+    return html.select("page_id", text.strip_tags("html").alias("text"))
 
 
 _GLYPHS = "".join(fixed.SYMBOLS_FROM)

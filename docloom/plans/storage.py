@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators.routing import file_type_of_name
-from docloom.plans.common import REQUESTS, documents, requests
+from docloom.plans.common import REQUESTS, documents, pages, requests
 from docloom.plans.registry import query
 from docloom.session import work_dir
 from docloom.sources import corrections as C
@@ -118,9 +118,9 @@ SELECT page_id, CASE WHEN contains(html, '</body>') THEN to_base64(encode(html))
 """)
 def encode_outputs(spark, sf_dir):
     """A page without an end stands for a rendering that failed."""
-    pages = read_table(spark, sf_dir, "pages").select(
+    html = pages(spark, sf_dir).select(
         "page_id", F.when(F.contains("html", F.lit("</body>")), F.encode("html", "UTF-8")).alias("content"))
-    return R.encode_outputs(pages, "content", "html_b64").select("page_id", "html_b64")
+    return R.encode_outputs(html, "content", "html_b64").select("page_id", "html_b64")
 
 
 _RESULTS = f"""

@@ -13,6 +13,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input of few splits; a large input is left as it is.
+
+    A file of one row group is one task, whatever its text costs to work on. With more
+    splits than cores this adds nothing, not even an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def accept_uploads(df: DataFrame, extension: str | None = None, filename: str = "filename") -> DataFrame:
     """Add ``file_type``, ``status`` and ``detail``; one extension, or both when None."""
     kind = file_type_of_name(filename)

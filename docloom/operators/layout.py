@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import escape_html, map_symbols
-from docloom.operators.assemble import assemble
-from docloom.operators.ordering import running_sums, with_previous
+from docloom.operators.assemble import assemble, assemble_parts
+from docloom.operators.ordering import number_islands, number_rows, running_sums
 
 
 def assign_pages(blocks: DataFrame, id_col: str, order: str, breaks: Column) -> DataFrame:
@@ -20,10 +20,8 @@ def assign_pages(blocks: DataFrame, id_col: str, order: str, breaks: Column) ->
 
 def list_runs(blocks: DataFrame, id_col: str, order: str, kind: str = "list_kind") -> DataFrame:
     """Add ``list_no`` (1, 2, …; null outside lists): adjacent items of one kind are a list."""
-    linked = with_previous(blocks, id_col, order, {"__before": kind})
-    starts = F.col(kind).isNotNull() & ~F.col(kind).eqNullSafe(F.col("__before"))
-    counted = running_sums(linked, id_col, order, {"list_no": F.when(starts, 1).otherwise(0)})
-    return counted.withColumn("list_no", F.when(F.col(kind).isNotNull(), F.col("list_no"))).drop("__before")
+    counted = number_islands(blocks, id_col, order, kind, "list_no", count_null=False)
+    return counted.withColumn("list_no", F.when(F.col(kind).isNotNull(), F.col("list_no")))
 
 
 def _rule(name: str, value: Column) -> Column:
@@ -111,9 +109,7 @@ def cell_spans(cells: DataFrame, keys: list[str], row: str = "row_no", col: str
     left likewise. Rows of one column are ranked in blocks, so a table of any length works.
     """
     ids = keys + [col]
-    above = with_previous(cells, ids, row, {"__above": "cell_id"})
-    starts = ~F.col("cell_id").eqNullSafe(F.col("__above"))
-    runs = running_sums(above, ids, row, {"__run": F.when(starts, 1).otherwise(0)})
+    runs = number_islands(cells, ids, row, "cell_id", "__run")
     # a merged run folds map-side; only its first row carries the cell's own values
     own = [c for c in cells.columns if c not in keys + [row, col]]
     tops = runs.groupBy(*ids, "__run").agg(
@@ -145,15 +141,9 @@ def render_cells(cells: DataFrame, text: str = "text", shading: str = "shading",
 
 def render_pages(blocks: DataFrame, id_col: str, page: str = "page_no", order: str = "block_no",
                  html: str = "html", header: str = "header_html", footer: str = "footer_html") -> DataFrame:
-    """``(id, page_no, html)``: blocks of a page between the document's header and footer."""
-    body = blocks.groupBy(id_col, page).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(html).alias("p")))).alias("__b"),
-        F.first(header, ignorenulls=True).alias("__h"), F.first(footer, ignorenulls=True).alias("__f"),
-    )
-    return body.select(
-        id_col, page,
-        F.concat(
-            F.lit('<div class="page">'), F.coalesce("__h", F.lit("")),
-            F.array_join(F.transform("__b", lambda x: x["p"]), ""),
-            F.coalesce("__f", F.lit("")), F.lit("</div>")).alias("html"),
-    )
+    """``(id, page_no, part_no, part_total, html)``: the blocks of a page between the
+    document's header and footer. A page of very many blocks comes in several parts."""
+    placed = number_rows(blocks, [id_col, page], order, "__i", total="__n")
+    opening = F.concat(F.lit('<div class="page">'), F.coalesce(header, F.lit("")))
+    closing = F.concat(F.coalesce(footer, F.lit("")), F.lit("</div>"))
+    return assemble_parts(placed, [id_col, page], "__i", "__n", html, header=opening, footer=closing)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.ordering import with_extremes
+
 SALTS = 64
 HOT_USES = 1_000_000
 
@@ -69,14 +71,11 @@ def place_in_runs(runs: DataFrame, keys: list[str], translated: str = "translate
     """The first text run of a paragraph takes the whole translation, its other text runs
     become empty, runs with drawings stay. A paragraph of drawings only keeps them; its
     translation is added as one more run. A null translation changes nothing.
-
-    A window over one paragraph: ``keys`` name the paragraph, not the document.
+    ``keys`` name the paragraph.
     """
-    w = Window.partitionBy(*keys)
     is_text = ~F.coalesce(F.col(drawing), F.lit(False))
-    first = F.min(F.when(is_text, F.col(order))).over(w)
-    last = F.max(order).over(w)
-    placed = runs.withColumn("__first", first).withColumn("__last", last)
+    placed = with_extremes(
+        runs, keys, order, {"__first": F.when(is_text, F.col(order))}, {"__last": F.col(order)})
     new = (
         F.when(F.col(translated).isNull() | ~is_text, F.col(text))
         .when(F.col(order) == F.col("__first"), F.col(translated)).otherwise("")

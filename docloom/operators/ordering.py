@@ -63,30 +63,60 @@ def number_rows(
     return ranked.withColumn(out, F.col(out) - 1)
 
 
-def with_previous(
-    df: DataFrame, ids: str | list[str], order: str, columns: dict[str, str],
-    is_first: str | None = None, block: int = BLOCK,
-) -> DataFrame:
-    """Value of the preceding row of the same document, for each ``{out: column}``."""
+def with_extremes(df: DataFrame, ids: str | list[str], order: str,
+                  mins: dict[str, Column], maxs: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """Add the least and greatest values of a group to each of its rows."""
     ids = _as_list(ids)
     keys = ids + [_BLK]
     blocked = with_block(df, order, block)
-    w = Window.partitionBy(*keys).orderBy(order)
-    wb = Window.partitionBy(*ids).orderBy(_BLK)
+    whole = Window.partitionBy(*ids)
+    heads = blocked.groupBy(*keys).agg(
+        *[F.min(e).alias(n) for n, e in mins.items()], *[F.max(e).alias(n) for n, e in maxs.items()])
+    extremes = heads.select(
+        *keys, *[F.min(n).over(whole).alias(n) for n in mins], *[F.max(n).over(whole).alias(n) for n in maxs])
+    return blocked.join(extremes, keys).select(*df.columns, *mins, *maxs)
+
+
+def number_islands(df: DataFrame, ids: str | list[str], order: str, value: str, out: str,
+                   count_null: bool = True, block: int = BLOCK) -> DataFrame:
+    """Number the runs of equal adjacent values of a document: 1, 2, …
 
-    last = F.max_by(F.struct(*[F.col(c).alias(o) for o, c in columns.items()]), F.col(order))
-    tails = (
-        blocked.groupBy(*keys).agg(last.alias("__last"))
-        .select(*keys, F.lag("__last").over(wb).alias("__tail"))
+    A run may cross blocks: a block starts a new run only when its first value differs from
+    the last value of the block before. With ``count_null=False`` runs of null separate the
+    others but take no number.
+    """
+    ids = _as_list(ids)
+    keys = ids + [_BLK]
+    in_block = Window.partitionBy(*keys).orderBy(order)
+    blocks = Window.partitionBy(*ids).orderBy(_BLK)
+    here = F.struct(F.col(value).alias("v"))
+    counts = F.lit(True) if count_null else F.col(value).isNotNull()
+
+    changed = F.col("__prev").isNotNull() & ~F.col("__prev.v").eqNullSafe(F.col(value)) & counts
+    local = (
+        with_block(df, order, block)
+        .withColumn("__prev", F.lag(here).over(in_block))
+        .withColumn("__in", F.sum(F.when(changed, 1).otherwise(0)).over(
+            in_block.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    here = F.struct(*[F.col(c).alias(o) for o, c in columns.items()])
-    local = blocked.withColumn("__prev", F.lag(here).over(w))
-    joined = local.join(tails, keys).withColumn("__prev", F.coalesce("__prev", "__tail"))
-    extra = [F.col("__prev").isNull().alias(is_first)] if is_first else []
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[F.col("__prev")[o].alias(o) for o in columns], *extra,
+    # placed by (ids, block) already, so this grouping moves nothing
+    heads = local.groupBy(*keys).agg(
+        F.min_by(here, order).alias("__first"), F.max_by(here, order).alias("__last"),
+        F.max("__in").alias("__n"))
+    before = F.lag("__last").over(blocks)
+    starts = ~F.col("__first").eqNullSafe(F.col("__before"))
+    if not count_null:
+        starts = starts & F.col("__first.v").isNotNull()
+    offsets = (
+        heads.withColumn("__before", before)
+        .withColumn("__start", F.when(starts, 1).otherwise(0))
+        .select(*keys, (
+            F.sum("__start").over(blocks.rowsBetween(Window.unboundedPreceding, 0))
+            + F.coalesce(F.sum("__n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ).alias("__off"))
     )
+    return local.join(offsets, keys).select(
+        *[F.col(c) for c in df.columns], (F.col("__in") + F.col("__off")).cast("long").alias(out))
 
 
 def join_in_order(order: str, part: str, sep: str = "") -> Column:

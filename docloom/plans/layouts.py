@@ -30,7 +30,7 @@ def assign_pages(spark, sf_dir):
 
 
 @query("render_pages", f"""
-SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, '<div class="page"><div class="docx-header">' || conv_id
+SELECT conv_id, CAST(page_no AS BIGINT) AS page_no, 0 AS part_no, 1 AS part_total, '<div class="page"><div class="docx-header">' || conv_id
   || '</div>' || string_agg('<p>' || text || '</p>', '' ORDER BY turn)
   || '<div class="docx-footer">end</div></div>' AS html
 FROM ({_PAGED}) GROUP BY conv_id, page_no

@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import masking
 from docloom.functions.fixed import PROTECTED_TERMS
-from docloom.functions.text import escape_html
+from docloom.functions.text import escape_html, trim_ws
 from docloom.operators import html as H
-from docloom.operators.assemble import assemble
-from docloom.plans.common import WS, documents, pages, sql_text
+from docloom.plans.common import SEGS, WS, documents, pages, sql_text
 from docloom.plans.registry import query
-from docloom.sources.requests import read_table
 
 # ------------------------------------------------------------------ placeholders
 
@@ -286,30 +284,29 @@ def inline_runs(spark, sf_dir):
 
 # --------------------------------------------------------------------------- tables
 
-def conversation_tables(spark, sf_dir):
-    """A conversation as a table: a row for each turn, a nested table in answers."""
-    cell = escape_html("text")
-    row = F.concat(
-        F.lit('<tr><td style="color: red; background-color: #A0b1c2">'), "role", F.lit("</td>\n <td>"), cell,
-        F.when(F.col("role") == "assistant",
-               "<table><tr><td>inner</td><td>cell</td></tr></table>tail</td>").otherwise("</td><th> head</th>"),
-        F.lit("</tr>"))
-    rows = read_table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("doc_id"), "turn", row.alias("html"))
-    return assemble(
-        rows, "doc_id", "turn", header='<p>before</p><table class="docx-table">',
-        footer="</table><table></table><p>x</p><TABLE><TR><TD></TD></TR></TABLE>after")
+def document_tables(spark, sf_dir):
+    """A document as a table: a row for each line, a nested table where it starts with E."""
+    def row(line):
+        nested = F.when(F.startswith(line, F.lit("E")), "<table><tr><td>inner</td><td>cell</td></tr></table>tail</td>")
+        return F.concat(
+            F.lit('<tr><td style="color: red; background-color: #A0b1c2">row</td>\n <td>'), escape_html(line),
+            nested.otherwise("</td><th> head</th>"), F.lit("</tr>"))
+
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: trim_ws(x)), lambda x: x != "")
+    return documents(spark, sf_dir).select("doc_id", F.concat(
+        F.lit('<p>before</p><table class="docx-table">'), F.array_join(F.transform(lines, row), ""),
+        F.lit("</table><table></table><p>x</p><TABLE><TR><TD></TD></TR></TABLE>after")).alias("html"))
 
 
 @query("table_cells", f"""
-WITH c AS (
-  SELECT conv_id AS doc_id, 0 AS table_no, turn AS row_no, 0 AS col_no, 'td' AS kind, role AS text,
-         'A0b1c2' AS background FROM conversations
-  UNION ALL SELECT conv_id, 0, turn, 1, 'td', trim(text || CASE WHEN role = 'assistant'
-    THEN 'innercelltail' ELSE '' END, {WS}), NULL FROM conversations
-  UNION ALL SELECT conv_id, 0, turn, 2, 'th', 'head', NULL FROM conversations WHERE role <> 'assistant'
-  UNION ALL SELECT DISTINCT conv_id, 2, 0, 0, 'td', '', NULL FROM conversations)
+WITH s AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no) - 1 AS row_no FROM ({SEGS})),
+c AS (
+  SELECT doc_id, 0 AS table_no, row_no, 0 AS col_no, 'td' AS kind, 'row' AS text, 'A0b1c2' AS background FROM s
+  UNION ALL SELECT doc_id, 0, row_no, 1, 'td', text || CASE WHEN starts_with(text, 'E')
+    THEN 'innercelltail' ELSE '' END, NULL FROM s
+  UNION ALL SELECT doc_id, 0, row_no, 2, 'th', 'head', NULL FROM s WHERE NOT starts_with(text, 'E')
+  UNION ALL SELECT doc_id, 2, 0, 0, 'td', '', NULL FROM documents)
 SELECT *, max(col_no) OVER (PARTITION BY doc_id, table_no) + 1 AS n_cols FROM c
 """)
 def table_cells(spark, sf_dir):
-    return H.table_cells(conversation_tables(spark, sf_dir))
+    return H.table_cells(document_tables(spark, sf_dir))

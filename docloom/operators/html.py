@@ -22,7 +22,7 @@ IMG_TAG = r"(?i)<img[^>]*>"
 STYLE_ATTR = r"""(?i)\sstyle=(?:"([^"]*)"|'([^']*)')"""
 HEADER_DIV = r'<div class="docx-header">([\s\S]*?)</div>'
 FOOTER_DIV = r'<div class="docx-footer">([\s\S]*?)</div>'
-TABLE_TAG = r"(?i)</?(?:table|tr|td|th)(?:\s[^>]*)?>"
+TABLE_TAG = r"(?i)<(/?)(table|tr|td|th)(?:\s[^>]*)?>"
 
 
 def _style(tag: Column) -> Column:
@@ -175,19 +175,23 @@ def table_cells(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -
     the rows by id first is the only shuffle, and all windows below use it again.
     """
     holds = F.contains(F.lower(F.col(html_col)), F.lit("<table"))
+    # a set number: adaptive execution would merge the partitions by their size before the
+    # tags are taken out, and leave too few tasks for what comes after
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.where(holds).select(
-        id_col, F.regexp_replace(F.col(html_col), NOISE, "").alias("__html")).repartition(id_col)
-    tags = F.regexp_extract_all(F.col("__html"), F.lit(TABLE_TAG), F.lit(0))
-    after = F.slice(F.split(F.col("__html"), TABLE_TAG, -1), F.lit(2), F.length("__html") + 1)
-    tokens = docs.select(id_col, F.posexplode(
-        F.arrays_zip(tags.alias("tag"), after.alias("piece"))).alias("pos", "t")).select(id_col, "pos", "t.*")
-
-    name = F.lower(F.regexp_extract("tag", r"(?i)^</?([a-z]+)", 1))
-    opening = ~F.startswith(F.col("tag"), F.lit("</"))
-    in_order = Window.partitionBy(id_col).orderBy("pos")
-    step = F.when(name == "table", F.when(opening, 1).otherwise(-1)).otherwise(0)
-    marked = tokens.select(
-        "*", name.alias("name"), opening.alias("opening"), F.sum(step).over(in_order).alias("depth"))
+        id_col, F.regexp_replace(F.col(html_col), NOISE, "").alias("__html")).repartition(n, id_col)
+    html = F.col("__html")
+    tokens = docs.select(id_col, F.posexplode(F.arrays_zip(
+        F.regexp_extract_all(html, F.lit(TABLE_TAG), F.lit(0)).alias("tag"),
+        F.regexp_extract_all(html, F.lit(TABLE_TAG), F.lit(1)).alias("slash"),
+        F.regexp_extract_all(html, F.lit(TABLE_TAG), F.lit(2)).alias("name"),
+        F.slice(F.split(html, TABLE_TAG, -1), F.lit(2), F.length(html) + 1).alias("piece"),
+    )).alias("pos", "t")).select(
+        id_col, "pos", "t.tag", "t.piece", F.lower("t.name").alias("name"), (F.col("t.slash") == "").alias("opening"))
+
+    in_order = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("name") == "table", F.when(F.col("opening"), 1).otherwise(-1)).otherwise(0)
+    marked = tokens.withColumn("depth", F.sum(step).over(in_order))
 
     outer = F.col("depth") == 1
     is_table = outer & F.col("opening") & (F.col("name") == "table")
@@ -196,17 +200,18 @@ def table_cells(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -
     # a new group starts at each tag of the outermost table, and where that table ends
     edge = (outer & ((F.col("name") != "table") | F.col("opening"))) | (F.col("depth") <= 0)
     grouped = marked.select(
-        "*", is_cell.alias("is_cell"),
+        id_col, "pos", "tag", "piece", "name",
         F.count(F.when(is_table, 1)).over(in_order).alias("table_no"),
         F.count(F.when(is_row, 1)).over(in_order).alias("row_seq"),
         F.count(F.when(edge, 1)).over(in_order).alias("grp"),
-    )
+        F.last(F.when(edge, is_cell), ignorenulls=True).over(in_order).alias("in_cell"),
+    ).where("in_cell")
     cells = grouped.groupBy(id_col, "table_no", "row_seq", "grp").agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("body"),
-        F.max("is_cell").alias("is_cell"),
-        F.min_by("name", "pos").alias("kind"), F.min_by("tag", "pos").alias("tag"),
-    ).where("is_cell")
+        F.array_sort(F.collect_list(F.struct("pos", "piece", "name", "tag"))).alias("t")
+    ).select(
+        id_col, "table_no", "row_seq", "grp",
+        F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("body"),
+        F.get("t", F.lit(0))["name"].alias("kind"), F.get("t", F.lit(0))["tag"].alias("tag"))
 
     by_table = Window.partitionBy(id_col, "table_no")
     by_row = Window.partitionBy(id_col, "table_no", "row_seq")

@@ -19,6 +19,7 @@ BLOCK_TAG = (
 )
 KEPT_TAG = r"(?i)^<(h[1-6]|p|li|td|th)[\s/>]"
 IMG_TAG = r"(?i)<img[^>]*>"
+ANY_TAG = r"</?[a-zA-Z!][^<>]*>"
 STYLE_ATTR = r"""(?i)\sstyle=(?:"([^"]*)"|'([^']*)')"""
 HEADER_DIV = r'<div class="docx-header">([\s\S]*?)</div>'
 FOOTER_DIV = r'<div class="docx-footer">([\s\S]*?)</div>'
@@ -32,7 +33,7 @@ def _style(tag: Column) -> Column:
 def inline_text(piece: Column) -> Column:
     """Text of an inline fragment: line breaks kept, tags dropped, entities decoded."""
     broken = F.regexp_replace(piece, r"(?i)<br\s*/?>", "\n")
-    return unescape_html(F.regexp_replace(broken, r"<[^>]*>", ""))
+    return unescape_html(F.regexp_replace(broken, ANY_TAG, ""))
 
 
 def _block(section: Column, kind: Column, level: Column, style: Column, raw: Column, text: Column) -> Column:
@@ -99,7 +100,7 @@ def block_styles(df: DataFrame, style_col: str = "style") -> DataFrame:
     )
 
 
-INLINE_TOKEN = r"<[^>]*>|[^<]+|<"
+INLINE_TOKEN = f"{ANY_TAG}|[^<]+|<"
 RUN_TAG = r"(?i)^<(/?)(strong|b|em|i|u|span)(?:\s[^>]*)?>$"
 
 
@@ -127,7 +128,7 @@ def inline_runs(blocks: DataFrame, keys: list[str], raw_col: str = "raw") -> Dat
         closing = F.regexp_extract(t, RUN_TAG, 1) == "/"
         inside = acc["depth"] > 0
         same = inside & (tag == acc["tag"])
-        is_tag = F.startswith(t, F.lit("<")) & (F.length(t) > 1)
+        is_tag = F.regexp_like(t, F.lit(f"^{ANY_TAG}$"))
         is_break = F.regexp_like(t, F.lit(r"(?i)^<br\s*/?>$"))
         nested = state(acc["tag"], acc["attrs"], acc["depth"] + F.when(closing, -1).otherwise(1),
                        acc["buf"], acc["runs"])

@@ -32,9 +32,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
     Only a local master may go without that setting (tests): there, executors
     and driver share one machine, so a temporary folder is shared as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        sc = spark.sparkContext
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         app = sc.applicationId

@@ -9,16 +9,19 @@ from docloom.functions import fixed
 from docloom.operators.ordering import join_in_order
 
 
-def assemble(df: DataFrame, ids: str | list[str], order: str, part: str = "html",
+def assemble(df: DataFrame, ids: str | list[str], order: str, part: str | dict[str, str] = "html",
              sep: str = "", header: str = "", footer: str = "", out: str = "html") -> DataFrame:
     """One row for each document with its parts joined in order.
 
-    For documents that came from one row and so fit one cell again. A page list
-    without such a bound goes through :func:`assemble_parts`.
+    ``part`` may name several columns, as ``{out: column}``: original and translation come
+    from one shuffle. For documents that came from one row and so fit one cell again; a page
+    list without such a bound goes through :func:`assemble_parts`.
     """
     ids = [ids] if isinstance(ids, str) else ids
-    body = df.groupBy(*ids).agg(join_in_order(order, part, sep).alias(out))
-    return body.withColumn(out, F.concat(F.lit(header), F.col(out), F.lit(footer)))
+    parts = part if isinstance(part, dict) else {out: part}
+    body = df.groupBy(*ids).agg(*[join_in_order(order, c, sep).alias(name) for name, c in parts.items()])
+    return body.select(*ids, *[
+        F.concat(F.lit(header), F.col(name), F.lit(footer)).alias(name) for name in parts])
 
 
 def assemble_parts(df: DataFrame, ids: str | list[str], index: str = "chunk_index",

@@ -9,6 +9,7 @@ later merge small partitions into one task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,14 @@ from docloom.operators.policy import RetryPolicy
 from docloom.operators.routing import language_name
 
 
-def _spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # sorted, so that a retried task forms the same batches again
-    return df.repartition(n, F.xxhash64(key)).sortWithinPartitions(key)
+@dataclass(frozen=True)
+class Engine:
+    """A translator: ``fn(texts, language)`` returns as many texts as it is given."""
+
+    fn: Callable[[list[str], str], list[str]]
+    batch_size: int = 25
+    policy: RetryPolicy = field(default_factory=RetryPolicy)
+    mask: bool = False
 
 
 def _run_batch(fn: Callable, policy: RetryPolicy, texts: list[str], *args) -> tuple[list, str, int]:
@@ -40,59 +45,96 @@ def _run_batch(fn: Callable, policy: RetryPolicy, texts: list[str], *args) -> tu
     return result, "ok", used
 
 
+def _call_stage(src: DataFrame, sent: str, groups: list[str], engine_of: Callable[..., Engine],
+                partitions: int | None) -> DataFrame:
+    """Run the model over ``sent``; a request never mixes values of ``groups``."""
+    n = partitions or int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    carried = [f.name for f in src.schema.fields if f.name != "__sent"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        started = False
+        for pdf in batches:
+            outs, stats, tries = [], [], []
+            texts = pdf[sent].tolist()
+            labels = list(zip(*[pdf[g].tolist() for g in groups])) if groups else [()] * len(texts)
+            at = 0
+            while at < len(texts):
+                engine = engine_of(*labels[at])
+                end = at + 1
+                while end < len(texts) and end - at < engine.batch_size and labels[end] == labels[at]:
+                    end += 1
+                if started and engine.policy.gap:
+                    engine.policy.sleep(engine.policy.gap)
+                started = True
+                language = labels[at][-1] if groups else None
+                res, status, used = _run_batch(engine.fn, engine.policy, texts[at:end], language)
+                outs += res
+                stats += [status] * (end - at)
+                tries += [used] * (end - at)
+                at = end
+            out = pdf[carried].copy()
+            out["translated"], out["status"], out["attempts"] = outs, stats, tries
+            yield out
+
+    schema = src.select(*carried).schema.add("translated", "string").add("status", "string").add("attempts", "integer")
+    # sorted, so that a retried task forms the same batches again
+    placed = src.repartition(n, F.xxhash64(*groups, sent)).sortWithinPartitions(*groups, sent)
+    return placed.mapInPandas(run, schema)
+
+
+def _masked(src: DataFrame, text_col: str, where: Column) -> DataFrame:
+    """Add ``__sent`` and ``__map``: masked where asked, else the text itself."""
+    return src.withColumn("__m", F.when(where, mask_protected(text_col))).withColumn(
+        "__sent", F.coalesce("__m.text", text_col)).withColumn("__map", F.col("__m.term_map")).drop("__m")
+
+
+def _unmasked(called: DataFrame) -> DataFrame:
+    return called.withColumn("translated", F.when(
+        F.col("__map").isNotNull(), unmask("translated", "__map")).otherwise(F.col("translated"))).drop("__map")
+
+
 def translate_segments(
     segs: DataFrame, fn: Callable[[list[str]], list[str]], policy: RetryPolicy | None = None,
     batch_size: int = 25, partitions: int | None = None, mask: bool = False,
     text_col: str = "text", keep: list[str] | None = None,
 ) -> DataFrame:
-    """``(text, translated, status, attempts)`` of distinct segments.
+    """``(text, translated, status, attempts)`` of distinct segments, one language, one engine.
 
     ``fn`` maps a list of texts to a list of equal length. Status is ``ok``, ``kept`` (the
     call failed) or ``misaligned``; in the last two the original stands in. ``keep`` names
     further columns of ``segs`` to carry through.
     """
-    policy = policy or RetryPolicy()
-    keep = keep or []
-    src = segs.select(text_col, *keep)
+    engine = Engine(lambda texts, _: fn(texts), batch_size, policy or RetryPolicy())
+    src = segs.select(text_col, *(keep or []))
     if mask:
-        src = src.withColumn("__m", mask_protected(text_col)).select(
-            text_col, *keep, F.col("__m.text").alias("__sent"), F.col("__m.term_map").alias("__map"))
-    sent = "__sent" if mask else text_col
-    carried = [f for f in src.schema.fields if f.name != "__sent"]
+        src = _masked(src, text_col, F.lit(True))
+    called = _call_stage(src, "__sent" if mask else text_col, [], lambda: engine, partitions)
+    return _unmasked(called) if mask else called
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        started = False
-        for pdf in batches:
-            outs, stats, tries = [], [], []
-            texts = pdf[sent].tolist()
-            for at in range(0, len(texts), batch_size):
-                if started and policy.gap:
-                    policy.sleep(policy.gap)
-                started = True
-                part = texts[at:at + batch_size]
-                res, status, used = _run_batch(fn, policy, part)
-                outs += res
-                stats += [status] * len(part)
-                tries += [used] * len(part)
-            out = pdf[[f.name for f in carried]].copy()
-            out["translated"], out["status"], out["attempts"] = outs, stats, tries
-            yield out
 
-    schema = src.select(*[f.name for f in carried]).schema.add("translated", "string").add(
-        "status", "string").add("attempts", "integer")
-    called = _spread(src, text_col, partitions).mapInPandas(run, schema)
-    if mask:
-        called = called.withColumn("translated", unmask("translated", "__map")).drop("__map")
-    return called
+def translate_by_engine(
+    segs: DataFrame, engines: dict[str, Engine], engine_col: str = "llm_provider",
+    language_col: str = "target_language", text_col: str = "text", partitions: int | None = None,
+) -> DataFrame:
+    """The same for distinct (engine, language, text): every request goes to the engine its
+    rows name, with that engine's batch size, retries, pace and masking."""
+    src = segs.select(engine_col, language_col, text_col)
+    hidden = [name for name, e in engines.items() if e.mask]
+    src = _masked(src, text_col, F.col(engine_col).isin(hidden))
+    called = _call_stage(src, "__sent", [engine_col, language_col], lambda name, _: engines[name], partitions)
+    return _unmasked(called)
 
 
 def translate_chunks(
     chunks: DataFrame, fn: Callable[[str], str], policy: RetryPolicy | None = None,
     keys: tuple[str, ...] = ("doc_id", "chunk_index"), html: str = "html",
     original: Column | None = None, partitions: int | None = None, spread: bool = True,
+    language: str | None = None,
 ) -> DataFrame:
     """Translate wrapped chunks one by one and keep the body of each answer.
 
+    ``fn`` takes the HTML, and the language when a ``language`` column is named.
+
     On an error the original pages of that chunk stay (``original``, by default the body of
     the chunk). ``spread=False`` is for streams, which are placed by their source.
     """
@@ -101,12 +143,13 @@ def translate_chunks(
     src = chunks.withColumn("__sent", F.col(html)).withColumn("__original", whole).drop(html)
     names = [f.name for f in src.schema.fields if f.name != "__sent"]
 
-    def one(texts: list[str]) -> list[str]:
-        return [fn(texts[0])]
+    def one(texts: list[str], *extra) -> list[str]:
+        return [fn(texts[0], *extra)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [_run_batch(one, policy, [t]) for t in pdf["__sent"].tolist()]
+            extra = pdf[[language]].values.tolist() if language else [[]] * len(pdf)
+            done = [_run_batch(one, policy, [t], *x) for t, x in zip(pdf["__sent"].tolist(), extra)]
             out = pdf[names].copy()
             out["__answer"] = [d[0][0] for d in done]
             out["status"] = [d[1] for d in done]

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("corpus", "scalars", "markup", "layouts", "checks", "reviews", "storage", "streams")
+_MODULES = ("corpus", "scalars", "markup", "layouts", "checks", "reviews", "storage", "streams", "flows")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

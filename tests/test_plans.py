@@ -10,7 +10,7 @@ CALLS = {  # the only queries with a Python stage: those that call a model
     "translate_chunks", "assemble_document", "review_pass", "evaluate", "evaluate_and_score",
 }
 WRITERS = {"append_corrections", "write_results", "stream_chunks", "stream_progress", "stream_documents",
-           "partial_preview", "stream_corrections"}
+           "partial_preview", "stream_corrections", "translate_requests", "evaluate_fix_and_save"}
 
 
 def plan(df):

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from docloom.operators import memory, quality, segment
 from docloom.operators.memory import place_in_runs
 from docloom.operators.policy import POLICIES, RetryPolicy
-from docloom.operators.translate import align_lines, build_prompts, translate_chunks, translate_segments
+from docloom.operators.translate import (
+    Engine, align_lines, build_prompts, translate_by_engine, translate_chunks, translate_segments,
+)
 from docloom.plans.common import prefix_hindi
 
 
@@ -120,6 +122,36 @@ def test_chunk_answers_are_unwrapped(spark):
     assert got == {0: ("A", "ok"), 1: ("b", "kept"), 2: ("plain", "ok")}
 
 
+def test_requests_never_mix_engines_or_languages(spark):
+    def say(name, limit):
+        def fn(batch, language):
+            assert len(batch) <= limit and len({t.split()[0] for t in batch}) == 1
+            assert all(t.startswith(f"{name}.{language} ") for t in batch)
+            assert name == "b" or not any("GST" in t for t in batch)
+            if name == "b" and language == "te":
+                raise ValueError("no")
+            return [f"{t}!{len(batch)}" for t in batch]
+        return fn
+
+    engines = {"a": Engine(say("a", 4), 4, mask=True), "b": Engine(say("b", 9), 9)}
+    df = spark.range(200).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("llm_provider"),
+        F.when(F.col("id") % 3 == 0, "hi").otherwise("te").alias("target_language"), "id")
+    df = df.withColumn("text", F.concat("llm_provider", F.lit("."), "target_language", F.lit(" GST "), F.col("id").cast("string")))
+    rows = translate_by_engine(df, engines).collect()
+    assert len(rows) == 200
+    for r in rows:
+        failed = (r.llm_provider, r.target_language) == ("b", "te")
+        assert r.status == ("kept" if failed else "ok")
+        assert r.translated == r.text if failed else r.translated.startswith(r.text + "!")
+
+
+def test_chunks_in_their_own_language(spark):
+    df = spark.createDataFrame([(1, 0, "x", "hi"), (2, 0, "x", "te")], "doc_id long, chunk_index long, html string, lang string")
+    got = {r.doc_id: r.html for r in translate_chunks(df, lambda h, lang: h + lang, language="lang").collect()}
+    assert got == {1: "xhi", 2: "xte"}
+
+
 def test_align_lines(spark):
     rows = [(1, ["a", "b"], "x\ny"), (2, ["a", "b"], "x"), (3, ["a"], "x\ny\nz"), (4, ["a", "b"], "x\n\n y \r\n"),
             (5, ["a", "b"], "```\nx\ny\n```"), (6, ["a"], "")]

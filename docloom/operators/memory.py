@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docloom.operators.ordering import with_extremes
 
 SALTS = 64
-HOT_USES = 1_000_000
+MAX_HOT = 10_000
+MIN_HOT_USES = 10_000
 
 
 def apply_memory(segs: DataFrame, memory: DataFrame, on: list[str] | None = None,
@@ -23,9 +24,8 @@ def apply_memory(segs: DataFrame, memory: DataFrame, on: list[str] | None = None
     right = memory.select(*on, value)
     if hot is None:
         return segs.join(right, on, "left")
-    # The hot list is 8 bytes for each key used at least HOT_USES times, so it is at most
-    # (rows / HOT_USES) long: 8 MB for 10^12 segments. A hash collision only salts one
-    # more key; the join itself compares the keys.
+    # hot_keys gives at most MAX_HOT hashes of 8 bytes, whatever the size of the corpus. A
+    # hash collision only salts one more key; the join itself compares the keys.
     h = F.xxhash64(*on)
     marks = F.broadcast(hot.select(F.col("__h").alias("__hot")))
     others = [c for c in segs.columns if c not in on] or on
@@ -47,9 +47,13 @@ def apply_memory(segs: DataFrame, memory: DataFrame, on: list[str] | None = None
 
 
 def hot_keys(counted: DataFrame, on: list[str] | None = None, uses: str = "uses",
-             threshold: int = HOT_USES) -> DataFrame:
-    """Hashes of the keys used at least ``threshold`` times, from a counted distinct table."""
-    return counted.where(F.col(uses) >= threshold).select(F.xxhash64(*(on or ["text"])).alias("__h")).distinct()
+             min_uses: int = MIN_HOT_USES) -> DataFrame:
+    """Hashes of the keys that make up more than 1 / MAX_HOT of all rows, from a counted
+    distinct table. By that share there are at most MAX_HOT of them. Keys used less than
+    ``min_uses`` times hurt no task and are left out."""
+    total = counted.agg(F.sum(uses)).scalar()
+    heavy = (F.col(uses) * MAX_HOT > total) & (F.col(uses) >= min_uses)
+    return counted.where(heavy).select(F.xxhash64(*(on or ["text"])).alias("__h")).distinct()
 
 
 def pending_segments(distinct: DataFrame, memory: DataFrame, on: list[str] | None = None) -> DataFrame:

@@ -21,6 +21,12 @@ def _as_list(ids: str | list[str]) -> list[str]:
     return [ids] if isinstance(ids, str) else list(ids)
 
 
+def _check_new(df: DataFrame, names) -> None:
+    taken = set(names) & set(df.columns)
+    if taken:
+        raise ValueError(f"columns already there: {sorted(taken)}")
+
+
 def with_block(df: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
     return df.withColumn(_BLK, F.floor(F.col(order) / F.lit(block)).cast("long"))
 
@@ -31,6 +37,7 @@ def running_sums(
 ) -> DataFrame:
     """Add inclusive running sums; ``totals`` maps an output name to a key of ``sums``."""
     ids = _as_list(ids)
+    _check_new(df, [*sums, *(totals or {})])
     keys = ids + [_BLK]
     blocked = with_block(df, order, block)
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -67,6 +74,7 @@ def with_extremes(df: DataFrame, ids: str | list[str], order: str,
                   mins: dict[str, Column], maxs: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """Add the least and greatest values of a group to each of its rows."""
     ids = _as_list(ids)
+    _check_new(df, [*mins, *maxs])
     keys = ids + [_BLK]
     blocked = with_block(df, order, block)
     whole = Window.partitionBy(*ids)
@@ -86,6 +94,7 @@ def number_islands(df: DataFrame, ids: str | list[str], order: str, value: str,
     others but take no number.
     """
     ids = _as_list(ids)
+    _check_new(df, [out])
     keys = ids + [_BLK]
     in_block = Window.partitionBy(*keys).orderBy(order)
     blocks = Window.partitionBy(*ids).orderBy(_BLK)

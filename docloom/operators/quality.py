@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import fixed
 from docloom.functions.masking import terms_pattern
 from docloom.functions.text import col, strip_code_fence, trim_ws
-from docloom.operators.memory import HOT_USES, apply_memory, hot_keys
+from docloom.operators.memory import MIN_HOT_USES, apply_memory, hot_keys
 from docloom.operators.policy import RetryPolicy
 from docloom.operators.translate import translate_segments
 
@@ -59,7 +59,7 @@ def first_success(fns: list[Callable]) -> Callable:
 def review_pass(df: DataFrame, fns: list[Callable], original: str = "text",
                 translated: str = "translated", threshold: float = 0.5,
                 policy: RetryPolicy | None = None, batch_size: int = 25,
-                hot_uses: int = HOT_USES) -> DataFrame:
+                min_hot_uses: int = MIN_HOT_USES) -> DataFrame:
     """Translate the missed segments once more; others, and those that fail, stay.
 
     ``df`` is read more than once: give a written table when it holds a model call.
@@ -72,7 +72,7 @@ def review_pass(df: DataFrame, fns: list[Callable], original: str = "text",
         counted, first_success(fns), policy, batch_size, text_col="__missed", keep=["uses"]
     ).withColumn("__new", F.when(F.col("status") == "ok", F.col("translated")))
     joined = apply_memory(flagged, reviewed, ["__missed"], "__new",
-                          hot_keys(counted, ["__missed"], threshold=hot_uses))
+                          hot_keys(counted, ["__missed"], min_uses=min_hot_uses))
     return joined.withColumn(translated, F.coalesce("__new", translated)).withColumn(
         "reviewed", F.col("__new").isNotNull()).drop("__missed", "__new")
 

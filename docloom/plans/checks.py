@@ -61,7 +61,7 @@ def review_pass(spark, sf_dir):
     """Missed segments go to the first reviewer that answers. One segment a call, so the
     outcome does not depend on who shares a batch; a low threshold takes the spread join."""
     done = quality.review_pass(
-        _translated(spark, sf_dir), [_reviewer_down, _reviewer_spare], batch_size=1, hot_uses=3)
+        _translated(spark, sf_dir), [_reviewer_down, _reviewer_spare], batch_size=1, min_hot_uses=3)
     return done.select("doc_id", "seg_no", "translated", "reviewed")
 
 

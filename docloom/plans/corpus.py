@@ -157,7 +157,7 @@ def apply_translations(spark, sf_dir):
     tables have lines that count as hot and take the spread path."""
     segs = segment.segments(documents(spark, sf_dir))
     uses = segs.groupBy("text").agg(F.count(F.lit(1)).alias("uses"))
-    hot = memory.hot_keys(uses, threshold=3)
+    hot = memory.hot_keys(uses, min_uses=3)
     done = memory.apply_translations(segs, _memory(spark, sf_dir), hot=hot)
     return done.select("doc_id", "seg_no", "translated")
 

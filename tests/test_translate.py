@@ -187,7 +187,7 @@ def test_hot_text_is_spread_and_the_result_is_the_same(spark):
     table = segs.where("text IS NOT NULL AND text <> 't7'").select("text").distinct().withColumn(
         "translated", F.concat(F.lit("[hi] "), "text"))
     uses = segs.groupBy("text").agg(F.count(F.lit(1)).alias("uses"))
-    hot = memory.hot_keys(uses, threshold=1000)
+    hot = memory.hot_keys(uses, min_uses=1000)
     assert hot.count() == 1
     plain = memory.apply_memory(segs, table)
     spread = memory.apply_memory(segs, table, hot=hot)
@@ -202,6 +202,15 @@ def test_hot_text_is_spread_and_the_result_is_the_same(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_hot_list_is_bounded_by_share(spark, monkeypatch):
+    counted = spark.range(1000).select(F.col("id").cast("string").alias("text"), F.lit(20).alias("uses"))
+    assert memory.hot_keys(counted, min_uses=1).count() == 1000
+    monkeypatch.setattr(memory, "MAX_HOT", 50)
+    assert memory.hot_keys(counted, min_uses=1).count() == 0  # none has a fiftieth
+    one = counted.unionAll(spark.createDataFrame([("big", 10_000)], "text string, uses int"))
+    assert memory.hot_keys(one, min_uses=1).count() == 1
+
+
 def test_written_memory_leaves_failures_pending(spark, tmp_path):
     def fn(batch):
         if "line 3" in batch:

@@ -147,35 +147,46 @@ BRACKET_TOKEN = r"__R?BRACKET_[0-9]+__"
 TERM_TOKEN = r"__R?TERM_[0-9]+A?__"
 IMAGE_TOKEN = r"IMG_PLACEHOLDER_[0-9]+"
 STYLE_TOKEN = r"STYLE_PLACEHOLDER_[0-9]+"
-STYLE_DIV = r'<div class="STYLE_PLACEHOLDER_[0-9]+"\s*>\s*</div>'
+STYLE_DIV = r'<div class="(STYLE_PLACEHOLDER_[0-9]+)"\s*>\s*</div>'
 
 
-def _restore(c: Column, entries: Column, pattern: str, shown=lambda original: original,
-             token_of=lambda match: match) -> Column:
+def _lookup(known: Column, numbered: Column, token: Column) -> Column:
+    """Original of a token. Numbered tokens stand at their number, so no search is needed."""
+    number = F.regexp_extract(token, r"([0-9]+)", 1).try_cast("int")
+    at = F.get(numbered, number)
+    return F.coalesce(F.when(at["token"] == token, at["original"]), F.try_element_at(known, token))
+
+
+def _restore(c: Column, entries: Column, pattern: str, numbered: str = "") -> Column:
     """One pass over the text: every match of ``pattern`` whose token is known is replaced.
 
     A replace for each token would read a long text once for each of its tokens. Text and
     map are bound in a struct first, so the lambda does not compute them per match.
+    ``numbered`` is the head of tokens that are numbered 0, 1, … without gaps.
     """
     bound = F.array(F.struct(
         F.arrays_zip(F.split(c, pattern, -1).alias("part"),
                      F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("match")).alias("pairs"),
-        F.map_from_entries(entries).alias("known")))
+        F.map_from_entries(entries).alias("known"),
+        F.filter(entries, lambda e: F.startswith(e["token"], F.lit(numbered))).alias("numbered")))
 
     def text(b: Column) -> Column:
         def one(x: Column) -> Column:
-            original = F.try_element_at(b["known"], token_of(x["match"]))
-            return F.concat(x["part"], F.coalesce(shown(original), x["match"], F.lit("")))
+            original = _lookup(b["known"], b["numbered"], x["match"])
+            return F.concat(x["part"], F.coalesce(original, x["match"], F.lit("")))
 
         return F.array_join(F.transform(b["pairs"], one), "")
 
     return F.get(F.transform(bound, text), F.lit(0))
 
 
-def unmask(c: ColumnOrName, term_map: ColumnOrName) -> Column:
-    """Put every original back: brackets first, as they may hold term tokens, then terms."""
+def unmask(c: ColumnOrName, term_map: ColumnOrName, prefix: str = "") -> Column:
+    """Put every original back: brackets first, as they may hold term tokens, then terms.
+
+    ``prefix`` is that of the mask; another one only makes the look-up slower.
+    """
     entries = col(term_map)
-    return _restore(_restore(col(c), entries, BRACKET_TOKEN), entries, TERM_TOKEN)
+    return _restore(_restore(col(c), entries, BRACKET_TOKEN, f"__{prefix}BRACKET_"), entries, TERM_TOKEN)
 
 
 def unmask_images(c: ColumnOrName, term_map: ColumnOrName) -> Column:
@@ -189,16 +200,24 @@ def unmask_styles(c: ColumnOrName, term_map: ColumnOrName) -> Column:
     deleted and the style block goes to the front.
     """
     entries = col(term_map)
-    placed = _restore(
-        col(c), entries, STYLE_DIV, token_of=lambda m: F.regexp_extract(m, STYLE_TOKEN, 0))
+    divs = F.transform(entries, lambda e: F.struct(
+        F.concat(F.lit('<div class="'), e["token"], F.lit('"></div>')).alias("token"), e["original"].alias("original")))
+    # blanks a translator put into a div go first, so that every div has its plain form
+    plain = F.regexp_replace(col(c), STYLE_DIV, '<div class="$1"></div>')
+    placed = _restore(plain, divs, STYLE_DIV)
     bound = F.array(F.struct(
-        placed.alias("text"), F.regexp_extract_all(placed, F.lit(STYLE_TOKEN), F.lit(0)).alias("bare")))
+        placed.alias("text"),
+        F.array_intersect(
+            F.transform(entries, lambda e: e["token"]),
+            F.regexp_extract_all(placed, F.lit(STYLE_TOKEN), F.lit(0))).alias("bare"),
+        F.map_from_entries(entries).alias("known"), entries.alias("numbered")))
 
     def text(b: Column) -> Column:
-        moved = F.filter(entries, lambda e: F.array_contains(b["bare"], e["token"]))
-        rest = _restore(b["text"], entries, STYLE_TOKEN, shown=lambda o: F.when(o.isNotNull(), ""))
-        return F.when(F.size(b["bare"]) == 0, b["text"]).otherwise(
-            F.concat(F.array_join(F.transform(moved, lambda e: e["original"]), ""), rest))
+        moved = F.transform(b["bare"], lambda t: _lookup(b["known"], b["numbered"], t))
+        gone = F.transform(b["numbered"], lambda e: F.struct(
+            e["token"].alias("token"), F.lit("").alias("original")))
+        rest = _restore(b["text"], gone, STYLE_TOKEN)
+        return F.when(F.size(b["bare"]) == 0, b["text"]).otherwise(F.concat(F.array_join(moved, ""), rest))
 
     return F.get(F.transform(bound, text), F.lit(0))
 

@@ -104,64 +104,90 @@ INLINE_TOKEN = f"{ANY_TAG}|[^<]+|<"
 RUN_TAG = r"(?i)^<(/?)(strong|b|em|i|u|span)(?:\s[^>]*)?>$"
 
 
+FOLD = 1024
+_CUT, _KEPT = "\x01", "\x01\x02"
+
+
+def _fold_in_groups(items: Column, start: Column, step, emitted: str) -> Column:
+    """``aggregate`` for a state that collects in the array field ``emitted``.
+
+    Appending to an array copies it, so one plain fold takes quadratic time on a long list.
+    Groups of ``FOLD`` items are folded on their own and joined group by group.
+    """
+    grouped = F.get(F.transform(F.array(items), lambda t: F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(t) / FOLD).cast("int")),
+        lambda g: F.slice(t, g * FOLD + 1, F.lit(FOLD)))), F.lit(0))
+
+    def one_group(acc: Column, group: Column) -> Column:
+        fresh = acc.withField(emitted, F.slice(acc[emitted], F.lit(1), F.lit(0)))
+        inner = F.aggregate(group, fresh, step)
+        return F.get(F.transform(F.array(inner), lambda r: r.withField(
+            emitted, F.concat(acc[emitted], r[emitted]))), F.lit(0))
+
+    return F.aggregate(grouped, start, one_group)
+
+
 def inline_runs(blocks: DataFrame, keys: list[str], raw_col: str = "raw") -> DataFrame:
     """``(keys, run_no, text, bold, italic, underline)`` of each block.
 
     The outermost formatting tag wins and swallows what is nested in it; other tags are
     transparent; a line break outside a formatting tag is a run of its own. A fold over
-    the few tokens of one block, without a shuffle.
+    the tokens of one block, without a shuffle.
     """
-    run = "struct<text:string,tag:string,attrs:string>"
-    tokens = F.regexp_extract_all(F.col(raw_col), F.lit(INLINE_TOKEN), F.lit(0))
-
-    def state(tag, attrs, depth, buf, runs):
-        return F.struct(tag.alias("tag"), attrs.alias("attrs"), depth.alias("depth"),
-                        buf.alias("buf"), runs.alias("runs"))
+    piece = "array<struct<text:string,first:boolean,tag:string,attrs:string>>"
+    blank = F.lit("")
+    # each token is read once here; the fold below only looks at the fields
+    tokens = F.transform(
+        F.regexp_extract_all(F.col(raw_col), F.lit(INLINE_TOKEN), F.lit(0)),
+        lambda t: F.struct(
+            F.when(F.length(t) > 1, F.when(F.startswith(t, F.lit("<")), t)).alias("markup"),
+            F.lower(F.regexp_extract(t, RUN_TAG, 2)).alias("tag"),
+            F.startswith(t, F.lit("</")).alias("closing"),
+            F.regexp_like(t, F.lit(r"(?i)^<br\s*/?>$")).alias("is_break"),
+            F.replace(unescape_html(t), F.lit(_CUT), F.lit(_KEPT)).alias("text")),
+    )
 
-    def one(text, tag, attrs):
-        return F.array(F.struct(text.alias("text"), tag.alias("tag"), attrs.alias("attrs")))
+    def state(tag, attrs, depth, pieces):
+        return F.struct(tag.alias("tag"), attrs.alias("attrs"), depth.alias("depth"), pieces.alias("pieces"))
 
-    blank, zero = F.lit(""), F.lit(0)
+    def add(pieces, text, first, tag, attrs):
+        return F.concat(pieces, F.array(F.struct(
+            text.alias("text"), F.lit(first).alias("first"), tag.alias("tag"), attrs.alias("attrs"))))
 
     def step(acc: Column, t: Column) -> Column:
-        tag = F.lower(F.regexp_extract(t, RUN_TAG, 2))
-        closing = F.regexp_extract(t, RUN_TAG, 1) == "/"
+        tag, closing, text = t["tag"], t["closing"], t["text"]
         inside = acc["depth"] > 0
         same = inside & (tag == acc["tag"])
-        is_tag = F.regexp_like(t, F.lit(f"^{ANY_TAG}$"))
-        is_break = F.regexp_like(t, F.lit(r"(?i)^<br\s*/?>$"))
-        nested = state(acc["tag"], acc["attrs"], acc["depth"] + F.when(closing, -1).otherwise(1),
-                       acc["buf"], acc["runs"])
-        done = state(blank, blank, zero, blank,
-                     F.concat(acc["runs"], one(acc["buf"], acc["tag"], acc["attrs"])))
-        opened = state(tag, t, F.lit(1), blank, acc["runs"])
-        text = unescape_html(t)
-        grown = state(acc["tag"], acc["attrs"], acc["depth"], F.concat(acc["buf"], text), acc["runs"])
-        plain = state(blank, blank, zero, blank, F.concat(acc["runs"], one(text, blank, blank)))
-        broken = state(blank, blank, zero, blank, F.concat(acc["runs"], one(F.lit("\n"), blank, blank)))
+        deeper = state(acc["tag"], acc["attrs"], acc["depth"] + F.when(closing, -1).otherwise(1), acc["pieces"])
+        opened = state(tag, t["markup"], F.lit(1), add(acc["pieces"], blank, True, tag, t["markup"]))
+        broken = state(blank, blank, acc["depth"], add(acc["pieces"], F.lit("\n"), True, blank, blank))
+        grown = state(acc["tag"], acc["attrs"], acc["depth"], add(acc["pieces"], text, False, blank, blank))
+        plain = state(blank, blank, acc["depth"], add(acc["pieces"], text, True, blank, blank))
         return (
-            F.when(same & closing & (acc["depth"] == 1), done)
-            .when(same, nested)
+            F.when(same, deeper)
             .when(~inside & (tag != "") & ~closing, opened)
-            .when(~inside & is_break, broken)
-            .when(is_tag, acc)
+            .when(~inside & t["is_break"], broken)
+            .when(t["markup"].isNotNull(), acc)
             .when(inside, grown)
             .otherwise(plain)
         )
 
-    def finish(acc: Column) -> Column:
-        open_run = one(acc["buf"], acc["tag"], acc["attrs"])
-        return F.when(acc["depth"] > 0, F.concat(acc["runs"], open_run)).otherwise(acc["runs"])
-
-    start = state(blank, blank, zero, blank, F.array().cast(f"array<{run}>"))
-    runs = blocks.select(*keys, F.posexplode(F.aggregate(tokens, start, step, finish)).alias("run_no", "r"))
-    css = F.when(F.col("r.tag") == "span", _style(F.col("r.attrs"))).otherwise("")
+    start = state(blank, blank, F.lit(0), F.array().cast(piece))
+    pieces = blocks.select(*keys, _fold_in_groups(tokens, start, step, "pieces")["pieces"].alias("__p"))
+    # pieces of one run become one text: mark where runs start, join, and cut at the marks
+    marked = F.array_join(F.transform("__p", lambda p: F.when(
+        p["first"], F.concat(F.lit(_CUT), p["text"])).otherwise(p["text"])), "")
+    texts = F.slice(F.split(marked, f"{_CUT}(?!\x02)", -1), F.lit(2), F.size("__p") + 1)
+    runs = pieces.select(*keys, F.posexplode(F.arrays_zip(
+        texts.alias("text"), F.filter("__p", lambda p: p["first"]).alias("p"))).alias("run_no", "r"))
+    css = F.when(F.col("r.p.tag") == "span", _style(F.col("r.p.attrs"))).otherwise("")
 
     def styled(tags: list[str], rule: str) -> Column:
-        return F.col("r.tag").isin(tags) | F.contains(css, F.lit(rule))
+        return F.col("r.p.tag").isin(tags) | F.contains(css, F.lit(rule))
 
     return runs.where(F.col("r.text") != "").select(
-        *keys, F.col("run_no").cast("long").alias("run_no"), F.col("r.text").alias("text"),
+        *keys, F.col("run_no").cast("long").alias("run_no"),
+        F.replace("r.text", F.lit(_KEPT), F.lit(_CUT)).alias("text"),
         styled(["strong", "b"], "font-weight: bold").alias("bold"),
         styled(["em", "i"], "font-style: italic").alias("italic"),
         styled(["u"], "text-decoration: underline").alias("underline"),

@@ -40,22 +40,29 @@ def _base64_body(data):
     letters of a group of four; when it completes the group the rest is ignored.
     """
     clean = F.regexp_replace(data, r"[^A-Za-z0-9+/=]", "")
-    pieces = F.regexp_extract_all(clean, F.lit("[^=]*=|[^=]+"), F.lit(0))
+    pieces = F.regexp_extract_all(clean, F.lit("[^=]++=?|="), F.lit(0))
 
-    def state(text, pads, done):
-        return F.struct(text.alias("text"), pads.alias("pads"), done.alias("done"))
+    zero = F.lit(0)
+
+    def state(group, pads, used, done):
+        return F.struct(group.alias("group"), pads.alias("pads"), used.alias("used"), done.alias("done"))
 
     def step(acc, p):
-        text = F.concat(acc["text"], p["piece"])
-        group = F.length(text) % 4
-        pads = F.when(p["piece"] == "", acc["pads"]).otherwise(0) + F.when(
-            p["padded"] & (group >= 2), 1).otherwise(0)
-        done = p["padded"] & (group >= 2) & (group + pads >= 4)
-        return F.when(acc["done"], acc).otherwise(state(text, pads, done))
+        padded = F.endswith(p, F.lit("="))
+        group = (acc["group"] + F.length(F.replace(p, F.lit("="), F.lit("")))) % 4
+        counts = padded & (group >= 2)
+        pads = F.when(p == "=", acc["pads"]).otherwise(0) + F.when(counts, 1).otherwise(0)
+        return F.when(acc["done"], acc).otherwise(
+            state(group, pads, acc["used"] + 1, counts & (group + pads >= 4)))
+
+    # the fold keeps numbers only; the letters are joined once, up to where it stopped
+    def body(ps):
+        end = F.aggregate(ps, state(zero, zero, zero, F.lit(False)), step)
+        return F.transform(F.array(end), lambda e: F.struct(
+            F.replace(F.array_join(F.slice(ps, F.lit(1), e["used"]), ""), F.lit("="), F.lit("")).alias("text"),
+            (e["done"] | (e["group"] == 0)).alias("whole")))
 
-    marked = F.transform(pieces, lambda p: F.struct(
-        F.replace(p, F.lit("="), F.lit("")).alias("piece"), F.endswith(p, F.lit("=")).alias("padded")))
-    return F.aggregate(marked, state(F.lit(""), F.lit(0), F.lit(False)), step)
+    return F.get(F.flatten(F.transform(F.array(pieces), body)), F.lit(0))
 
 
 def decode_base64_requests(df: DataFrame, data: str = "file_data", filename: str = "filename") -> DataFrame:
@@ -65,7 +72,7 @@ def decode_base64_requests(df: DataFrame, data: str = "file_data", filename: str
     rejected requests come from a single pass.
     """
     body = df.withColumn("__b", _base64_body(F.col(data)))
-    whole = F.col("__b.done") | (F.length("__b.text") % 4 == 0)
+    whole = F.col("__b.whole")
     kind = file_type_of_name(filename)
     status = F.when(~whole | kind.isNull(), 400).otherwise(200)
     detail = F.when(~whole, fixed.BAD_BASE64).when(kind.isNull(), fixed.BAD_FILENAME)

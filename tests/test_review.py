@@ -97,6 +97,13 @@ def test_inline_runs(spark):
     assert runs(spark, "1 < 2<em>open") == [("1 ", ""), ("<", ""), (" 2", ""), ("open", "i")]
 
 
+def test_inline_runs_of_a_long_block(spark):
+    """Many groups of tokens, a run that goes on over all of them, and the mark in the text."""
+    assert runs(spark, "a\x01\x02<b>" + "x<i>y</i>" * 1000) == [("a\x01\x02", ""), ("xy" * 1000, "b")]
+    assert runs(spark, "<u>p</u>q" * 700) == [("p", "u"), ("q", "")] * 700
+    assert runs(spark, "") == []
+
+
 def test_unclosed_paragraphs_and_scripts(spark):
     page = '<body><script>var t="</p>"</script><p>one<p>two &lt;b&gt;<img src="i.png"><ul><li>x</ul><h2>H<br>2</h2>'
     df = spark.createDataFrame([(1, page)], "page_id long, html string")

@@ -42,6 +42,8 @@ def _run_batch(fn: Callable, policy: RetryPolicy, texts: list[str], *args) -> tu
     if len(result) != len(texts):
         # pairs by position would be wrong from some line on: keep the originals
         return list(texts), "misaligned", used
+    if not all(isinstance(r, str) for r in result):
+        return list(texts), "kept", used
     return result, "ok", used
 
 

@@ -51,3 +51,20 @@ def test_dense_chunks_shuffle_bodies_once(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # bodies by (doc, block); totals by doc, then by (doc, block): none in front of the grouping
     assert text.count("Exchange hashpartitioning") == 3
+
+
+def test_only_small_inputs_are_spread(spark):
+    from docloom.sources.requests import spread
+
+    assert "RoundRobinPartitioning(8)" in plan(spread(spark.range(0, 10, 1, 1)))
+    assert "Exchange" not in plan(spread(spark.range(0, 10, 1, 50)))
+
+
+def test_translated_lines_travel_as_keys(spark, sf_dir):
+    """The segment side of the join carries ids, a key and blank lines, no text."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES["translate_corpus"](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [seg_key" in text and "__salt" in text

@@ -79,6 +79,11 @@ def test_wrong_line_count_is_not_paired(spark):
     assert {r.status for r in rows} == {"misaligned"} and all(r.translated == r.text for r in rows)
 
 
+def test_an_empty_answer_is_a_failure(spark):
+    rows = translate_segments(texts(spark, 4), lambda b: [None] * len(b), batch_size=2).collect()
+    assert {r.status for r in rows} == {"kept"} and all(r.translated == r.text for r in rows)
+
+
 def test_errors_propagate_when_asked(spark):
     def fn(batch):
         raise ValueError("engine down")

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import compare, duck
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from docloom.plans import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")

@@ -8,17 +8,14 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("embed_dup", "tokens", "language", "minhash", "mixing", "leaks", "lines", "shards",
-            "warc", "quality")
+_MODULES = ("embed_dup",)
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     out = {}
     for m in _MODULES:
         out |= importlib.import_module(f"docloom.llm.{m}").QUERIES
-    return out | {"pipeline": corpus_pipeline.run}
+    return out
 
 
 def oracles() -> dict:

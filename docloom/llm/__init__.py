@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("embed_dup",)
+_MODULES = ("embed_dup", "minhash", "lines")
 
 
 def queries() -> dict:

@@ -33,21 +33,17 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def bucket_blocks(rows: DataFrame, block: int, same: tuple[str, ...] = ()) -> DataFrame:
+def bucket_blocks(rows: DataFrame, block: int) -> DataFrame:
     """Deal the rows of each ``bucket`` to pairs of blocks, sorted, for ``each_bucket``.
 
     A bucket of n rows gets ceil(n / block) blocks; a row of block b goes to every pair of
     blocks that holds b, so two rows of a bucket meet in exactly one (``lo``, ``hi``) and a
-    pair of blocks is all that one task must hold. Buckets of one row are left out. ``same``
-    names columns of which at least one must differ inside a bucket.
+    pair of blocks is all that one task must hold. Buckets of one row are left out.
     """
-    differs = [F.min(c).alias(f"__min_{c}") for c in same] + [F.max(c).alias(f"__max_{c}") for c in same]
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"), *differs).where("__n > 1")
-    for c in same:
-        sizes = sizes.where(F.col(f"__min_{c}") != F.col(f"__max_{c}"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     blocks = F.ceil(F.col("__n") / block).cast("int")
     dealt = (
-        rows.join(sizes.select("bucket", "__n"), "bucket")
+        rows.join(sizes, "bucket")
         .withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("lo", F.least("block", "__other"))

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("embed_dup", "minhash", "lines")
+_MODULES = ("embed_dup", "minhash", "lines", "language", "quality", "leaks", "tokens", "mixing", "shards", "warc")
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     out = {}
     for m in _MODULES:
         out |= importlib.import_module(f"docloom.llm.{m}").QUERIES
-    return out
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:

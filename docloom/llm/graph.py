@@ -23,24 +23,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
+def _tidy(edges: DataFrame) -> DataFrame:
+    return edges.where("u is not null and v is not null and u != v").distinct()
+
+
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or has one link, to a centre."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))).alias("e")).select("e.*")
+    both = ends.groupBy("node").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v"))
+    return both.where("as_u > 1 or (as_u > 0 and as_v > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v): one row (node, component) for each node, component its smallest node.
 
-    Alternates large and small stars until nothing moves; links only ever shrink towards
-    stars around the smallest node, so the number of rounds is logarithmic. Each round is
-    written to the shared folder. Loops, repeated links and nulls are left out; an empty
+    Alternates large and small stars until only stars are left; links only ever shrink
+    towards stars around the smallest node, so the number of rounds is logarithmic. Each round
+    is written to the shared folder. Loops, repeated links and nulls are left out; an empty
     table gives an empty one.
     """
-    def tidy(df: DataFrame) -> DataFrame:
-        return df.where("u is not null and v is not null and u != v").distinct()
-
-    now = saved(tidy(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-        now = saved(tidy(_small_star(tidy(_large_star(now)))), "edges")
+    now = saved(_tidy(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
+    while not _only_stars(now):
+        now = saved(_tidy(_small_star(_large_star(now))), "edges")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -116,17 +116,21 @@ def _confirm(percent: int):
                 if 100 * low < percent * high:
                     good.append(False)
                     continue
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
+                good.append(_share_enough(x, y, percent))
             yield batch.loc[np.array(good, bool), ["u", "v"]]
 
     return run
 
 
-def _across(bands: int, rows: int, percent: int):
-    """Blocks of a bucket to the pairs of it that may still join two components.
+def _share_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _open_pairs(batches: Iterator[pd.DataFrame], bands: int, rows: int, percent: int):
+    """From blocks of buckets: (part, a, b, agreement) of the pairs that may still join two components.
 
     A pair is named in the first band that brings it together only, and only if sizes and
     signatures leave room for a link.
@@ -134,22 +138,60 @@ def _across(bands: int, rows: int, percent: int):
     share = percent / 100
     n = bands * rows
     least = n * share - SLACK * (n * share * (1 - share)) ** 0.5
+    for part, i, j in each_bucket(batches):
+        sig, comp = matrix(part["signature"], "<u4"), part["component"].to_numpy()
+        size, band = part["n_shingles"].to_numpy(), part["band"].to_numpy()
+        found = []
+        for s in range(0, len(i), 1 << 14):
+            a, b = i[s:s + (1 << 14)], j[s:s + (1 << 14)]
+            low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            keep = (comp[a] != comp[b]) & (100 * low >= percent * high)
+            a, b = a[keep], b[keep]
+            same = sig[a] == sig[b]
+            agreement = same.sum(1)
+            first = same.reshape(len(a), bands, rows).all(2).argmax(1) == band[a]
+            keep = first & (agreement >= least)
+            found.append((a[keep], b[keep], agreement[keep]))
+        yield part, *(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
+def _open_rows(bands: int, rows: int, percent: int):
+    """Blocks of a bucket to those of their rows that have a partner to be compared with."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, a, b, _ in _open_pairs(batches, bands, rows, percent):
+            some = np.unique(np.concatenate((a, b)))
+            if len(some):
+                yield part.loc[some, ["bucket", "lo", "hi", "block", "band", "id", "component"]]
+
+    return run
 
+
+def _join_components(bands: int, rows: int, percent: int):
+    """The same rows with their sets to links (u, v), as many as join components here.
+
+    Likely links come first, and a pair that is in one component by then is not compared, so
+    a group that holds together takes about as many comparisons as it has members.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, i, j in each_bucket(batches):
-            sig, comp = matrix(part["signature"], "<u4"), part["component"].to_numpy()
-            size, band, ids = part["n_shingles"].to_numpy(), part["band"].to_numpy(), part["id"].to_numpy()
-            for s in range(0, len(i), 1 << 14):
-                a, b = i[s:s + (1 << 14)], j[s:s + (1 << 14)]
-                low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                keep = (comp[a] != comp[b]) & (100 * low >= percent * high)
-                a, b = a[keep], b[keep]
-                same = sig[a] == sig[b]
-                first = same.reshape(len(a), bands, rows).all(2).argmax(1) == band[a]
-                keep = first & (same.sum(1) >= least)
-                a, b = a[keep], b[keep]
-                if len(a):
-                    yield pd.DataFrame({"u": np.maximum(ids[a], ids[b]), "v": np.minimum(ids[a], ids[b])})
+        for part, a, b, agreement in _open_pairs(batches, bands, rows, percent):
+            ids, comp, items = part["id"].tolist(), part["component"].tolist(), part["items"].tolist()
+            parent = {c: c for c in comp}
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            out = []
+            for k in np.argsort(-agreement, kind="stable").tolist():
+                i, j = int(a[k]), int(b[k])
+                x, y = find(comp[i]), find(comp[j])
+                if x != y and _share_enough(np.frombuffer(items[i], np.uint64), np.frombuffer(items[j], np.uint64), percent):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v"])
 
     return run
 
@@ -173,8 +215,8 @@ def minhash_classes(
 
     A bucket is first compared with the member that most candidates share (a group of near
     copies becomes a component by as many comparisons as it has members); what is left
-    between different components of a bucket is compared pair by pair, in blocks. So no link
-    between components is lost, and groups that hold together are never expanded into pairs.
+    between different components of a bucket is compared inside its blocks, likely links
+    first. So no link between components is lost, and no group is expanded into rows of pairs.
 
     A null, empty or blank text has no shingles and links with nothing. Rows with equal ids
     are rows of their own in the result, with the smallest id of their component. A null id
@@ -201,20 +243,19 @@ def minhash_classes(
     sets = saved(base.join(some, "id", "left_semi").mapInPandas(_sets(words), "id long, items binary")
                  .dropDuplicates(["id"]), "sets")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        filled = pairs.join(sets.withColumnRenamed("id", "u"), "u").join(
-            sets.select(F.col("id").alias("v"), F.col("items").alias("others")), "v")
-        return saved(filled.select("u", "v", "items", "others").mapInPandas(_confirm(percent), "u long, v long"), "links")
-
-    sure = links(stars)
+    filled = stars.join(sets.withColumnRenamed("id", "u"), "u").join(
+        sets.select(F.col("id").alias("v"), F.col("items").alias("others")), "v")
+    sure = saved(filled.select("u", "v", "items", "others").mapInPandas(_confirm(percent), "u long, v long"), "links")
     part = components(sure)
     named = saved(shared.select("bucket", "band", "id").join(part.withColumnRenamed("node", "id"), "id", "left")
                   .withColumn("component", F.coalesce("component", "id")), "named")
     split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
     members = named.join(split.select("bucket"), "bucket").join(reps.select("id", "signature", "n_shingles"), "id")
-    rest = saved(bucket_blocks(members, block).mapInPandas(
-        _across(bands, rows, percent), "u long, v long"), "rest")
-    more = links(rest)
+    fields = "bucket long, lo int, hi int, block int, band int, id long, component long"
+    todo = saved(bucket_blocks(members, block).mapInPandas(_open_rows(bands, rows, percent), fields), "open")
+    filled = todo.join(reps.select("id", "signature", "n_shingles"), "id").join(sets, "id")
+    more = saved(filled.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(
+        _join_components(bands, rows, percent), "u long, v long"), "links")
     part = components(sure.union(more))
     per_class = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id"))

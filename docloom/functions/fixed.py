@@ -39,7 +39,6 @@ HTML_HEADER = (
 )
 HTML_FOOTER = "</body></html>"
 PREVIEW_HEADER = '<!DOCTYPE html><html><head><meta charset="UTF-8"></head><body>'
-PAGE_OPEN = '<div class="page" style="margin-bottom:2em;padding:1em;border-bottom:1px solid #eee;">'
 PAGES_PER_CHUNK = 3
 
 # --- fixed values: engines (name, segments per request, seconds between) ----

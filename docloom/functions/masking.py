@@ -143,6 +143,13 @@ def mask_protected(c: ColumnOrName, terms: list[str] | None = None, prefix: str
     return F.get(both, F.lit(0))
 
 
+def has_protected(c: ColumnOrName, html: bool = False) -> Column:
+    """Whether there is anything to mask: one look instead of a fold over all terms. ``html``
+    reads an escaped text as plain."""
+    text = F.replace(col(c), F.lit("&amp;"), F.lit("&")) if html else col(c)
+    return F.regexp_like(text, F.lit(rf"{terms_pattern()}|\[\["))
+
+
 BRACKET_TOKEN = r"__R?BRACKET_[0-9]+__"
 TERM_TOKEN = r"__R?TERM_[0-9]+A?__"
 IMAGE_TOKEN = r"IMG_PLACEHOLDER_[0-9]+"

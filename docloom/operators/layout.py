@@ -106,22 +106,24 @@ def cell_spans(cells: DataFrame, keys: list[str], row: str = "row_no", col: str
     """First cell of each merged area with ``colspan`` and ``rowspan``.
 
     A cell continues the one above when both have the same ``cell_id``, and the one to the
-    left likewise. Rows of one column are ranked in blocks, so a table of any length works.
+    left likewise; a cell without an id is never merged. Rows of one column are ranked in blocks, so a table of any length works.
     """
     ids = keys + [col]
-    runs = number_islands(cells, ids, row, "cell_id", "__run")
+    alone = F.concat(F.lit("\0"), F.col(row).cast("string"), F.lit(":"), F.col(col).cast("string"))
+    cells = cells.withColumn("__cell", F.coalesce(F.col("cell_id").cast("string"), alone))
+    runs = number_islands(cells, ids, row, "__cell", "__run")
     # a merged run folds map-side; only its first row carries the cell's own values
     own = [c for c in cells.columns if c not in keys + [row, col]]
     tops = runs.groupBy(*ids, "__run").agg(
         F.min(row).alias(row), F.count(F.lit(1)).alias("rowspan"),
         F.min_by(F.struct(*own), row).alias("__own"),
     ).select(*ids, row, "rowspan", "__own.*")
-    left = F.lag("cell_id").over(Window.partitionBy(*keys, row).orderBy(col))
+    left = F.lag("__cell").over(Window.partitionBy(*keys, row).orderBy(col))
     return (
         tops.withColumn("__left", left)
-        .where(~F.col("cell_id").eqNullSafe(F.col("__left")))
+        .where(~F.col("__cell").eqNullSafe(F.col("__left")))
         .withColumn("colspan", F.greatest(F.coalesce("grid_span", F.lit(1)), F.lit(1)).cast("long"))
-        .drop("__left", "grid_span")
+        .drop("__left", "__cell", "grid_span")
     )
 
 

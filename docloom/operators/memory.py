@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.ordering import with_extremes
@@ -92,11 +92,35 @@ def place_in_runs(runs: DataFrame, keys: list[str], translated: str = "translate
     return rows.select(*keys, F.col("r.o").alias(order), F.col("r.t").alias(text), F.col("r.d").alias(drawing))
 
 
-def write_memory(translations: DataFrame, path: str) -> DataFrame:
-    """Write finished translations once and read them back.
+def read_memory(spark: SparkSession, path: str, on: list[str] | None = None) -> DataFrame:
+    """A stored memory with one row for each key, whatever was appended to it.
+
+    Of several rows of a key the least stays, so every reader sees the same one.
+    """
+    table = spark.read.parquet(path)
+    on = on or ["text"]
+    rest = [c for c in table.columns if c not in on]
+    return table.groupBy(*on).agg(F.min(F.struct(*rest)).alias("__r")).select(*on, "__r.*")
+
+
+def write_memory(translations: DataFrame, path: str, on: list[str] | None = None) -> DataFrame:
+    """Append finished translations whose key is not stored yet; the memory, read back.
 
     A model call costs money and a lost executor would repeat it for every reader; readers
-    of the table never do. Failed segments are left out, so they stay pending.
+    of the table never do. Failed segments are left out, so they stay pending. ``on`` is the
+    key and should hold the language wherever a memory serves several. Pass the
+    translations of :func:`pending_segments`, so that nothing known is translated again.
     """
-    translations.where(F.col("status") == "ok").write.mode("append").parquet(path)
-    return translations.sparkSession.read.parquet(path)
+    on = on or ["text"]
+    spark = translations.sparkSession
+    new = translations.where(F.col("status") == "ok").dropDuplicates(on)
+    if stored(spark, path):
+        new = new.join(spark.read.parquet(path).select(*on), on, "left_anti")
+    new.write.mode("append").parquet(path)
+    return read_memory(spark, path, on)
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a memory has been written there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

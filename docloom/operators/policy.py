@@ -37,6 +37,18 @@ class RetryPolicy:
         raise ValueError("attempts must be at least 1")
 
 
+class Pace:
+    """Waits a policy's ``gap`` between the calls of one task; every call stage uses one."""
+
+    def __init__(self) -> None:
+        self.started = False
+
+    def wait(self, policy: RetryPolicy) -> None:
+        if self.started and policy.gap:
+            policy.sleep(policy.gap)
+        self.started = True
+
+
 # --- fixed values: how each engine retries and paces -------------------------
 POLICIES = {
     "gemini": RetryPolicy(4, (10, 20, 30), ("429", "RESOURCE_EXHAUSTED"), gap=5),

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed
 from docloom.functions.masking import terms_pattern
-from docloom.functions.text import col, strip_code_fence, trim_ws
+from docloom.functions.text import col, segment_key, strip_code_fence, trim_ws
 from docloom.operators.memory import MIN_HOT_USES, apply_memory, hot_keys
 from docloom.operators.policy import RetryPolicy
-from docloom.operators.translate import translate_segments
+from docloom.operators.translate import Engine, call_stage, masked, unmasked
 
 TOKEN = r"__R?(?:TERM|BRACKET)_[0-9]+A?__|\[\[[^\n]*?\]\]|(?:STYLE|IMG)_PLACEHOLDER_[0-9]+"
 NUMBER = r"[0-9]+(?:[.,/:\-][0-9]+)*%?"
@@ -44,11 +44,11 @@ def missed_segments(df: DataFrame, original: str = "text", translated: str = "tr
 
 def first_success(fns: list[Callable]) -> Callable:
     """Try the reviewers in order; the first that answers wins, the last error is raised."""
-    def call(texts: list[str]) -> list[str]:
+    def call(texts: list[str], *language: str) -> list[str]:
         error = RuntimeError("no reviewer")
         for fn in fns:
             try:
-                return fn(texts)
+                return fn(texts, *language)
             except Exception as e:  # noqa: BLE001
                 error = e
         raise error
@@ -59,22 +59,33 @@ def first_success(fns: list[Callable]) -> Callable:
 def review_pass(df: DataFrame, fns: list[Callable], original: str = "text",
                 translated: str = "translated", threshold: float = 0.5,
                 policy: RetryPolicy | None = None, batch_size: int = 25,
-                min_hot_uses: int = MIN_HOT_USES) -> DataFrame:
+                min_hot_uses: int = MIN_HOT_USES, by: tuple[str, ...] = (), mask: bool = True) -> DataFrame:
     """Translate the missed segments once more; others, and those that fail, stay.
 
-    ``df`` is read more than once: give a written table when it holds a model call.
+    ``by`` names what a request must not mix, the language last; a reviewer is called as
+    ``fn(texts)``, or as ``fn(texts, language)`` when ``by`` is given. An answer is used only for
+    equal texts of the same ``by``. ``mask`` hides protected terms and ``[[…]]`` from reviewers.
+
+    Missed rows alone are joined, by a key; the others are not moved. ``df`` is read more than
+    once: give a written table when it holds a model call. A row without a translation stays.
     """
-    flagged = df.withColumn("__missed", F.when(
-        is_missed(original, translated, threshold), F.col(translated)))
-    counted = flagged.where(F.col("__missed").isNotNull()).groupBy("__missed").agg(
-        F.count(F.lit(1)).alias("uses"))
-    reviewed = translate_segments(
-        counted, first_success(fns), policy, batch_size, text_col="__missed", keep=["uses"]
-    ).withColumn("__new", F.when(F.col("status") == "ok", F.col("translated")))
-    joined = apply_memory(flagged, reviewed, ["__missed"], "__new",
-                          hot_keys(counted, ["__missed"], min_uses=min_hot_uses))
-    return joined.withColumn(translated, F.coalesce("__new", translated)).withColumn(
-        "reviewed", F.col("__new").isNotNull()).drop("__missed", "__new")
+    marked = df.withColumn("__missed", F.coalesce(is_missed(original, translated, threshold), F.lit(False)))
+    others = marked.where(~F.col("__missed")).drop("__missed").withColumn("reviewed", F.lit(False))
+    missed = marked.where("__missed").drop("__missed").withColumn("__key", segment_key(translated))
+    groups = list(by)
+    distinct = missed.groupBy(*groups, translated).agg(F.count(F.lit(1)).alias("uses")).withColumnRenamed(
+        translated, "__text").withColumn("__sent", masked("__text", mask, "R"))
+    ask = first_success(fns)
+    engine = Engine(ask if by else (lambda texts, _: ask(texts)), batch_size, policy or RetryPolicy())
+    answers = call_stage(distinct, "__sent", groups, lambda *_: engine, None).where("status = 'ok'")
+    reviewed = answers.select(
+        *groups, segment_key("__text").alias("__key"), unmasked("translated", "__text", mask, "R").alias("__new"), "uses")
+    keyed = distinct.withColumn("__key", segment_key("__text"))
+    on = [*groups, "__key"]
+    joined = apply_memory(missed, reviewed, on, "__new", hot_keys(keyed, on, min_uses=min_hot_uses))
+    done = joined.withColumn(translated, F.coalesce("__new", translated)).withColumn(
+        "reviewed", F.col("__new").isNotNull()).drop("__new", "__key")
+    return others.unionByName(done)
 
 
 _TAG = r"(?i)</?[a-z][a-z0-9]*"

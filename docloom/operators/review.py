@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed import EVALUATION_FAILED
-from docloom.functions.text import col, strip_code_fence
-from docloom.operators.policy import RetryPolicy
+from docloom.functions.text import col, segment_key, strip_code_fence
+from docloom.operators.policy import Pace, RetryPolicy
 
 REVIEW_SCHEMA = (
     "score string, accuracy string, tone string, issues array<string>, suggestion string, "
@@ -24,24 +24,36 @@ def evaluate(df: DataFrame, judge: Callable[[str, str, str], str], original: str
              translated: str = "translated_text", language: str = "target_language",
              policy: RetryPolicy | None = None, keep: tuple[str, ...] = (),
              partitions: int | None = None) -> DataFrame:
-    """Add ``raw``, the judge's JSON text. A failing call gives score 0 and the error."""
+    """Add ``raw``, the judge's JSON text. A failing call gives score 0 and the error, or
+    stops the job when the policy says ``raise``.
+
+    Equal (original, translation, language) are judged once and spread over all tasks; the
+    answers are joined back by a key.
+    """
     policy = policy or RetryPolicy()
-    src = df.select(*keep, original, translated, language)
+    asked = [original, translated, language]
+    src = df.select(*keep, *asked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace()
         for pdf in batches:
             raws = []
             for o, t, lang in zip(pdf[original], pdf[translated], pdf[language]):
+                pace.wait(policy)
                 try:
                     raws.append(policy.call(judge, o, t, lang)[0])
                 except Exception as e:  # noqa: BLE001
+                    if policy.on_error == "raise":
+                        raise
                     raws.append(json.dumps(
                         {"score": 0, "error": str(e), "suggestion": EVALUATION_FAILED}, ensure_ascii=False))
-            yield pdf.assign(raw=raws)
+            yield pd.DataFrame({"__pair": pdf["__pair"], "raw": raws})
 
+    pair = segment_key(F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(asked)])))
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = src.repartition(n, F.xxhash64(*(keep or (original, translated))))
-    return placed.mapInPandas(run, src.schema.add("raw", "string"))
+    distinct = src.select(*asked).distinct().withColumn("__pair", pair)
+    judged = distinct.repartition(n, F.xxhash64("__pair")).mapInPandas(run, "__pair binary, raw string")
+    return src.withColumn("__pair", pair).join(judged, "__pair", "left").drop("__pair")
 
 
 def parse_reviews(df: DataFrame, raw: str = "raw") -> DataFrame:

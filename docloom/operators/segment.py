@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import fixed
-from docloom.functions.text import segment_key, trim_ws
+from docloom.functions.text import trim_ws
 from docloom.operators.ordering import number_rows
 
 DENSE_BLOCK = 256
@@ -14,7 +14,8 @@ DENSE_BLOCK = 256
 
 def segments(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              trim: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """One row for each non-blank line: ``(id, seg_no, text)``. No shuffle."""
+    """One row for each non-blank line: ``(id, seg_no, text)``. No shuffle. A null text has
+    no lines."""
     lines = df.select(
         id_col, *(keep or []), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("seg_no", "__line")
     )
@@ -28,9 +29,11 @@ def segments(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line, so that a document can be put together whole: ``(id, seg_no, text, blank)``.
 
-    ``text`` is the trimmed segment, null for a blank line, which stands in ``blank``.
+    ``text`` is the trimmed segment, null for a blank line, which stands in ``blank``. A null
+    text is one blank line, so its document does not get lost.
     """
-    lines = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("seg_no", "__line"))
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    lines = df.select(id_col, F.posexplode(F.split(whole, "\n", -1)).alias("seg_no", "__line"))
     trimmed = trim_ws("__line")
     return lines.select(
         id_col, F.col("seg_no").cast("long").alias("seg_no"),
@@ -54,10 +57,6 @@ def distinct_segments(segs: DataFrame, scope: str = "corpus", id_col: str = "doc
         F.count(F.lit(1)).alias("uses"), F.min(id_col).alias("first_doc"))
 
 
-def with_key(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn("seg_key", segment_key(text_col))
-
-
 def batch_segments(segs: DataFrame, size: int, id_col: str = "doc_id",
                    order: str = "first_seg") -> DataFrame:
     """Consecutive groups of ``size`` segments of a document, by first position."""
@@ -66,19 +65,32 @@ def batch_segments(segs: DataFrame, size: int, id_col: str = "doc_id",
         "pos", (F.col("__rank") % size).cast("long")).drop("__rank")
 
 
+def _not_dense(id_col: str):
+    return F.raise_error(F.concat(F.lit("page numbers are not 0, 1, 2, ... in document "), F.col(id_col).cast("string")))
+
+
+def _whole(n: int):
+    """A chunk of dense pages has every number once."""
+    numbers = F.transform("__pages", lambda x: x["o"])
+    expected = F.least(F.lit(n).cast("long"), F.col("__n") - F.col("chunk_index") * n)
+    return (F.size(numbers) == expected) & (F.size(F.array_distinct(numbers)) == expected)
+
+
 def chunk_pages(pages: DataFrame, id_col: str = "doc_id", order: str = "page_no",
                 html: str = "html", n: int = fixed.PAGES_PER_CHUNK, dense: bool = False) -> DataFrame:
     """``n`` consecutive pages for each row: ``(id, chunk_index, chunk_total, pages)``.
 
     ``dense`` says that page numbers are 0, 1, 2, … without gaps, so the position is the
-    number itself and the page bodies are shuffled once instead of twice.
+    number itself and the page bodies are shuffled once instead of twice. A document whose
+    numbers have gaps or repeats raises an error.
     """
     body = pages.select(id_col, order, html)
     if dense:
         # a block holds whole chunks, so the join's partitioning serves the grouping too
         blk = F.floor(F.col(order) / (n * DENSE_BLOCK)).cast("long")
         totals = (
-            pages.groupBy(id_col).agg((F.max(order) + 1).alias("__n"))
+            pages.groupBy(id_col).agg((F.max(order) + 1).alias("__n"), F.count(F.lit(1)).alias("__rows"))
+            .withColumn("__n", F.when(F.col("__rows") == F.col("__n"), F.col("__n")).otherwise(_not_dense(id_col)))
             .select(id_col, "__n", F.explode(
                 F.sequence(F.lit(0).cast("long"),
                            F.floor((F.col("__n") - 1) / (n * DENSE_BLOCK)).cast("long"))).alias("__blk"))
@@ -97,6 +109,7 @@ def chunk_pages(pages: DataFrame, id_col: str = "doc_id", order: str = "page_no"
             .alias("__pages"),
             F.max("__n").alias("__n"),
         )
+        .where(F.when(_whole(n) if dense else F.lit(True), True).otherwise(_not_dense(id_col)).cast("boolean"))
         .select(
             id_col, "chunk_index", F.ceil(F.col("__n") / n).cast("long").alias("chunk_total"),
             F.transform("__pages", lambda x: x["p"]).alias("pages"),

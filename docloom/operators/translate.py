@@ -9,15 +9,17 @@ later merge small partitions into one task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.masking import mask_protected, unmask
-from docloom.functions.text import extract_body, strip_code_fence, trim_ws
-from docloom.operators.policy import RetryPolicy
+from docloom.functions.masking import (
+    has_protected, mask_images, mask_protected, mask_styles, unmask, unmask_images, unmask_styles,
+)
+from docloom.functions.text import decode_entities, extract_body, strip_code_fence, trim_ws
+from docloom.operators.policy import Pace, RetryPolicy
 from docloom.operators.routing import language_name
 
 
@@ -47,14 +49,14 @@ def _run_batch(fn: Callable, policy: RetryPolicy, texts: list[str], *args) -> tu
     return result, "ok", used
 
 
-def _call_stage(src: DataFrame, sent: str, groups: list[str], engine_of: Callable[..., Engine],
+def call_stage(src: DataFrame, sent: str, groups: list[str], engine_of: Callable[..., Engine],
                 partitions: int | None) -> DataFrame:
     """Run the model over ``sent``; a request never mixes values of ``groups``."""
     n = partitions or int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     carried = [f.name for f in src.schema.fields if f.name != "__sent"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        started = False
+        pace = Pace()
         for pdf in batches:
             outs, stats, tries = [], [], []
             texts = pdf[sent].tolist()
@@ -65,9 +67,7 @@ def _call_stage(src: DataFrame, sent: str, groups: list[str], engine_of: Callabl
                 end = at + 1
                 while end < len(texts) and end - at < engine.batch_size and labels[end] == labels[at]:
                     end += 1
-                if started and engine.policy.gap:
-                    engine.policy.sleep(engine.policy.gap)
-                started = True
+                pace.wait(engine.policy)
                 language = labels[at][-1] if groups else None
                 res, status, used = _run_batch(engine.fn, engine.policy, texts[at:end], language)
                 outs += res
@@ -84,15 +84,20 @@ def _call_stage(src: DataFrame, sent: str, groups: list[str], engine_of: Callabl
     return placed.mapInPandas(run, schema)
 
 
-def _masked(src: DataFrame, text_col: str, where: Column) -> DataFrame:
-    """Add ``__sent`` and ``__map``: masked where asked, else the text itself."""
-    return src.withColumn("__m", F.when(where, mask_protected(text_col))).withColumn(
-        "__sent", F.coalesce("__m.text", text_col)).withColumn("__map", F.col("__m.term_map")).drop("__m")
+def masked(text_col: str, where: Column | bool = True, prefix: str = "", html: bool = False) -> Column:
+    """What is sent: the text with its protected parts hidden. A text without any, which one
+    look tells, is sent as it is."""
+    hide = F.lit(where) if isinstance(where, bool) else where
+    return F.when(hide & has_protected(text_col, html), mask_protected(text_col, prefix=prefix, html=html)["text"]
+                  ).otherwise(F.col(text_col))
 
 
-def _unmasked(called: DataFrame) -> DataFrame:
-    return called.withColumn("translated", F.when(
-        F.col("__map").isNotNull(), unmask("translated", "__map")).otherwise(F.col("translated"))).drop("__map")
+def unmasked(answer: str, text_col: str, where: Column | bool = True, prefix: str = "", html: bool = False) -> Column:
+    """Undo :func:`masked` in an answer. The map is made again from the text: only strings
+    travel through the Python stage."""
+    hide = F.lit(where) if isinstance(where, bool) else where
+    return F.when(hide & has_protected(text_col, html), unmask(
+        answer, mask_protected(text_col, prefix=prefix, html=html)["term_map"], prefix)).otherwise(F.col(answer))
 
 
 def translate_segments(
@@ -109,9 +114,9 @@ def translate_segments(
     engine = Engine(lambda texts, _: fn(texts), batch_size, policy or RetryPolicy())
     src = segs.select(text_col, *(keep or []))
     if mask:
-        src = _masked(src, text_col, F.lit(True))
-    called = _call_stage(src, "__sent" if mask else text_col, [], lambda: engine, partitions)
-    return _unmasked(called) if mask else called
+        src = src.withColumn("__sent", masked(text_col))
+    called = call_stage(src, "__sent" if mask else text_col, [], lambda: engine, partitions)
+    return called.withColumn("translated", unmasked("translated", text_col)) if mask else called
 
 
 def translate_by_engine(
@@ -121,37 +126,43 @@ def translate_by_engine(
     """The same for distinct (engine, language, text): every request goes to the engine its
     rows name, with that engine's batch size, retries, pace and masking."""
     src = segs.select(engine_col, language_col, text_col)
-    hidden = [name for name, e in engines.items() if e.mask]
-    src = _masked(src, text_col, F.col(engine_col).isin(hidden))
-    called = _call_stage(src, "__sent", [engine_col, language_col], lambda name, _: engines[name], partitions)
-    return _unmasked(called)
+    hidden = F.col(engine_col).isin([name for name, e in engines.items() if e.mask])
+    called = call_stage(src.withColumn("__sent", masked(text_col, hidden)), "__sent", [engine_col, language_col],
+                         lambda name, _: engines[name], partitions)
+    return called.withColumn("translated", unmasked("translated", text_col, hidden))
 
 
 def translate_chunks(
     chunks: DataFrame, fn: Callable[[str], str], policy: RetryPolicy | None = None,
     keys: tuple[str, ...] = ("doc_id", "chunk_index"), html: str = "html",
     original: Column | None = None, partitions: int | None = None, spread: bool = True,
-    language: str | None = None,
+    language: str | None = None, mask: bool = False,
 ) -> DataFrame:
     """Translate wrapped chunks one by one and keep the body of each answer.
 
     ``fn`` takes the HTML, and the language when a ``language`` column is named.
 
     On an error the original pages of that chunk stay (``original``, by default the body of
-    the chunk). ``spread=False`` is for streams, which are placed by their source.
+    the chunk). ``mask`` hides protected terms and ``[[…]]``, also in their escaped forms, and
+    puts them back into the answer. ``spread=False`` is for streams, which are placed by their source.
     """
     policy = policy or RetryPolicy()
     whole = original if original is not None else extract_body(html)
-    src = chunks.withColumn("__sent", F.col(html)).withColumn("__original", whole).drop(html)
+    src = chunks.withColumn("__sent", masked(html, html=True) if mask else F.col(html)).withColumn("__original", whole)
+    src = src.withColumnRenamed(html, "__source") if mask else src.drop(html)
     names = [f.name for f in src.schema.fields if f.name != "__sent"]
 
     def one(texts: list[str], *extra) -> list[str]:
         return [fn(texts[0], *extra)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace()
         for pdf in batches:
             extra = pdf[[language]].values.tolist() if language else [[]] * len(pdf)
-            done = [_run_batch(one, policy, [t], *x) for t, x in zip(pdf["__sent"].tolist(), extra)]
+            done = []
+            for t, x in zip(pdf["__sent"].tolist(), extra):
+                pace.wait(policy)
+                done.append(_run_batch(one, policy, [t], *x))
             out = pdf[names].copy()
             out["__answer"] = [d[0][0] for d in done]
             out["status"] = [d[1] for d in done]
@@ -163,6 +174,8 @@ def translate_chunks(
         n = partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         src = src.repartition(n, F.xxhash64(*keys))
     called = src.mapInPandas(run, schema)
+    if mask:
+        called = called.withColumn("__answer", unmasked("__answer", "__source", html=True)).drop("__source")
     # white space and a code fence around the answer go before the body is cut out
     body = extract_body(strip_code_fence("__answer", "plain"))
     return called.withColumn(
@@ -170,6 +183,27 @@ def translate_chunks(
     ).drop("__answer", "__original")
 
 
+def translate_html(
+    docs: DataFrame, engine: Engine, html: str = "html", language: str = "target_language",
+    out: str = "translated", partitions: int | None = None,
+) -> DataFrame:
+    """Whole HTML documents, one a call, for an engine that reads HTML.
+
+    Style blocks and image data are hidden before the call. After it the three entities that
+    such an engine adds are decoded, and images and styles put back; a style whose place was
+    damaged goes to the front. Adds ``out``, ``status`` and ``attempts``; on an error the
+    document stays as it is. ``engine.fn`` is called as ``fn([html], language)``.
+    """
+    styled = mask_styles(html)
+    pictured = mask_images(styled["text"])
+    one = replace(engine, batch_size=1)
+    called = call_stage(docs.withColumn("__sent", pictured["text"]), "__sent", [language], lambda _: one, partitions)
+    answer = unmask_styles(
+        unmask_images(decode_entities("translated"), pictured["term_map"]), styled["term_map"])
+    done = F.when(F.col("status") == "ok", answer).otherwise(F.col(html))
+    return called.withColumn("translated", done).withColumnRenamed("translated", out)
+
+
 def align_lines(batches: DataFrame, segments: str = "segments", response: str = "response",
                 keys: tuple[str, ...] = ("batch_no",)) -> DataFrame:
     """Pair the lines of an answer with the segments sent, by position.

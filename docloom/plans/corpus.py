@@ -10,9 +10,12 @@ from docloom.operators import memory, segment
 from docloom.operators.assemble import assemble, assemble_parts
 from docloom.operators.policy import RetryPolicy
 from docloom.operators.requests import plan_requests
-from docloom.operators.translate import align_lines, build_prompts, translate_chunks, translate_segments
+from docloom.operators.translate import (
+    Engine, align_lines, build_prompts, translate_by_engine, translate_chunks, translate_segments,
+)
 from docloom.plans.common import LINES, SEGS, WS, documents, prefix_hindi
 from docloom.plans.registry import query
+from docloom.session import work_dir
 from docloom.sources.requests import read_table
 
 
@@ -30,9 +33,11 @@ def translate_corpus(spark, sf_dir):
     rows = segment.paragraphs(documents(spark, sf_dir).select("doc_id", "text"))
     uses = segment.distinct_segments(rows.where(F.col("text").isNotNull()))
     counted = uses.select("text", "uses")
-    done = translate_segments(counted, prefix_hindi, keep=["uses"])
-    translations = done.select(segment_key("text").alias("seg_key"), "translated", "uses")
-    hot = memory.hot_keys(counted.withColumn("seg_key", segment_key("text")), ["seg_key"])
+    keyed_uses = counted.withColumn("seg_key", segment_key("text"))
+    done = translate_segments(keyed_uses, prefix_hindi, keep=["seg_key"])
+    translations = memory.write_memory(
+        done.select("seg_key", "translated", "status"), work_dir(spark, "corpus-memory"), ["seg_key"])
+    hot = memory.hot_keys(keyed_uses, ["seg_key"])
     keyed = rows.select("doc_id", "seg_no", segment_key("text").alias("seg_key"), "blank")
     placed = memory.apply_memory(keyed, translations, ["seg_key"], hot=hot)
     parts = placed.select("doc_id", "seg_no", F.coalesce("translated", "blank").alias("part"))
@@ -140,6 +145,26 @@ def apply_memory(spark, sf_dir):
     return memory.apply_memory(segs, _memory(spark, sf_dir))
 
 
+@query("reuse_memory", f"SELECT DISTINCT lang, text, '[' || lang || '] ' || text AS translated FROM ({SEGS})")
+def reuse_memory(spark, sf_dir):
+    """A memory filled in two runs: each language keeps its own texts, known ones are not asked
+    for again, and what is written twice is read once."""
+    path, key = work_dir(spark, "reused"), ["lang", "text"]
+    uses = segment.segments(documents(spark, sf_dir), keep=["lang"]).select(*key).distinct()
+
+    def engine(name):
+        return Engine(lambda texts, lang: [
+            f"[{lang}] {t}" if name == "first" or lang != "en" else "asked again" for t in texts])
+
+    for name, part in (("first", uses.where("lang = 'en'")), ("second", uses), ("third", uses)):
+        rows = part if name == "first" else memory.pending_segments(part, memory.read_memory(spark, path, key), key)
+        rows = rows.withColumn("llm_provider", F.lit(name))
+        done = translate_by_engine(rows, {name: engine(name)}, language_col="lang").drop("llm_provider")
+        memory.write_memory(done, path, key)
+    spark.read.parquet(path).write.mode("append").parquet(path)  # another writer adds what is there
+    return memory.read_memory(spark, path, key).select(*key, "translated")
+
+
 @query("pending_segments", f"""
 SELECT DISTINCT text FROM ({SEGS}) WHERE text NOT IN (SELECT text FROM ({_MEMORY}))
 """)
@@ -312,6 +337,25 @@ def translate_chunk_rows(spark, sf_dir):
     return translated_chunks(spark, sf_dir)
 
 
+def _careful_model(html):
+    if "GST" in html or "[[" in html or "L&amp;T" in html:
+        raise ValueError("a protected term was sent")
+    return html.replace("<p>", "<p>[hi] ")
+
+
+_WITH_TERMS = "replace(replace({x}, ' the ', ' GST the L&amp;T '), ' de ', ' [[Note]] de ')"
+
+
+@query("translate_chunks_masked", f"""
+SELECT doc_id, chunk_index, 'ok' AS status, replace({_WITH_TERMS.format(x="body")}, '<p>', '<p>[hi] ') AS html FROM ({_CHUNKS})
+""")
+def translate_chunks_masked(spark, sf_dir):
+    """Chunks with protected terms, plain and escaped, and kept passages: the model never sees them."""
+    rows = pages_of(spark, sf_dir).withColumn("html", F.expr(_WITH_TERMS.format(x="html")))
+    wrapped = segment.wrap_chunk(segment.chunk_pages(rows, dense=True)).drop("pages")
+    return translate_chunks(wrapped, _careful_model, mask=True).select("doc_id", "chunk_index", "status", "html")
+
+
 @query("assemble_document", f"""
 SELECT doc_id, 0 AS part_no, 1 AS part_total,
   '{HTML_HEADER}' || string_agg(html, '' ORDER BY chunk_index) || '{HTML_FOOTER}' AS html

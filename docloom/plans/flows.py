@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from docloom.functions.fixed import HTML_FOOTER, HTML_HEADER
+from docloom.functions.fixed import BAD_FILENAME, HTML_FOOTER, HTML_HEADER, PROTECTED_TERMS
 from docloom.operators import memory, quality, review, routing, segment
 from docloom.operators.assemble import assemble
 from docloom.operators.policy import RetryPolicy
-from docloom.operators.translate import Engine, translate_by_engine
-from docloom.plans.common import LINES, REQUESTS, WS, documents, requests
+from docloom.operators.translate import Engine, translate_by_engine, translate_chunks, translate_html
+from docloom.plans.common import LINES, REQUESTS, WS, documents, pages, requests
 from docloom.plans.registry import query
 from docloom.session import work_dir
 from docloom.sources import corrections as C
@@ -21,7 +23,7 @@ def _say(name):
     def fn(texts, language):
         if any("ß" in t for t in texts):
             return list(texts)  # an engine that overlooks some lines
-        return [f"एक दो तीन {name} {language} " + t[:0] + t.translate(_SOFT) for t in texts]
+        return [f"एक दो तीन {name} {language} " + t.translate(_SOFT) for t in texts]
 
     return fn
 
@@ -36,79 +38,136 @@ ENGINES = {
 }
 
 
-def _reviewer(texts):
-    return ["समीक्षा " + t for t in texts]
+def _reviewer(texts, language):
+    return [f"समीक्षा {language} " + t for t in texts]
 
 
-_CODE = "CASE WHEN lower(target_language) = 'rajasthani' THEN 'hi' ELSE target_language END"
-_TAKEN = f"""
-SELECT *, {_CODE} AS code FROM ({REQUESTS})
-WHERE llm_provider IN ('gemini', 'openai') AND (lower(filename) LIKE '%.pdf' OR lower(filename) LIKE '%.docx')
-"""
+def _page_model(html, language):
+    return html.replace("<p>", f"<p>[{language}] ")
 
 
-def _line_sql(text: str) -> str:
-    said = f"'एक दो तीन ' || substr(llm_provider, 1, 1) || ' ' || code || ' ' || {_SOFT_SQL.format(x=text)}"
-    return f"CASE WHEN contains({text}, 'ß') THEN {text} ELSE {said} END"
+def _html_model(htmls, language):
+    """Changes paragraphs, and escapes what such an engine escapes."""
+    return [h.replace("&", "&amp;").replace("<p>", f"<p>g {language} ") for h in htmls]
 
 
-_PLACED = f"""
-SELECT doc_id, seg_no, text, translated, len(words) > 0 AND (text = translated OR
-  len(list_filter(words, lambda w: regexp_full_match(w, '\\p{{Latin}}+'))) / len(words) > 0.5) AS missed
-FROM (SELECT *, regexp_extract_all(regexp_replace(translated, '<[^>]*>|{quality.TOKEN}|{{terms}}|{quality.NUMBER}',
-        ' ', 'g'), '[\\p{{L}}\\p{{M}}]+') AS words
-      FROM (SELECT l.doc_id, l.seg_no, trim(l.line, {WS}) AS text, {_line_sql(f"trim(l.line, {WS})")} AS translated
-            FROM ({LINES}) l JOIN ({_TAKEN}) t ON l.doc_id = t.doc_id WHERE trim(l.line, {WS}) <> ''))
+_CODE = "CASE WHEN lower(target_language) = 'rajasthani' THEN 'hi' ELSE target_language END"
+_KIND = "CASE WHEN lower(filename) LIKE '%.pdf' THEN 'pdf' WHEN lower(filename) LIKE '%.docx' THEN 'docx' END"
+_MODEL = "coalesce(llm_provider, '') <> '' AND lower(coalesce(llm_provider, '')) <> 'google'"
+_ASKED = f"SELECT *, {_CODE} AS code, {_KIND} AS kind, {_MODEL} AS model FROM ({REQUESTS})"
+_SAID = f"'एक दो तीन ' || substr(llm_provider, 1, 1) || ' ' || code || ' ' || {_SOFT_SQL.format(x='text')}"
+_ASIDE = (
+    r"<[^>]*>|__R?(TERM|BRACKET)_\d+A?__|\[\[[^\n]*?\]\]|(STYLE|IMG)_PLACEHOLDER_\d+|"
+    + "|".join(re.escape(t) for t in PROTECTED_TERMS) + r"|\d+([.,/:\-]\d+)*%?"
+)
+_LINE_OF = f"""
+SELECT *, CASE WHEN contains(text, 'ß') THEN text ELSE {_SAID} END AS translated
+FROM (SELECT a.*, l.seg_no, trim(l.line, {WS}) AS text
+      FROM (SELECT doc_id, seg_no, line FROM ({LINES})) l
+      JOIN (SELECT * EXCLUDE (text) FROM ({_ASKED})) a ON l.doc_id = a.doc_id WHERE trim(l.line, {WS}) <> '')
+"""
+_DONE_LINES = f"""
+SELECT *, CASE WHEN NOT model THEN 'g ' || code || ' ' || text
+  WHEN kind = 'pdf' THEN '[' || code || '] ' || text
+  WHEN len(words) > 0 AND (text = translated OR
+    len(list_filter(words, lambda w: regexp_full_match(w, '\\p{{Latin}}+'))) > 0.5 * len(words))
+  THEN 'समीक्षा ' || code || ' ' || translated ELSE translated END AS final
+FROM (SELECT *, regexp_extract_all(regexp_replace(translated, '{_ASIDE}', ' ', 'g'), '[\\p{{L}}\\p{{M}}]+') AS words
+      FROM ({_LINE_OF}))
 """
-
-
-def _placed_sql() -> str:
-    import re
-
-    from docloom.functions.fixed import PROTECTED_TERMS
-
-    return _PLACED.replace("{terms}", "|".join(re.escape(t) for t in PROTECTED_TERMS))
 
 
 @query("translate_requests", f"""
-WITH p AS (SELECT doc_id, seg_no, text, CASE WHEN missed THEN 'समीक्षा ' || translated ELSE translated END AS final
-           FROM ({_placed_sql()})),
-d AS (SELECT doc_id, '{HTML_HEADER}' || string_agg('<p>' || final || '</p>', '' ORDER BY seg_no) || '{HTML_FOOTER}' AS html,
+WITH d AS (SELECT doc_id, '{HTML_HEADER}' || string_agg('<p>' || final || '</p>', '' ORDER BY seg_no) || '{HTML_FOOTER}' AS html,
       '{HTML_HEADER}' || string_agg('<p>' || text || '</p>', '' ORDER BY seg_no) || '{HTML_FOOTER}' AS original_html
-      FROM p GROUP BY doc_id)
-SELECT d.doc_id, html, original_html, target_language AS language, llm_provider AS provider
-FROM d JOIN ({_TAKEN}) t ON d.doc_id = t.doc_id
+      FROM ({_DONE_LINES}) GROUP BY doc_id),
+r AS (SELECT *, CASE WHEN kind IS NULL THEN 400 WHEN model AND llm_provider NOT IN ('gemini', 'openai') THEN 503 ELSE 200
+      END AS status FROM ({_ASKED}))
+SELECT r.doc_id, r.status,
+  CASE r.status WHEN 400 THEN '{BAD_FILENAME}'
+    WHEN 503 THEN 'Translator ' || chr(39) || llm_provider || chr(39) || ' not configured' END AS detail,
+  CASE WHEN r.status = 200 THEN coalesce(html, '{HTML_HEADER}{HTML_FOOTER}') END AS html,
+  CASE WHEN r.status = 200 THEN coalesce(original_html, '{HTML_HEADER}{HTML_FOOTER}') END AS original_html,
+  CASE WHEN r.status = 200 THEN CASE WHEN model THEN target_language ELSE code END END AS language,
+  CASE WHEN r.status = 200 AND model THEN llm_provider END AS provider
+FROM r LEFT JOIN d ON r.doc_id = d.doc_id
 """)
 def translate_requests(spark, sf_dir):
-    """Check, route, cut, translate by engine and language, review, assemble, hand out.
+    """Check, route, translate, review, assemble, hand out: one row for each request.
 
-    Translations are written once and read back: later steps read them several times, and
-    a lost executor must not repeat paid calls.
-    """
-    accepted, _ = routing.split_rejects(req.accept_uploads(requests(spark, sf_dir)))
-    ready, _ = routing.split_rejects(routing.check_provider(accepted.drop("status", "detail"), list(ENGINES)))
-    ready = ready.where(routing.uses_model("llm_provider")).withColumn(
-        "code", routing.normalize_language("target_language"))
-    segs = segment.segments(ready, keep=["llm_provider", "code"])
+    DOCX with a model goes line by line, each distinct line once, with a review; PDF with a
+    model in chunks of pages; what google translates as one HTML document. Requests that
+    fail a check come back with their status.
 
+    Translations and chunks are written once and read back: later steps read them several
+    times, and a lost executor must not repeat paid calls.
+    """
+    asked = requests(spark, sf_dir)
+    accepted, bad_name = routing.split_rejects(req.accept_uploads(asked))
+    checked, no_engine = routing.split_rejects(
+        routing.check_provider(accepted.drop("status", "detail"), list(ENGINES)))
+    ready = routing.route(checked).withColumn("code", routing.normalize_language("target_language"))
+    wrapped = {"header": HTML_HEADER, "footer": HTML_FOOTER}
+
+    def paragraph(text):
+        return F.concat(F.lit("<p>"), text, F.lit("</p>"))
+
+    # lines
+    segs = segment.segments(ready.where("route = 'docx_model'"), keep=["llm_provider", "code"])
     key = ["llm_provider", "code", "text"]
     counted = segs.groupBy(*key).agg(F.count(F.lit(1)).alias("uses"))
     done = translate_by_engine(counted, ENGINES, language_col="code")
-    known = memory.write_memory(done, work_dir(spark, "memory"))
+    known = memory.write_memory(done, work_dir(spark, "memory"), key)
     placed = memory.apply_translations(segs, known, key, hot=memory.hot_keys(counted, key))
     placed.write.parquet(path := work_dir(spark, "placed"))
-    final = quality.review_pass(spark.read.parquet(path), [_reviewer])
-
-    lines = final.select(
-        "doc_id", "seg_no", F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("before"),
-        F.concat(F.lit("<p>"), "translated", F.lit("</p>")).alias("after"))
-    rows = assemble(
-        lines, "doc_id", "seg_no", {"html": "after", "original_html": "before"}, header=HTML_HEADER, footer=HTML_FOOTER
-    ).join(ready.select("doc_id", "target_language", "llm_provider", "file_type"), "doc_id")
+    final = quality.review_pass(spark.read.parquet(path), [_reviewer], by=("llm_provider", "code"))
+    final.write.parquet(path := work_dir(spark, "reviewed-lines"))
+    by_line = assemble(
+        spark.read.parquet(path).select("doc_id", "seg_no", paragraph("translated").alias("html")),
+        "doc_id", "seg_no", **wrapped)
+
+    # pages in chunks: here a line is a page
+    lines = segment.segments(ready.where("route = 'pdf_model'"))
+    chunks = segment.wrap_chunk(segment.chunk_pages(
+        lines.select("doc_id", "seg_no", paragraph("text").alias("page")), order="seg_no", html="page"))
+    answered = translate_chunks(
+        chunks.drop("pages").join(ready.select("doc_id", "code"), "doc_id"), _page_model, language="code", mask=True)
+    answered.write.parquet(path := work_dir(spark, "answered"))
+    by_chunk = assemble(spark.read.parquet(path), "doc_id", "chunk_index", **wrapped)
+
+    # originals, and whole documents for google; a document without a line is an empty page
+    empty = F.lit(HTML_HEADER + HTML_FOOTER)
+    originals = assemble(
+        segment.segments(ready).select("doc_id", "seg_no", paragraph("text").alias("html")),
+        "doc_id", "seg_no", out="original_html", **wrapped)
+    every = ready.drop("text").join(originals, "doc_id", "left").withColumn(
+        "original_html", F.coalesce("original_html", empty))
+    whole = translate_html(every.where("route LIKE '%google'").select("doc_id", "code", "original_html"),
+                           Engine(_html_model), "original_html", "code", out="html")
+    whole.select("doc_id", "html").write.parquet(path := work_dir(spark, "whole"))
+
+    texts = by_line.unionByName(by_chunk).unionByName(spark.read.parquet(path))
     none = F.lit(None).cast("string")
-    return R.result_rows(
-        rows.withColumn("translated_docx_b64", none).withColumn("translated_pdf_b64", none), ["doc_id"]
-    ).drop("translated_docx_b64", "translated_pdf_b64")
+    rows = every.join(texts, "doc_id", "left").withColumn("html", F.coalesce("html", empty))
+    results = R.result_rows(
+        rows.withColumn("translated_docx_b64", none).withColumn("translated_pdf_b64", none), ["doc_id"])
+    handed = results.drop("translated_docx_b64", "translated_pdf_b64").withColumn("status", F.lit(200)).withColumn("detail", none)
+    rejects = bad_name.select("doc_id", "status", "detail").unionByName(no_engine.select("doc_id", "status", "detail"))
+    return handed.unionByName(rejects, allowMissingColumns=True)
+
+
+def _translate_words(htmls, language):
+    return [h.replace(" the ", f" THE-{language} ").replace("'", "&#39;") for h in htmls]
+
+
+@query("translate_html_google", """
+SELECT page_id, replace(replace(replace(replace(html, ' the ', ' THE-hi '), '&#39;', chr(39)),
+  '&quot;', '"'), '&amp;', '&') AS translated, 'ok' AS status FROM pages
+""")
+def translate_html_google(spark, sf_dir):
+    """Whole pages by an engine that reads HTML; their style blocks stay out of the call."""
+    docs = pages(spark, sf_dir).select("page_id", "html", F.lit("hi").alias("target_language"))
+    return translate_html(docs, Engine(_translate_words)).select("page_id", "translated", "status")
 
 
 _FIRST = "regexp_extract(text, '[A-Za-z]{4,}', 0)"

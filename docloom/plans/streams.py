@@ -14,7 +14,7 @@ from docloom.session import work_dir
 from docloom.sources import corrections as C
 from docloom.streaming import chunks as S
 
-# the last chunk of a conversation never arrives where its last turn has an ø-free É in front
+# the last chunk of a conversation never arrives where its text holds these letters
 _LOST = "contains(body, 'Ét') AND chunk_index = chunk_total - 1"
 
 
@@ -38,11 +38,15 @@ def _run(spark, sf_dir):
     return table
 
 
-def _track(spark, table):
+def _track_files(spark, table):
     path = work_dir(spark, "progress")
     arrived = S.read_chunk_stream(spark, table, files_per_trigger=2, schema=S.TABLE_SCHEMA)
     S.run_to_end(S.write_progress(S.track_arrivals(arrived), path, work_dir(spark, "progress-checkpoint")))
-    return spark.read.schema(S.PROGRESS_SCHEMA).parquet(path)
+    return path
+
+
+def _track(spark, table):
+    return spark.read.schema(S.PROGRESS_SCHEMA).parquet(_track_files(spark, table))
 
 
 _ARRIVED = f"SELECT t.* FROM ({_TRANSLATED}) t JOIN (SELECT doc_id, chunk_index FROM ({_CHUNKS}) WHERE NOT ({_LOST})) USING (doc_id, chunk_index)"
@@ -60,7 +64,7 @@ SELECT doc_id, count(*) AS done, max(chunk_total) AS total FROM ({_ARRIVED}) GRO
 """)
 def stream_progress(spark, sf_dir):
     """Repeated chunks count once."""
-    return S.latest_progress(_track(spark, _run(spark, sf_dir)))
+    return S.latest_progress(_track(spark, _run(spark, sf_dir))).select("doc_id", "done", "total")
 
 
 @query("stream_documents", f"""
@@ -75,6 +79,24 @@ def stream_documents(spark, sf_dir):
     return S.finished_documents(spark.read.parquet(path), progress)
 
 
+@query("stream_done_events", f"""
+SELECT doc_id, 'done' AS type, 0 AS part_no, 1 AS part_total,
+  '{HTML_HEADER}' || string_agg(html, '' ORDER BY chunk_index) || '{HTML_FOOTER}' AS html,
+  'conversation ' || doc_id AS original_html, 'hi' AS language, 'gemini' AS provider,
+  CAST(NULL AS VARCHAR) AS translated_pdf_b64
+FROM ({_ARRIVED}) GROUP BY doc_id HAVING count(*) = max(chunk_total)
+""")
+def stream_done_events(spark, sf_dir):
+    """Each finished document once, as a stream over the progress rows."""
+    table = _run(spark, sf_dir)
+    originals = pages_of(spark, sf_dir).select("doc_id").distinct().selectExpr(
+        "doc_id", "concat('conversation ', doc_id) AS original_html", "'hi' AS language", "'gemini' AS provider")
+    path = work_dir(spark, "done")
+    done = S.track_done(S.read_progress_stream(spark, _track_files(spark, table), files_per_trigger=8))
+    S.run_to_end(S.write_done(done, table, originals, path, work_dir(spark, "done-checkpoint")))
+    return spark.read.parquet(path).drop("batch_id")
+
+
 @query("partial_preview", f"""
 SELECT doc_id, 0 AS part_no, 1 AS part_total,
   '{PREVIEW_HEADER}' || string_agg(html, '' ORDER BY chunk_index) || '{HTML_FOOTER}' AS html

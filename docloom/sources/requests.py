@@ -14,13 +14,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small input of few splits; a large input is left as it is.
+    """Deal the rows to as many tasks as ``spark.docloom.spread`` says; unset, nothing happens.
 
-    A file of one row group is one task, whatever its text costs to work on. With more
-    splits than cores this adds nothing, not even an exchange.
+    A local session sets it: a test file of one row group would else be one task. On a
+    cluster inputs have splits enough, and no exchange is added.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    n = df.sparkSession.conf.get("spark.docloom.spread", "")
+    return df.repartition(int(n)) if n else df
 
 
 def accept_uploads(df: DataFrame, extension: str | None = None, filename: str = "filename") -> DataFrame:

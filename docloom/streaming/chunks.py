@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,8 +27,11 @@ from docloom.operators.translate import translate_chunks
 
 BUCKET = 4096
 CHUNK_SCHEMA = "doc_id long, chunk_index long, chunk_total long, html string"
-TABLE_SCHEMA = CHUNK_SCHEMA + ", status string, attempts int, done long, received_at timestamp"
-PROGRESS_SCHEMA = "doc_id long, bucket long, arrived long, expected long, chunk_total long"
+SLOTS = 64
+TABLE_SCHEMA = CHUNK_SCHEMA + ", status string, attempts int, done long, received_at timestamp, slot int"
+PROGRESS_SCHEMA = ("doc_id long, bucket long, arrived long, expected long, chunk_total long, rejected long, "
+                   "finished boolean, abandoned boolean")
+DAY_MS = 24 * 3600 * 1000
 
 
 def read_chunk_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None,
@@ -47,48 +50,66 @@ def stream_chunks(chunks: DataFrame, fn: Callable[[str], str], policy: RetryPoli
         (F.col("chunk_index") + 1).alias("done"), F.current_timestamp().alias("received_at"))
 
 
+def slot_of(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SLOTS)).cast("int")
+
+
 def write_chunks(events: DataFrame, path: str, checkpoint: str):
+    """Append to the chunk table, in folders by a hash of the document."""
     return (
-        events.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        events.withColumn("slot", slot_of()).writeStream.format("parquet").outputMode("append")
+        .partitionBy("slot").option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def track_arrivals(chunks: DataFrame, late_by: str = "1 day",
-                   forget_after_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """``(doc_id, bucket, arrived, expected, chunk_total)`` after each trigger.
+def track_arrivals(chunks: DataFrame, forget_after_ms: int = DAY_MS,
+                   abandon_after_ms: int = 30 * DAY_MS) -> DataFrame:
+    """``PROGRESS_SCHEMA`` rows of the keys that a trigger touched.
 
-    A repeated index changes nothing. A finished bucket drops its indices and keeps an
-    empty mark for ``forget_after_ms``, so a late repeat cannot open it again; an open one
-    waits without limit. Time is when a chunk entered the chunk table, which a stream over
-    that table sees in order, so ``late_by`` has a wide margin.
+    A repeated index changes nothing. An index that is null, negative or past the end counts
+    as ``rejected``, under bucket -1, and never as arrived. A finished bucket drops its indices
+    and keeps an empty mark for ``forget_after_ms``, so a late repeat cannot open it again. An
+    open bucket that nothing reaches for ``abandon_after_ms`` is reported once as
+    ``abandoned`` and forgotten; its chunks stay in the chunk table. Both times count from
+    when a row is read, whatever time it holds: old rows count like new ones.
     """
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState):
         doc_id, bucket = key
+        seen, finished, total, rejected = (
+            (set(state.get[0]), state.get[1], state.get[2], state.get[3]) if state.exists else (set(), False, 0, 0))
         if state.hasTimedOut:
             state.remove()
-            return
-        seen, finished = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
-        total, newest = 0, 0
-        for pdf in batches:
-            seen.update(pdf["chunk_index"].tolist())
-            total = max(total, int(pdf["chunk_total"].max()))
-            newest = max(newest, int(pdf["received_at"].max().timestamp() * 1000))
-        expected = min(BUCKET, total - bucket * BUCKET)
-        finished = finished or len(seen) >= expected
-        arrived = expected if finished else len(seen)
-        state.update(([] if finished else sorted(seen), finished))
-        if finished:
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + forget_after_ms)
-        yield pd.DataFrame({"doc_id": [doc_id], "bucket": [bucket], "arrived": [arrived],
-                            "expected": [expected], "chunk_total": [total]})
-
-    keyed = chunks.withWatermark("received_at", late_by).select(
-        "doc_id", F.floor(F.col("chunk_index") / BUCKET).cast("long").alias("bucket"),
-        "chunk_index", "chunk_total", "received_at")
+            if finished or bucket < 0:
+                return
+            arrived, abandoned = len(seen), True
+        else:
+            now = 0
+            for pdf in batches:
+                now = max(now, int(pdf["seen_at"].max().timestamp() * 1000))
+                if bucket < 0:
+                    rejected += len(pdf)
+                    continue
+                seen.update(pdf["chunk_index"].astype("int64").tolist())
+                total = max(total, int(pdf["chunk_total"].max()))
+            expected = max(0, min(BUCKET, total - bucket * BUCKET))
+            finished = bucket >= 0 and (finished or len(seen) >= expected)
+            arrived, abandoned = (expected if finished else len(seen)), False
+            state.update(([] if finished else sorted(seen), finished, total, rejected))
+            state.setTimeoutTimestamp(max(now, state.getCurrentWatermarkMs()) + (
+                forget_after_ms if finished or bucket < 0 else abandon_after_ms))
+        expected = max(0, min(BUCKET, total - bucket * BUCKET)) if bucket >= 0 else 0
+        yield pd.DataFrame({
+            "doc_id": [doc_id], "bucket": [bucket], "arrived": [arrived], "expected": [expected],
+            "chunk_total": pd.array([total if bucket >= 0 else None], "Int64"), "rejected": [rejected],
+            "finished": [finished], "abandoned": [abandoned]})
+
+    good = (F.col("chunk_index") >= 0) & (F.col("chunk_index") < F.col("chunk_total"))
+    keyed = chunks.select(
+        "doc_id", F.when(good, F.floor(F.col("chunk_index") / BUCKET)).otherwise(-1).cast("long").alias("bucket"),
+        "chunk_index", "chunk_total", F.current_timestamp().alias("seen_at")).withWatermark("seen_at", "0 seconds")
     return keyed.groupBy("doc_id", "bucket").applyInPandasWithState(
-        update, PROGRESS_SCHEMA, "seen array<long>, finished boolean", "update",
+        update, PROGRESS_SCHEMA, "seen array<long>, finished boolean, total long, rejected long", "update",
         GroupStateTimeout.EventTimeTimeout)
 
 
@@ -104,17 +125,75 @@ def write_progress(progress: DataFrame, path: str, checkpoint: str):
 
 
 def latest_progress(table: DataFrame) -> DataFrame:
-    """Chunks done of all chunks, for each document: ``(doc_id, done, total)``."""
+    """Chunks done of all chunks, for each document: ``(doc_id, done, total, rejected, abandoned)``."""
     buckets = table.groupBy("doc_id", "bucket").agg(
-        F.max("arrived").alias("arrived"), F.max("chunk_total").alias("chunk_total"))
+        F.max("arrived").alias("arrived"), F.max("chunk_total").alias("chunk_total"),
+        F.max("rejected").alias("rejected"), F.max("abandoned").alias("abandoned"),
+        F.max("finished").alias("finished"))
     return buckets.groupBy("doc_id").agg(
-        F.sum("arrived").alias("done"), F.max("chunk_total").alias("total"))
+        F.sum("arrived").alias("done"), F.max("chunk_total").alias("total"), F.sum("rejected").alias("rejected"),
+        F.max(F.col("abandoned") & ~F.col("finished")).alias("abandoned"))
+
+
+def track_done(progress: DataFrame, forget_after_ms: int = 30 * DAY_MS) -> DataFrame:
+    """A stream of progress rows to ``(doc_id, chunk_total)``, once for each document, in the
+    trigger that brings its last bucket. The state holds bucket numbers, after that a mark."""
+    def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        buckets, total, done = (set(state.get[0]), state.get[1], state.get[2]) if state.exists else (set(), 0, False)
+        at = 0
+        for pdf in batches:
+            at = max(at, int(pdf["seen_at"].max().timestamp() * 1000))
+            buckets.update(pdf["bucket"].tolist())
+            total = max(total, int(pdf["chunk_total"].max()))
+        now = not done and len(buckets) >= -(-total // BUCKET)
+        state.update(([] if done or now else sorted(buckets), total, done or now))
+        if done or now:
+            state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs()) + forget_after_ms)
+        if now:
+            yield pd.DataFrame({"doc_id": [key[0]], "chunk_total": [total]})
+
+    ready = progress.where("finished and bucket >= 0").select(
+        "doc_id", "bucket", "chunk_total", F.current_timestamp().alias("seen_at")).withWatermark("seen_at", "0 seconds")
+    return ready.groupBy("doc_id").applyInPandasWithState(
+        update, "doc_id long, chunk_total long", "buckets array<long>, total long, done boolean", "update",
+        GroupStateTimeout.EventTimeTimeout)
+
+
+def read_progress_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    return read_chunk_stream(spark, f"{path}/*", files_per_trigger, PROGRESS_SCHEMA)
+
+
+def write_done(done: DataFrame, chunk_path: str, originals: DataFrame, path: str, checkpoint: str):
+    """The closing event of each document in ``done``, one row for each part of it.
+
+    ``originals`` has (doc_id, original_html, language, provider). Trigger ``n`` overwrites
+    ``path/batch_id=n``. Only the folders of the chunk table that newly finished documents lie
+    in are read.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ids = batch.select("doc_id", slot_of().alias("slot")).persist()
+        slots = [r[0] for r in ids.select("slot").distinct().collect()]  # at most SLOTS
+        table = spark.read.schema(TABLE_SCHEMA).parquet(chunk_path).where(F.col("slot").isin(slots))
+        ready = table.join(ids.select("doc_id"), "doc_id", "left_semi")
+        documents = assemble_parts(latest_chunks(ready), "doc_id")
+        done_events(documents, originals).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        ids.unpersist()
+
+    return (
+        done.writeStream.outputMode("update").foreachBatch(save)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
 
 def latest_chunks(table: DataFrame) -> DataFrame:
     """One row for each index: a chunk delivered again replaces the earlier one."""
     newest = F.max(F.struct("received_at", "html", "status"))
-    return table.groupBy("doc_id", "chunk_index").agg(
+    # an index past the end belongs to no document
+    return table.where("chunk_index >= 0 and chunk_index < chunk_total").groupBy("doc_id", "chunk_index").agg(
         newest.alias("n"), F.max("chunk_total").alias("chunk_total")
     ).select("doc_id", "chunk_index", "chunk_total", F.col("n.html").alias("html"),
              F.col("n.status").alias("status"))
@@ -136,11 +215,11 @@ def partial_preview(chunk_table: DataFrame) -> DataFrame:
     return assemble_parts(latest_chunks(chunk_table), "doc_id", header=fixed.PREVIEW_HEADER)
 
 
-def done_events(documents: DataFrame, originals: DataFrame, language: str, provider: str) -> DataFrame:
-    """The closing event of each stream, for documents of one part."""
-    return documents.where(F.col("part_total") == 1).join(originals, "doc_id").select(
-        "doc_id", F.lit("done").alias("type"), "html", "original_html",
-        F.lit(language).alias("language"), F.lit(provider).alias("provider"),
+def done_events(documents: DataFrame, originals: DataFrame) -> DataFrame:
+    """The closing events: one row for each part of a document, the original with part 0."""
+    return documents.join(originals, "doc_id").select(
+        "doc_id", F.lit("done").alias("type"), "part_no", "part_total", "html",
+        F.when(F.col("part_no") == 0, F.col("original_html")).alias("original_html"), "language", "provider",
         F.lit(None).cast("string").alias("translated_pdf_b64"))
 
 
@@ -153,8 +232,10 @@ def write_corrections(entries: DataFrame, path: str, checkpoint: str):
     )
 
 
-def run_to_end(query, seconds: int = 600) -> None:
-    """Wait until all that is available has been read."""
-    if not query.awaitTermination(seconds):
+def run_to_end(query, seconds: int | None = None) -> None:
+    """Wait until all that is available has been read; with ``seconds``, no longer than that."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError("stream did not finish")

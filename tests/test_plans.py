@@ -2,15 +2,16 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from docloom.plans import QUERIES, load_all
 
-QUERIES = entry.queries()
+load_all()
 CALLS = {  # the only queries with a Python stage: those that call a model
     "translate_corpus", "translate_segments", "translate_segments_masked", "translate_with_fallback",
-    "translate_chunks", "assemble_document", "review_pass", "evaluate", "evaluate_and_score",
+    "translate_chunks", "translate_chunks_masked", "assemble_document", "review_pass", "evaluate", "evaluate_and_score",
 }
 WRITERS = {"append_corrections", "write_results", "stream_chunks", "stream_progress", "stream_documents",
-           "partial_preview", "stream_corrections", "translate_requests", "evaluate_fix_and_save"}
+           "partial_preview", "stream_corrections", "stream_done_events", "translate_requests", "evaluate_fix_and_save",
+           "reuse_memory"}
 
 
 def plan(df):
@@ -53,11 +54,16 @@ def test_dense_chunks_shuffle_bodies_once(spark, sf_dir):
     assert text.count("Exchange hashpartitioning") == 3
 
 
-def test_only_small_inputs_are_spread(spark):
+def test_inputs_are_dealt_out_only_where_a_session_says_so(spark, sf_dir):
     from docloom.sources.requests import spread
 
     assert "RoundRobinPartitioning(8)" in plan(spread(spark.range(0, 10, 1, 1)))
-    assert "Exchange" not in plan(spread(spark.range(0, 10, 1, 50)))
+    was = spark.conf.get("spark.docloom.spread")
+    spark.conf.unset("spark.docloom.spread")
+    try:
+        assert "Exchange" not in plan(QUERIES["segments"](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.docloom.spread", was)
 
 
 def test_translated_lines_travel_as_keys(spark, sf_dir):

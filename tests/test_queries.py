@@ -5,7 +5,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import compare, duck
 
-from docloom.plans import ORACLES, QUERIES
+from docloom.plans import ORACLES, QUERIES, load_all
+
+load_all()
 
 
 @pytest.fixture(scope="module")

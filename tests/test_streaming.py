@@ -20,13 +20,16 @@ def upper(html):
 class Stream:
     def __init__(self, spark, tmp_path):
         self.spark = spark
-        self.p = {k: str(tmp_path / k) for k in ("in", "chunks", "progress", "c1", "c2")}
+        self.p = {k: str(tmp_path / k) for k in ("in", "chunks", "progress", "done", "c1", "c2", "c3")}
 
     def run(self):
         src = S.read_chunk_stream(self.spark, self.p["in"], files_per_trigger=1)
         S.run_to_end(S.write_chunks(S.stream_chunks(src, upper), self.p["chunks"], self.p["c1"]), 120)
         arrived = S.read_chunk_stream(self.spark, self.p["chunks"], 1, S.TABLE_SCHEMA)
         S.run_to_end(S.write_progress(S.track_arrivals(arrived), self.p["progress"], self.p["c2"]), 120)
+        originals = self.spark.range(100).selectExpr("id AS doc_id", "'o' AS original_html", "'hi' AS language", "'gemini' AS provider")
+        done = S.track_done(S.read_progress_stream(self.spark, self.p["progress"]))
+        S.run_to_end(S.write_done(done, self.p["chunks"], originals, self.p["done"], self.p["c3"]), 120)
 
     def table(self):
         return self.spark.read.parquet(self.p["chunks"])
@@ -37,6 +40,9 @@ class Stream:
     def done(self):
         return {r.doc_id: (r.done, r.total) for r in S.latest_progress(self.progress()).collect()}
 
+    def events(self):
+        return sorted((r.doc_id, r.part_no, r.part_total, r.original_html) for r in self.spark.read.parquet(self.p["done"]).collect())
+
     def documents(self):
         return {r.doc_id: r.html for r in S.finished_documents(self.table(), self.progress()).collect()}
 
@@ -64,6 +70,7 @@ def test_any_order_repeats_and_restart(spark, stream):
     deliver(spark, stream.p["in"], [(1, 1, 3), (3, 0, 1)])
     stream.run()
     assert stream.done() == {1: (3, 3), 2: (1, 2), 3: (1, 1)} and stream.documents() == docs
+    assert stream.events() == [(1, 0, 1, "o"), (3, 0, 1, "o")]  # each once, over all runs
     assert stream.table().count() == 8  # nothing is read twice across restarts
 
 
@@ -86,10 +93,54 @@ def test_repeated_chunk_takes_the_newest_body(spark):
 
 
 def test_done_events(spark):
-    docs = spark.createDataFrame([(1, 0, 1, "h")], "doc_id long, part_no long, part_total long, html string")
-    originals = spark.createDataFrame([(1, "o")], "doc_id long, original_html string")
-    r = S.done_events(docs, originals, "hi", "gemini").collect()[0]
-    assert (r.type, r.html, r.original_html, r.language, r.provider) == ("done", "h", "o", "hi", "gemini")
+    docs = spark.createDataFrame([(1, 0, 2, "h"), (1, 1, 2, "i")], "doc_id long, part_no long, part_total long, html string")
+    originals = spark.createDataFrame([(1, "o", "hi", "gemini")], "doc_id long, original_html string, language string, provider string")
+    rows = sorted(S.done_events(docs, originals).collect(), key=lambda r: r.part_no)
+    assert [(r.type, r.html, r.original_html, r.language, r.provider) for r in rows] == [
+        ("done", "h", "o", "hi", "gemini"), ("done", "i", None, "hi", "gemini")]
+
+
+def test_a_document_of_many_chunks_gets_its_event(spark, stream):
+    deliver(spark, stream.p["in"], [(1, i, 1500) for i in range(1500)])
+    stream.run()
+    assert stream.events() == [(1, 0, 2, "o"), (1, 1, 2, None)]
+
+
+def test_old_arrivals_count_like_new_ones(spark, stream):
+    """Files of a chunk table may come in any order of their times."""
+    for trigger, (chunk, days) in enumerate([(0, 0), (1, -3), (2, 0), (3, -9)]):
+        rows = spark.createDataFrame([(5, chunk, 4, "h", "ok", 1, 1)], "doc_id long, chunk_index long, chunk_total long, html string, status string, attempts int, done long")
+        rows.withColumn("received_at", F.expr(f"current_timestamp() + INTERVAL {days} DAYS")).withColumn(
+            "slot", S.slot_of()).coalesce(1).write.mode("append").partitionBy("slot").parquet(stream.p["chunks"])
+        arrived = S.read_chunk_stream(spark, stream.p["chunks"], 1, S.TABLE_SCHEMA)
+        S.run_to_end(S.write_progress(S.track_arrivals(arrived), stream.p["progress"], stream.p["c2"]), 120)
+        assert stream.done() == {5: (trigger + 1, 4)}
+    assert list(stream.documents()) == [5]
+
+
+def test_indices_past_the_end_are_rejected(spark, stream):
+    deliver(spark, stream.p["in"], [(1, 0, 3), (1, 1, 3), (1, 7, 3), (1, 90000, 3), (1, -1, 3), (2, 5, 3)])
+    stream.run()
+    rows = {r.doc_id: (r.done, r.total, r.rejected) for r in S.latest_progress(stream.progress()).collect()}
+    assert rows == {1: (2, 3, 3), 2: (0, None, 1)} and stream.documents() == {} and stream.events() == []
+    deliver(spark, stream.p["in"], [(1, 2, 3)])
+    stream.run()
+    assert stream.documents()[1].endswith("<body>1.01.11.2</body></html>") and stream.events() == [(1, 0, 1, "o")]
+
+
+def test_abandoned_documents_are_reported(spark, stream):
+    deliver(spark, stream.p["in"], [(1, 0, 2), (2, 0, 1)])
+
+    def run():
+        src = S.read_chunk_stream(spark, stream.p["in"], files_per_trigger=1)
+        S.run_to_end(S.write_chunks(S.stream_chunks(src, upper), stream.p["chunks"], stream.p["c1"]), 120)
+        arrived = S.track_arrivals(S.read_chunk_stream(spark, stream.p["chunks"], 1, S.TABLE_SCHEMA), abandon_after_ms=1)
+        S.run_to_end(S.write_progress(arrived, stream.p["progress"], stream.p["c2"]), 120)
+
+    run()
+    deliver(spark, stream.p["in"], [(3, 0, 1)])
+    run()
+    assert {r.doc_id: r.abandoned for r in S.latest_progress(stream.progress()).collect()} == {1: True, 2: False, 3: False}
 
 
 class FakeSession:

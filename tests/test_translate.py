@@ -270,3 +270,125 @@ def test_segments_keep_order_and_documents_keep_blank_lines(spark):
     got = [(r.doc_id, r.seg_no, r.text) for r in segment.segments(df).orderBy("doc_id", "seg_no").collect()]
     assert got == [(1, 0, "a"), (1, 2, "b")]
     assert segment.paragraphs(df).count() == 4 + 2 + 1
+
+
+def test_review_keeps_languages_apart_and_hides_terms(spark):
+    seen = []
+
+    def reviewer(texts, language):
+        if any("GST" in t or "[[" in t for t in texts):
+            raise ValueError("a protected term was sent")
+        return [f"{language}: {t} अंत" for t in texts]
+
+    rows = [(1, "g", "hi", "pay the GST now", "pay the GST now"), (2, "g", "te", "pay the GST now", "pay the GST now"),
+            (3, "o", "hi", "see [[Note]] here", "see [[Note]] here"), (4, "o", "hi", "fine", "ठीक"), (5, "o", "hi", "none", None)]
+    df = spark.createDataFrame(rows, "id int, engine string, lang string, text string, translated string")
+    got = {r.id: (r.translated, r.reviewed) for r in quality.review_pass(df, [reviewer], by=("engine", "lang")).collect()}
+    assert got == {1: ("hi: pay the GST now अंत", True), 2: ("te: pay the GST now अंत", True),
+                   3: ("hi: see [[Note]] here अंत", True), 4: ("ठीक", False), 5: (None, False)}
+    assert seen == []
+
+
+def test_memory_is_safe_to_write_twice(spark, tmp_path):
+    path, key = str(tmp_path / "m"), ["lang", "text"]
+    rows = spark.createDataFrame([("hi", "a", "A", "ok"), ("te", "a", "B", "ok"), ("hi", "b", "b", "kept"), ("hi", "a", "A", "ok")],
+                                 "lang string, text string, translated string, status string")
+    for _ in range(2):
+        known = memory.write_memory(rows, path, key)
+        assert sorted((r.lang, r.text, r.translated) for r in known.collect()) == [("hi", "a", "A"), ("te", "a", "B")]
+    assert spark.read.parquet(path).count() == 2
+    spark.read.parquet(path).write.mode("append").parquet(path)
+    assert memory.read_memory(spark, path, key).count() == 2
+    assert [r.text for r in memory.pending_segments(rows.select(*key).distinct(), known, key).collect()] == ["b"]
+
+
+class Clock:
+    """Writes down the waits of a task where the test can read them."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def __call__(self, seconds):
+        with open(self.path, "a") as f:
+            f.write(f"{seconds}\n")
+
+
+def test_every_call_stage_keeps_the_pace(spark, tmp_path):
+    from docloom.operators import review
+    from docloom.operators.translate import translate_html
+
+    def waits(run):
+        path = tmp_path / f"waits{len(list(tmp_path.iterdir()))}"
+        path.touch()
+        run(RetryPolicy(gap=7, sleep=Clock(str(path)))).collect()
+        return path.read_text().split()
+
+    texts = spark.createDataFrame([(f"line {k}", "hi", k) for k in range(4)], "text string, lang string, doc_id long")
+    chunks = texts.selectExpr("doc_id", "0L AS chunk_index", "concat('<body>', text, '</body>') AS html", "lang")
+    pairs = texts.selectExpr("text AS original_text", "text AS translated_text", "lang AS target_language")
+    assert waits(lambda p: translate_segments(texts, list, p, batch_size=1, partitions=1)) == ["7"] * 3
+    assert waits(lambda p: translate_chunks(chunks, str, p, partitions=1)) == ["7"] * 3
+    assert waits(lambda p: review.evaluate(pairs, lambda o, t, lang: "{}", policy=p, partitions=1)) == ["7"] * 3
+    assert waits(lambda p: translate_html(chunks, Engine(lambda h, lang: h, policy=p), language="lang", partitions=1)) == ["7"] * 3
+
+
+def test_equal_pairs_are_judged_once_and_errors_can_stop(spark, tmp_path):
+    from docloom.operators import review
+
+    log = tmp_path / "calls"
+    log.touch()
+
+    def judge(original, translated, language):
+        with open(log, "a") as f:
+            f.write("call\n")
+        if original == "bad":
+            raise ValueError("no")
+        return '{"score": 9}'
+
+    rows = spark.createDataFrame([("a", "b", "hi")] * 200 + [("c", None, "hi")], "original_text string, translated_text string, target_language string")
+    assert {r.raw for r in review.evaluate(rows, judge).collect()} == {'{"score": 9}'} and review.evaluate(rows, judge).count() == 201
+    log.write_text("")
+    assert len(review.evaluate(rows, judge).collect()) == 201
+    assert log.read_text().split() == ["call"] * 2
+    bad = spark.createDataFrame([("bad", "b", "hi")], rows.schema)
+    assert '"score": 0' in review.evaluate(bad, judge).collect()[0].raw
+    with pytest.raises(Exception, match="no"):
+        review.evaluate(bad, judge, policy=RetryPolicy(on_error="raise")).collect()
+
+
+def test_dense_chunks_check_their_pages(spark):
+    from docloom.operators.segment import chunk_pages, paragraphs
+
+    def pages(numbers):
+        return spark.createDataFrame([(1, n, f"<p>{n}</p>") for n in numbers], "doc_id long, page_no long, html string")
+
+    assert chunk_pages(pages(range(7)), dense=True).count() == 3
+    for bad in ([0, 1, 5, 9], [0, 0, 2], [0, 1, 2, 6, 7, 8], [0, 0, 3, 3], [1, 2, 3]):
+        with pytest.raises(Exception, match="document 1"):
+            chunk_pages(pages(bad), dense=True).collect()
+        assert chunk_pages(pages(sorted(set(bad)))).count() == -(-len(set(bad)) // 3)
+    empty = spark.createDataFrame([(1, None), (2, "a")], "doc_id long, text string")
+    assert {r.doc_id for r in paragraphs(empty).collect()} == {1, 2}
+
+
+def test_cells_without_an_id_never_merge(spark):
+    from docloom.operators.layout import cell_spans
+
+    rows = [(1, 0, 0, None), (1, 0, 1, None), (1, 0, 2, "a"), (1, 1, 0, None), (1, 1, 1, "b"), (1, 1, 2, "a"), (1, 2, 1, "b")]
+    df = spark.createDataFrame([(*r, 1, "t") for r in rows], "t int, row_no long, col_no long, cell_id string, grid_span int, text string")
+    got = sorted((r.row_no, r.col_no, r.rowspan) for r in cell_spans(df, ["t"]).collect())
+    assert got == [(0, 0, 1), (0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 1, 2)]
+
+
+def test_html_route_puts_styles_and_images_back(spark):
+    from docloom.operators.translate import translate_html
+
+    html = "<style>p{}</style><img src='data:image/png;base64,xyz'><p>the L&T isn't</p>"
+
+    def engine(texts, language):
+        assert "p{}" not in texts[0] and "xyz" not in texts[0]
+        return [texts[0].replace("the", language).replace("'t", "&#39;t")]
+
+    df = spark.createDataFrame([(1, html, "hi"), (2, "<p>the bad</p>", "te")], "id int, html string, target_language string")
+    got = {r.id: (r.translated, r.status) for r in translate_html(df, Engine(engine)).collect()}
+    assert got == {1: (html.replace("the", "hi"), "ok"), 2: ("<p>te bad</p>", "ok")}

@@ -6,10 +6,10 @@ from docloom.plans import QUERIES, load_all
 
 load_all()
 CALLS = {  # the only queries with a Python stage: those that call a model
-    "translate_corpus", "translate_segments", "translate_segments_masked", "translate_with_fallback",
+    "translate_html_google", "translate_segments", "translate_segments_masked", "translate_with_fallback",
     "translate_chunks", "translate_chunks_masked", "assemble_document", "review_pass", "evaluate", "evaluate_and_score",
 }
-WRITERS = {"append_corrections", "write_results", "stream_chunks", "stream_progress", "stream_documents",
+WRITERS = {"translate_corpus", "append_corrections", "write_results", "stream_chunks", "stream_progress", "stream_documents",
            "partial_preview", "stream_corrections", "stream_done_events", "translate_requests", "evaluate_fix_and_save",
            "reuse_memory"}
 
@@ -29,6 +29,14 @@ def test_plan(spark, sf_dir, name):
     assert ("MapInPandas" in text) == (name in CALLS)
 
 
+@pytest.mark.parametrize("name", sorted(WRITERS))
+def test_plan_of_what_is_read_back(spark, sf_dir, name):
+    """Queries that write first: their last plan reads tables and calls nothing again."""
+    text = plan(QUERIES[name](spark, sf_dir))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert bad not in text, bad
+
+
 def test_scans_read_only_what_is_needed(spark, sf_dir):
     text = plan(QUERIES["segments"](spark, sf_dir))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text

@@ -40,6 +40,7 @@ HTML_HEADER = (
 HTML_FOOTER = "</body></html>"
 PREVIEW_HEADER = '<!DOCTYPE html><html><head><meta charset="UTF-8"></head><body>'
 PAGES_PER_CHUNK = 3
+CHUNK_GAP_S = 2
 
 # --- fixed values: engines (name, segments per request, seconds between) ----
 ENGINES = [

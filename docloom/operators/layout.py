@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import escape_html, map_symbols
 from docloom.operators.assemble import assemble, assemble_parts
-from docloom.operators.ordering import number_islands, number_rows, running_sums
+from docloom.operators.ordering import number_islands, number_rows, running_sums, with_extremes
+
+# --- fixed values: how lists, list numbers and tables are written ------------
+LIST_TAGS = {"unordered": ("<ul>", "</ul>"), "ordered": ("<ol>", "</ol>"), "ordered-a": ('<ol type="a">', "</ol>")}
+NUMBER_SPACING = {"space": "0.3em", "nothing": "0", "tab": "1.5em"}
+TABLE_OPEN = '<table class="docx-table" style="width: 100% !important; border-collapse: collapse; table-layout: auto;">'
+BORDER_SIDES = ("top", "left", "bottom", "right")
 
 
 def assign_pages(blocks: DataFrame, id_col: str, order: str, breaks: Column) -> DataFrame:
@@ -61,14 +67,47 @@ def _open_tag(tag: Column, css: Column) -> Column:
     return F.concat(F.lit("<"), tag, attr, F.lit(">"))
 
 
+def list_number(number: Column, suffix: Column) -> Column:
+    """The span in front of a numbered block; nothing where the number is only a pattern."""
+    plain = F.trim(F.regexp_replace(number, "%[123]", ""))
+    spacing = F.lit("0.5em")
+    for name, value in NUMBER_SPACING.items():
+        spacing = F.when(suffix == name, value).otherwise(spacing)
+    span = F.concat(F.lit('<span class="list-number" style="margin-right: '), spacing,
+                    F.lit('; min-width: 1.5em; display: inline-block;">'), plain, F.lit("</span>"))
+    return F.when(plain != "", span).otherwise("")
+
+
+def wrap_lists(blocks: DataFrame, id_col: str, order: str, kind: str = "list_kind", html: str = "html") -> DataFrame:
+    """Put ``<ul>`` or ``<ol>`` around each list in the HTML of its first and last item.
+
+    Items of one kind that follow each other are a list; another kind, a block that is no
+    item (a table too) and the end of the document close it.
+    """
+    numbered = list_runs(blocks, id_col, order, kind).withColumn("list_no", F.coalesce("list_no", F.lit(0)))
+    ends = with_extremes(numbered, [id_col, "list_no"], order, {"__first": F.col(order)}, {"__last": F.col(order)})
+
+    def tag(which: int) -> Column:
+        out = F.lit("")
+        for name, tags in LIST_TAGS.items():
+            out = F.when(F.col(kind) == name, tags[which]).otherwise(out)
+        return out
+
+    opening = F.when(F.col(order) == F.col("__first"), tag(0)).otherwise("")
+    closing = F.when(F.col(order) == F.col("__last"), tag(1)).otherwise("")
+    return ends.withColumn(html, F.concat(opening, html, closing)).drop("__first", "__last", "list_no")
+
+
 def render_blocks(blocks: DataFrame, body: str = "text_html", out: str = "html") -> DataFrame:
-    """Add the HTML of each layout block (columns as in the ``blocks`` fixture)."""
+    """Add the HTML of each layout block (columns as in the ``blocks`` fixture; a number in
+    ``number_text`` and its ``number_suffix`` may be there)."""
     is_list = F.col("list_kind").isNotNull()
     tag = block_tag(F.col("style_name"), is_list)
     css = block_css({c: F.col(c) for c in (
         "borders", "align", "left_pt", "right_pt", "first_line_pt", "before_pt", "after_pt")})
-    return blocks.withColumn(
-        out, F.concat(_open_tag(tag, css), F.coalesce(F.col(body), F.lit("")), F.lit("</"), tag, F.lit(">")))
+    number = list_number(F.col("number_text"), F.col("number_suffix")) if "number_text" in blocks.columns else F.lit("")
+    return blocks.withColumn(out, F.concat(
+        _open_tag(tag, css), F.coalesce(number, F.lit("")), F.coalesce(F.col(body), F.lit("")), F.lit("</"), tag, F.lit(">")))
 
 
 def _switched_on(value: str) -> Column:
@@ -128,19 +167,47 @@ def cell_spans(cells: DataFrame, keys: list[str], row: str = "row_no", col: str
 
 
 def render_cells(cells: DataFrame, text: str = "text", shading: str = "shading", out: str = "html") -> DataFrame:
-    """HTML of each first cell; an empty one gets a blank so that its border shows."""
+    """HTML of each first cell; an empty one gets a blank so that its border shows.
+
+    With a column ``borders`` (the cell's own sides, null where it names none) and
+    ``table_borders`` (whether the table has any), a cell gets a class for each side.
+    """
     def span(name: str) -> Column:
         return F.when(F.col(name) > 1, F.concat(F.lit(f'{name}="'), F.col(name).cast("string"), F.lit('"')))
 
     colour = F.when(F.col(shading) != "auto",
                     F.concat(F.lit('style="background-color: #'), F.col(shading), F.lit('"')))
-    attrs = F.concat_ws(" ", span("colspan"), span("rowspan"), colour)
+    classes = F.lit(None).cast("string")
+    if "borders" in cells.columns:
+        every = F.array(*[F.lit(s) for s in BORDER_SIDES])
+        sides = F.coalesce(F.col("borders"), F.when(F.col("table_borders"), every))
+        named = F.array_join(F.transform(F.array_intersect(every, sides), lambda s: F.concat(F.lit("has-border-"), s)), " ")
+        classes = F.when(named != "", F.concat(F.lit('class="'), named, F.lit('"')))
+    attrs = F.concat_ws(" ", span("colspan"), span("rowspan"), classes, colour)
     body = F.coalesce(F.when(F.trim(F.col(text)) != "", F.col(text)), F.lit("&nbsp;"))
     return cells.withColumn(out, F.concat(
         F.lit("<td"), F.when(attrs != "", F.concat(F.lit(" "), attrs)).otherwise(""),
         F.lit(">"), body, F.lit("</td>")))
 
 
+def render_tables(cells: DataFrame, keys: list[str], row: str = "row_no", col: str = "col_no",
+                  html: str = "html") -> DataFrame:
+    """``(keys, html)``: the rendered cells of a table in their rows.
+
+    A table is one block of a document, so it fits a cell; rows are joined first.
+    """
+    rows = assemble(cells, [*keys, row], col, html, header="<tr>", footer="</tr>", out="html")
+    return assemble(rows, keys, row, "html", header=TABLE_OPEN, footer="</table>", out="html")
+
+
+def render_document(blocks: DataFrame, tables: DataFrame, id_col: str, order: str) -> DataFrame:
+    """``(id, html)``: rendered blocks (id, order, list_kind, html) and tables (id, order, html)
+    of a document in their order, lists wrapped."""
+    both = blocks.select(id_col, order, "list_kind", "html").unionByName(
+        tables.select(id_col, order, F.lit(None).cast("string").alias("list_kind"), "html"))
+    return assemble(wrap_lists(both, id_col, order), id_col, order, "html", out="html")
+
+
 def render_pages(blocks: DataFrame, id_col: str, page: str = "page_no", order: str = "block_no",
                  html: str = "html", header: str = "header_html", footer: str = "footer_html") -> DataFrame:
     """``(id, page_no, part_no, part_total, html)``: the blocks of a page between the

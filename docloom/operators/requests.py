@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.fixed import ENGINES
+from docloom.functions.fixed import CHUNK_GAP_S, ENGINES, PAGES_PER_CHUNK
 
 
 def plan_requests(segs: DataFrame, id_col: str = "doc_id",
@@ -24,3 +24,11 @@ def plan_requests(segs: DataFrame, id_col: str = "doc_id",
     return rows.select(
         id_col, F.col("e.provider").alias("provider"), "segments", requests.alias("requests"),
         ((requests - 1) * F.col("e.gap")).cast("long").alias("paced_s"))
+
+
+def plan_chunk_stream(pages: DataFrame, id_col: str = "doc_id", per_chunk: int = PAGES_PER_CHUNK,
+                      gap: int = CHUNK_GAP_S) -> DataFrame:
+    """The same for page lists sent in chunks: ``(id, pages, requests, paced_s)``."""
+    requests = F.ceil(F.col("pages") / per_chunk).cast("long")
+    return pages.groupBy(id_col).agg(F.count(F.lit(1)).alias("pages")).select(
+        id_col, "pages", requests.alias("requests"), ((requests - 1) * gap).cast("long").alias("paced_s"))

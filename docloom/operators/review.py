@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed import EVALUATION_FAILED
-from docloom.functions.text import col, segment_key, strip_code_fence
+from docloom.functions.text import col, segment_key, strip_code_fence, strip_tags, trim_ws
 from docloom.operators.policy import Pace, RetryPolicy
 
 REVIEW_SCHEMA = (
@@ -56,6 +56,28 @@ def evaluate(df: DataFrame, judge: Callable[[str, str, str], str], original: str
     return src.withColumn("__pair", pair).join(judged, "__pair", "left").drop("__pair")
 
 
+def evaluate_requests(df: DataFrame, judges: dict[str, Callable[[str, str, str], str]],
+                      reviewer: str = "reviewer_provider", original: str = "original_text",
+                      translated: str = "translated_text", language: str = "target_language",
+                      policy: RetryPolicy | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each row judged by the reviewer it names: ``(keep, reviewer, status, detail, raw)``.
+
+    Judges read both texts without tags. A reviewer that is not registered gives status 503
+    and no answer; so does a missing one.
+    """
+    known = F.coalesce(F.col(reviewer).isin(list(judges)), F.lit(False))
+    rows = df.select(*keep, reviewer, language, trim_ws(strip_tags(original)).alias(original),
+                     trim_ws(strip_tags(translated)).alias(translated))
+    detail = F.concat(F.lit("Reviewer '"), F.coalesce(F.col(reviewer), F.lit("")), F.lit("' not configured"))
+    out = rows.where(~known).select(*keep, reviewer, F.lit(503).alias("status"), detail.alias("detail"),
+                                    F.lit(None).cast("string").alias("raw"))
+    for name, judge in judges.items():
+        judged = evaluate(rows.where(F.col(reviewer) == name), judge, original, translated, language, policy, (*keep, reviewer))
+        out = out.unionByName(judged.select(
+            *keep, reviewer, F.lit(200).alias("status"), F.lit(None).cast("string").alias("detail"), "raw"))
+    return out
+
+
 def parse_reviews(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Fence off, then JSON. Text that is not a JSON object becomes score 0 with an error."""
     text = strip_code_fence(raw, "review")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docloom.functions.masking import (
     has_protected, mask_images, mask_protected, mask_styles, unmask, unmask_images, unmask_styles,
 )
-from docloom.functions.text import decode_entities, extract_body, strip_code_fence, trim_ws
+from docloom.functions.text import decode_entities, extract_body, map_symbols, strip_code_fence, trim_ws
 from docloom.operators.policy import Pace, RetryPolicy
 from docloom.operators.routing import language_name
 
@@ -31,6 +31,7 @@ class Engine:
     batch_size: int = 25
     policy: RetryPolicy = field(default_factory=RetryPolicy)
     mask: bool = False
+    symbols: bool = False  # symbol-font code points go to it as the glyphs they stand for
 
 
 def _run_batch(fn: Callable, policy: RetryPolicy, texts: list[str], *args) -> tuple[list, str, int]:
@@ -127,9 +128,12 @@ def translate_by_engine(
     rows name, with that engine's batch size, retries, pace and masking."""
     src = segs.select(engine_col, language_col, text_col)
     hidden = F.col(engine_col).isin([name for name, e in engines.items() if e.mask])
-    called = call_stage(src.withColumn("__sent", masked(text_col, hidden)), "__sent", [engine_col, language_col],
-                         lambda name, _: engines[name], partitions)
-    return called.withColumn("translated", unmasked("translated", text_col, hidden))
+    as_glyphs = F.col(engine_col).isin([name for name, e in engines.items() if e.symbols])
+    src = src.withColumn("__plain", F.when(as_glyphs, map_symbols(text_col)).otherwise(F.col(text_col)))
+    called = call_stage(src.withColumn("__sent", masked("__plain", hidden)), "__sent", [engine_col, language_col],
+                        lambda name, _: engines[name], partitions)
+    restored = F.when(F.col("status") == "ok", unmasked("translated", "__plain", hidden)).otherwise(F.col(text_col))
+    return called.withColumn("translated", restored).drop("__plain")
 
 
 def translate_chunks(

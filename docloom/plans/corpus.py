@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions.fixed import ENGINES, HTML_FOOTER, HTML_HEADER
+from docloom.functions.masking import mask_terms
 from docloom.functions.text import segment_key
 from docloom.operators import memory, segment
 from docloom.operators.assemble import assemble, assemble_parts
 from docloom.operators.policy import RetryPolicy
-from docloom.operators.requests import plan_requests
+from docloom.operators.requests import plan_chunk_stream, plan_requests
 from docloom.operators.translate import (
-    Engine, align_lines, build_prompts, translate_by_engine, translate_chunks, translate_segments,
+    REVIEW_TEMPLATE, Engine, align_lines, build_prompts, translate_by_engine, translate_chunks, translate_segments,
 )
 from docloom.plans.common import LINES, SEGS, WS, documents, prefix_hindi
 from docloom.plans.registry import query
 from docloom.session import work_dir
-from docloom.sources.requests import read_table
+from docloom.sources.requests import read_table, with_defaults
 
 
 @query("translate_corpus", f"""
@@ -270,6 +271,25 @@ def prompts(spark, sf_dir):
     return build_prompts(batches, "language").select("doc_id", "batch_no", "prompt")
 
 
+@query("review_prompts", f"""
+SELECT doc_id, batch_no, 'Parts of this Hindi document may still be in the source language. '
+  || CASE WHEN contains(joined, '__RTERM_') THEN 'Copy every __TERM_N__ and __BRACKET_N__ token into the answer unchanged.'
+       || chr(10) ELSE '' END || 'Translate only those ' || n || ' lines and return them in order.' || chr(10)
+  || '---' || chr(10) || joined || chr(10) || '---' || chr(10) AS prompt
+FROM (SELECT doc_id, batch_no, len(segments) AS n,
+        replace(array_to_string(segments, chr(10)), ' the ', ' __RTERM_0__ ') AS joined FROM ({_GROUPED}))
+""")
+def review_prompts(spark, sf_dir):
+    """The review form of the prompt, with the token note where a term is hidden; a request
+    without a language is one for Hindi."""
+    batches = with_defaults(_grouped(spark, sf_dir).withColumn("target_language", F.lit(None).cast("string")))
+    hidden = mask_terms(F.array_join("segments", "\n"), [" the "], prefix="R")
+    marked = batches.withColumn("m", hidden).withColumn("term_map", F.col("m.term_map")).withColumn(
+        "segments", F.split(F.replace(F.col("m.text"), F.lit("__RTERM_0__"), F.lit(" __RTERM_0__ ")), "\n"))
+    return build_prompts(marked, "target_language", term_map="term_map", template=REVIEW_TEMPLATE).select(
+        "doc_id", "batch_no", "prompt")
+
+
 # ------------------------------------------------------------------- page chunks
 
 _PAGE = "'<div class=\"page\"><p>' || text || '</p></div>'"
@@ -290,6 +310,14 @@ def pages_of(spark, sf_dir):
         F.concat(F.lit('<div class="page"><p>'), "text", F.lit("</p></div>")).alias("html"))
 
 
+@query("plan_chunk_stream", f"""
+SELECT doc_id, count(*) AS pages, CAST(ceil(count(*) / 3.0) AS BIGINT) AS requests,
+  CAST((ceil(count(*) / 3.0) - 1) * 2 AS BIGINT) AS paced_s FROM ({_PAGES}) GROUP BY doc_id
+""")
+def chunk_stream_plan(spark, sf_dir):
+    return plan_chunk_stream(pages_of(spark, sf_dir))
+
+
 @query("chunk_pages", f"SELECT doc_id, chunk_index, chunk_total, body FROM ({_CHUNKS})")
 def chunk_pages(spark, sf_dir):
     chunks = segment.chunk_pages(pages_of(spark, sf_dir))

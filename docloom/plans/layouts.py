@@ -231,3 +231,43 @@ SELECT doc_id, seg_no, col_no, '<td'
 def render_cells(spark, sf_dir):
     spans = layout.cell_spans(_cells(spark, sf_dir), ["doc_id"], "seg_no")
     return layout.render_cells(spans).select("doc_id", "seg_no", "col_no", "html")
+
+
+# lines with a comma after four letters are tables of one row; others are blocks, some in lists
+_IS_TABLE = "substr(text, 5, 1) = ','"
+_NUMBER = "CASE WHEN list_kind = 'ordered' THEN '%1' || (seg_no + 1) || '.' END"
+_DOC_KIND = f"CASE WHEN lower(substr(text, 2, 1)) = 'n' THEN 'ordered-a' ELSE {_KIND} END"
+
+
+@query("render_document", f"""
+WITH l AS (SELECT doc_id, seg_no, text, {_IS_TABLE} AS is_table, CASE WHEN {_IS_TABLE} THEN NULL ELSE {_DOC_KIND} END AS list_kind
+           FROM ({SEGS})),
+h AS (SELECT *, CASE WHEN is_table THEN '{layout.TABLE_OPEN}<tr>' || array_to_string(list_transform(string_split(text, ','),
+    lambda x: '<td class="has-border-top has-border-left has-border-bottom has-border-right">'
+      || CASE WHEN trim(x, ' ') = '' THEN '&nbsp;' ELSE x END || '</td>'), '') || '</tr></table>'
+  WHEN list_kind IS NULL THEN '<p>' || text || '</p>'
+  ELSE '<li>' || CASE WHEN list_kind = 'ordered' THEN '<span class="list-number" style="margin-right: 1.5em; '
+      || 'min-width: 1.5em; display: inline-block;">' || (seg_no + 1) || '.</span>' ELSE '' END || text || '</li>' END AS html,
+  lag(list_kind) OVER w AS before, lead(list_kind) OVER w AS after
+  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY seg_no))
+SELECT doc_id, string_agg(
+  CASE WHEN list_kind IS NULL OR list_kind IS NOT DISTINCT FROM before THEN '' WHEN list_kind = 'unordered' THEN '<ul>'
+    WHEN list_kind = 'ordered' THEN '<ol>' ELSE '<ol type="a">' END || html ||
+  CASE WHEN list_kind IS NULL OR list_kind IS NOT DISTINCT FROM after THEN '' WHEN list_kind = 'unordered' THEN '</ul>'
+    ELSE '</ol>' END, '' ORDER BY seg_no) AS html FROM h GROUP BY doc_id
+""")
+def render_document(spark, sf_dir):
+    """Lists, list numbers and tables with borders put together in the order of the document."""
+    lines = segments(documents(spark, sf_dir)).selectExpr("*", f"{_IS_TABLE} AS is_table")
+    plain = ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in (
+        ("style_name", "STRING"), ("align", "STRING"), ("left_pt", "DOUBLE"), ("right_pt", "DOUBLE"),
+        ("first_line_pt", "DOUBLE"), ("before_pt", "DOUBLE"), ("after_pt", "DOUBLE"), ("borders", "ARRAY<STRING>")))
+    blocks = lines.where("NOT is_table").selectExpr("*", f"{_DOC_KIND} AS list_kind", *plain.split(", ")).selectExpr(
+        "*", f"{_NUMBER} AS number_text", "'tab' AS number_suffix")
+    cells = lines.where("is_table").select(
+        "doc_id", "seg_no", F.lit(0).alias("row_no"), F.posexplode(F.split("text", ",")).alias("col_no", "text"))
+    cells = cells.selectExpr("*", "CAST(NULL AS STRING) AS cell_id", "1 AS grid_span", "CAST(NULL AS STRING) AS shading",
+                             "CAST(NULL AS ARRAY<STRING>) AS borders", "true AS table_borders")
+    spans = layout.render_cells(layout.cell_spans(cells, ["doc_id", "seg_no"]))
+    tables = layout.render_tables(spans, ["doc_id", "seg_no"])
+    return layout.render_document(layout.render_blocks(blocks, "text"), tables, "doc_id", "seg_no")

@@ -169,16 +169,21 @@ def unmask_protected(spark, sf_dir):
     return m.select("doc_id", masking.unmask("m.text", "m.term_map").alias("text"))
 
 
-@query("mask_whole_words", """
-SELECT doc_id, regexp_replace(regexp_replace(text, '\\bthe\\b', '__TERM_0__', 'g'),
-                              '\\band\\b', '__TERM_1__', 'g') AS text
-FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z .,\\n]', '', 'g') AS text FROM documents)
+def _whole_word(text: str, word: str, token: str) -> str:
+    """Letters and digits of any script bound a word. Neighbours share an edge: twice."""
+    for _ in range(2):
+        text = (f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}]){word}($|[^\\p{{L}}\\p{{N}}])', "
+                f"'\\1{token}\\2', 'g')")
+    return text
+
+
+@query("mask_whole_words", f"""
+SELECT doc_id, {_whole_word(_whole_word("text", "de", "__TERM_0__"), "la", "__TERM_1__")} AS text FROM documents
 """)
 def mask_whole_words(spark, sf_dir):
-    """The option that leaves terms inside longer words alone (ASCII text, for the SQL's word edge)."""
-    docs = documents(spark, sf_dir).select(
-        "doc_id", F.regexp_replace("text", r"[^A-Za-z .,\n]", "").alias("text"))
-    m = docs.select("doc_id", masking.mask_terms("text", ["the", "and"], whole_word=True).alias("m"))
+    """The option that leaves terms inside longer words alone, next to letters of any script."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    m = docs.select("doc_id", masking.mask_terms("text", ["de", "la"], whole_word=True).alias("m"))
     return m.select("doc_id", "m.text")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.fixed import EVALUATION_FAILED
 from docloom.operators import review
-from docloom.plans.common import documents
+from docloom.plans.common import WS, documents
 from docloom.plans.registry import query
 
 
@@ -54,6 +54,35 @@ def evaluate_and_score(spark, sf_dir):
         "doc_id", "score", review.score_band().alias("band"), "error", "suggestion")
 
 
+_REVIEWER = "CASE lang WHEN 'en' THEN 'gemini' WHEN 'fr' THEN 'openai' WHEN 'de' THEN 'claude' END"
+_TAGGED = "'<p class=\"a\">' || text || '</p>'"
+
+
+def _plain_judge(name):
+    def judge(original, translated, language):
+        if "<p" in original or "<p" in translated:
+            raise ValueError("a tag was sent")
+        return f"{name} {language} {len(original)} {len(translated)}"
+
+    return judge
+
+
+@query("evaluate_requests", f"""
+SELECT doc_id, r AS reviewer_provider, CASE WHEN r IN ('gemini', 'openai') THEN 200 ELSE 503 END AS status,
+  CASE WHEN coalesce(r, '') NOT IN ('gemini', 'openai') THEN 'Reviewer ' || chr(39) || coalesce(r, '') || chr(39) || ' not configured'
+  END AS detail,
+  CASE WHEN r IN ('gemini', 'openai') THEN r || ' hi ' || length(t) || ' ' || length(t) END AS raw
+FROM (SELECT doc_id, {_REVIEWER} AS r, trim(' ' || regexp_replace(text, '<[^>]*>?', ' ', 'g') || ' ', {WS}) AS t FROM documents)
+""")
+def evaluate_requests(spark, sf_dir):
+    """Each request by the reviewer it names, without tags; unknown reviewers come back."""
+    rows = documents(spark, sf_dir).selectExpr(
+        "doc_id", f"{_REVIEWER} AS reviewer_provider", f"{_TAGGED} AS original_text", f"{_TAGGED} AS translated_text",
+        "'hi' AS target_language")
+    judges = {"gemini": _plain_judge("gemini"), "openai": _plain_judge("openai")}
+    return review.evaluate_requests(rows, judges, keep=("doc_id",))
+
+
 # stored answers: fenced and full; plain; cut off; with null lists. The word is the text's own.
 _WORD = "regexp_extract(text, '[A-Za-z]{4,}', 0)"
 _JSON = (

@@ -289,6 +289,13 @@ def test_review_keeps_languages_apart_and_hides_terms(spark):
     assert seen == []
 
 
+def test_symbols_go_out_as_glyphs(spark):
+    seen = Engine(lambda texts, lang: ["ok" if "☑" in t else "not mapped" for t in texts], symbols=True)
+    raw = Engine(lambda texts, lang: ["mapped" if "☑" in t else "ok" for t in texts])
+    df = spark.createDataFrame([("s", "hi", "a \uf0a7"), ("r", "hi", "a \uf0a7")], "llm_provider string, target_language string, text string")
+    assert {r.translated for r in translate_by_engine(df, {"s": seen, "r": raw}).collect()} == {"ok"}
+
+
 def test_memory_is_safe_to_write_twice(spark, tmp_path):
     path, key = str(tmp_path / "m"), ["lang", "text"]
     rows = spark.createDataFrame([("hi", "a", "A", "ok"), ("te", "a", "B", "ok"), ("hi", "b", "b", "kept"), ("hi", "a", "A", "ok")],

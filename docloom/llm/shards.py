@@ -17,15 +17,17 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     """A shard for each item, a row of (bytes, tokens, rows).
 
     All sizes are shares of the mean shard. Large items go first, each to the shard where the
-    dot product of its sizes with what the shard has left is highest. Ties go to the lower
-    shard.
+    dot product of its sizes with what the shard has left is highest, of those whose bytes it
+    fits; where it fits none, to the one with the most bytes left. So the bytes of the shards
+    differ by a small item at most. Ties go to the lower shard.
     """
     total = items.sum(0).astype(float)
     share = items * (shards / np.where(total > 0, total, 1))
     left = np.ones((shards, items.shape[1])) * (total > 0)
     out = np.zeros(len(items), np.int32)
     for i in np.lexsort((np.arange(len(items)), -share.sum(1))):
-        s = int(np.argmax(left @ share[i]))
+        fits = left[:, 0] >= share[i, 0]
+        s = int(np.argmax(np.where(fits, left @ share[i], -np.inf) if fits.any() else left[:, 0]))
         out[i] = s
         left[s] -= share[i]
     return out

@@ -23,6 +23,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    """A set number for repartition: adaptive execution would merge small rows of much work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def id_crc32(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
@@ -50,7 +55,7 @@ def bucket_blocks(rows: DataFrame, block: int) -> DataFrame:
         .withColumn("hi", F.greatest("block", "__other"))
         .drop("__n", "__other")
     )
-    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return dealt.repartition(shuffle_partitions(rows), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
 
 def each_bucket(batches: Iterator[pd.DataFrame], small: int = 48) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:

@@ -35,8 +35,8 @@ class Leaks:
     item count as one word.
 
     An item is also entered without its first one or two words, so an edit there does not
-    decide. Three samples lie among the first steps, the same for all items of a repetition:
-    they drop most windows before the walk goes on.
+    decide. Four samples lie among the first steps, the same for all items of a repetition:
+    they drop most windows before the walk goes on; the fifth may lie anywhere behind them.
     """
 
     def __init__(self, items: list[tuple[int, str]], similarity: float, repetitions: int, seed: int,
@@ -55,21 +55,21 @@ class Leaks:
         self.tables = []
         entries: list[tuple[int, int, list[int], list[int]]] = []  # item, offset, further steps, words there
         for r in range(count):
-            early = np.cumsum([rng.integers(0, 4), rng.integers(2, 5), rng.integers(2, 5)]).tolist()
-            self.tables.append(self._table(r, early, rng.random(2) * (0.2, 0.7) + (0, 0.3), entries))
+            early = np.cumsum([rng.integers(0, 4), *rng.integers(2, 5, 3)]).tolist()
+            self.tables.append(self._table(r, early, 0.2 + 0.8 * rng.random(), entries))
         self.item = np.array([e[0] for e in entries], np.int64)
         self.offset = np.array([e[1] for e in entries], np.int64)
         self.samples = np.array([len(e[2]) for e in entries], np.int64)
-        width = 3
+        width = 2
         self.steps = np.array([e[2] + [-1] * (width - len(e[2])) for e in entries], np.int64).reshape(-1, width)
         self.shown = np.array([e[3] + [-1] * (width - len(e[3])) for e in entries], np.int64).reshape(-1, width)
         self.length = np.array([len(w) for w in self.words], np.int64)
         self.spare = np.array(self.edits, np.int64)
 
-    def _table(self, r: int, early: list[int], rest: np.ndarray, entries: list):
+    def _table(self, r: int, early: list[int], rest: float, entries: list):
         """The entries of one repetition, by the words they show at its early steps."""
         base = len(self.vocabulary) + 1
-        keys, new = [], []
+        shown, new = [], []
         for n, words in enumerate(self.words):
             for o in range(min(2, self.edits[n]) + 1):
                 at, trail = o, []
@@ -77,23 +77,28 @@ class Leaks:
                     w, j = int(words[at]), len(trail)
                     trail.append(w)
                     at += int(self.bits[r, j >> 6, w] >> np.uint64(j & 63)) & 1
-                last = len(trail) - 1
-                if last < early[2]:  # the walk of a very short item ends before the samples
+                behind = len(trail) - 1 - early[-1]
+                if behind < 0:  # the walk of a very short item ends before the samples
                     continue
-                # one sample soon after, to drop most of what is left, and one anywhere behind it
-                steps = sorted({early[2] + 1 + int((last - early[2]) * f) for f in rest} - {last + 1})
-                keys.append([trail[k] for k in early])
+                # one more sample anywhere behind the early ones
+                steps = [early[-1] + 1 + int((behind - 1) * rest)] if behind else []
+                shown.append([trail[k] for k in early])
                 new.append((n, o, steps, [trail[k] for k in steps]))
-        one, two = np.zeros(base, bool), np.zeros(base, bool)
-        k = np.array(keys, np.int64).reshape(-1, 3)
-        one[k[:, 0]], two[k[:, 1]] = True, True
-        pairs, slot = np.unique(k[:, 0] * base + k[:, 1], return_inverse=True)
-        triples = slot * base + k[:, 2]
-        order = np.argsort(triples, kind="stable")
-        unique, first, count = np.unique(triples[order], return_index=True, return_counts=True)
+        words = np.array(shown, np.int64).reshape(-1, len(early))
+        second = np.zeros(base, bool)
+        second[words[:, 1]] = True
+        slot_of = np.full(base, -1, np.int64)
+        firsts, slot = np.unique(words[:, 0], return_inverse=True)
+        slot_of[firsts] = np.arange(len(firsts))
+        levels = []
+        for k in range(1, len(early)):
+            known, slot = np.unique(slot * base + words[:, k], return_inverse=True)
+            levels.append(known)
+        order = np.argsort(slot, kind="stable")
+        _, first, count = np.unique(slot[order], return_index=True, return_counts=True)
         start = len(entries)
         entries.extend(new[i] for i in order)
-        return early, one, two, pairs, unique, first + start, count
+        return early, slot_of, second, levels, first + start, count
 
     def _places(self, upto: np.ndarray, n: int) -> np.ndarray:
         """The places where a window can hold some item at all: it has the item's words but for
@@ -110,7 +115,10 @@ class Leaks:
 
     def _early(self, r: int, x: np.ndarray, places: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """(window, pointer, entry) of the windows that agree with an entry at the early steps."""
-        (s1, s2, s3), one, two, pairs, unique, first, count = self.tables[r]
+        early, slot_of, second, levels, first, count = self.tables[r]
+        none = np.empty(0, np.int64)
+        if not len(first):
+            return none, none, none, early[-1]
         moves = self.bits[r, 0][x]
 
         def walk(at: np.ndarray, since: int, to: int) -> np.ndarray:
@@ -118,26 +126,22 @@ class Leaks:
                 at = at + ((moves[at] >> np.uint64(j)) & np.uint64(1)).view(np.int64)
             return at
 
-        at = walk(places, 0, s1)
-        seen = x[at]
-        keep = np.flatnonzero(one[seen])
-        begin, key = places[keep], seen[keep] * len(one)
-        at = walk(at[keep], s1, s2)
-        seen = x[at]
-        keep = np.flatnonzero(two[seen])
-        begin, at, key = begin[keep], at[keep], key[keep] + seen[keep]
-        if len(keep) and len(pairs):
-            slot = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            keep = np.flatnonzero(pairs[slot] == key)
-            begin, slot = begin[keep], slot[keep]
-            at = walk(at[keep], s2, s3)
-            key = slot * len(one) + x[at]
-            slot = np.minimum(np.searchsorted(unique, key), len(unique) - 1)
-            keep = np.flatnonzero(unique[slot] == key)
+        at = walk(places, 0, early[0])
+        slot = slot_of[x[at]]
+        keep = np.flatnonzero(slot >= 0)
+        begin, at, slot = places[keep], at[keep], slot[keep]
+        for k, known in enumerate(levels):
+            at = walk(at, early[k], early[k + 1])
+            seen = x[at]
+            if k == 0:  # most windows end here: a look at the word alone is cheaper
+                keep = np.flatnonzero(second[seen])
+                begin, at, slot, seen = begin[keep], at[keep], slot[keep], seen[keep]
+            key = slot * len(slot_of) + seen
+            slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            keep = np.flatnonzero(known[slot] == key)
             begin, at, slot = begin[keep], at[keep], slot[keep]
-        if not len(begin) or not len(unique):
-            none = np.empty(0, np.int64)
-            return none, none, none, s3
+        if not len(begin):
+            return none, none, none, early[-1]
         times = count[slot]
         entry = np.repeat(first[slot] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
         begin, at = np.repeat(begin, times), np.repeat(at, times)
@@ -146,7 +150,7 @@ class Leaks:
         low, high = np.maximum(start - self.spare[item], 0), start + self.length[item] + self.spare[item]
         known = upto[np.minimum(high, len(upto) - 1)] - upto[low]
         keep = known >= self.length[item] - self.spare[item]
-        return begin[keep], at[keep], entry[keep], s3
+        return begin[keep], at[keep], entry[keep], early[-1]
 
     def _candidates(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Items, where they would start, and the windows that tell so; ``x`` holds the n words

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bucket_blocks, each_bucket, matrix, saved, table
+from docloom.llm.common import bucket_blocks, each_bucket, matrix, saved, shuffle_partitions, table
 from docloom.llm.graph import components
 
 BANDS, ROWS, BLOCK, SEED = 24, 6, 256, 0x9E3779B97F4A7C15
@@ -254,7 +254,7 @@ def minhash_classes(
     fields = "bucket long, lo int, hi int, block int, band int, id long, component long"
     todo = saved(bucket_blocks(members, block).mapInPandas(_open_rows(bands, rows, percent), fields), "open")
     filled = todo.join(reps.select("id", "signature", "n_shingles"), "id").join(sets, "id")
-    more = saved(filled.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(
+    more = saved(filled.repartition(shuffle_partitions(docs), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(
         _join_components(bands, rows, percent), "u long, v long"), "links")
     part = components(sure.union(more))
     per_class = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select(

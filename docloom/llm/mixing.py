@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import saved, table, uniform
+from docloom.llm.common import saved, shuffle_partitions, table, uniform
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 17
 #: budget that the dynamic programme fits exactly, in words; cells of the draw of each size
@@ -147,7 +147,7 @@ def mix(
     targets = saved(source_targets(sources, weights, most).withColumn("passes", passes).withColumn(
         "budget", F.floor(F.col("target") - F.col("passes") * F.col("source_size") + 0.5).cast("long")), "targets")
     take = saved(counts.join(targets.select("key", "budget"), "key").select("key", "size", "n", "budget")
-                 .groupBy("key").applyInPandas(_fit, "key string, size long, take long"), "take")
+                 .repartition(shuffle_partitions(docs), "key").groupBy("key").applyInPandas(_fit, "key string, size long, take long"), "take")
 
     # the draw: whole cells of a size go in, in order; of the one cell where its number of
     # documents is reached, the rows of the least u

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import table
 from docloom.session import work_dir
 
-MAGIC, END_ID, SHARD_TOKENS, CACHED_WORDS = b"WAVELET1", 0, 1 << 21, 1 << 20
+MAGIC, END_ID, SHARD_TOKENS, CACHED_WORDS = b"WAVELET1", 0, 1 << 21, 1 << 17
 BLOCK_BITS = 1 << 16
 
 #: white space besides the plain space and line feed
@@ -31,27 +33,50 @@ class WordEncoder:
 
     The vocabulary's pattern always begins a new piece at a single space between two
     characters that are not white space, and merges never cross pieces. So a text may be cut
-    there, and equal words (with their space) have equal ids wherever they stand. Texts with
-    other white space go to the tokenizer whole. At most ``CACHED_WORDS`` words are kept.
+    there, and equal words (with their space) have equal ids wherever they stand. New words go
+    to the tokenizer many at a time, with a special token between them, which parts texts
+    before anything else. Texts with other white space go to it whole. At most
+    ``CACHED_WORDS`` words are kept.
     """
 
-    def __init__(self, path: str, dtype: str) -> None:
+    def __init__(self, path: str, dtype: str, separator: str = "<|endoftext|>") -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.separator, self.mark = separator, self.tokenizer.token_to_id(separator)
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        if self.mark is None:
+            plain, odd = [], words
+        else:
+            plain = [w for w in words if self.separator not in w]
+            odd = [w for w in words if self.separator in w] if len(plain) < len(words) else []
+        groups = [plain[i:i + 256] for i in range(0, len(plain), 256)]
+        joined = self.tokenizer.encode_batch_fast(
+            [self.separator.join([" " + w for w in g]) for g in groups], add_special_tokens=False)
+        for group, found in zip(groups, joined):
+            ids = np.array(found.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark)
+            raw, size = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            begins, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
+            self.known.update(zip(group, [raw[a:b] for a, b in zip(begins, ends)]))
+        if odd:
+            self.known.update(zip(odd, self._encode([" " + w for w in odd])))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, str, list[str]]] = []
+        split: list[tuple[int, list[str], list]] = []
         whole: list[int] = []
-        need: set[str] = set()
+        new: list[str] = []
         if len(self.known) > CACHED_WORDS:
             self.known = {}
+        get = self.known.get
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
@@ -60,14 +85,18 @@ class WordEncoder:
                 whole.append(i)
             else:
                 words = text.split(" ")
-                split.append((i, words[0], words[1:]))
-                need.update(words[1:])
-        new = [w for w in need if w not in self.known]
-        self.known.update(zip(new, self._encode([" " + w for w in new])))
+                ids = list(map(get, words))
+                ids[0] = b""
+                if None in ids:
+                    new += [w for w, x in zip(words, ids) if x is None]
+                split.append((i, words, ids))
+        self._learn(list(dict.fromkeys(new)))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
-        for (i, _, words), ids in zip(split, self._encode([s[1] for s in split])):
-            out[i] = ids + b"".join(map(self.known.__getitem__, words))
+        for (i, words, ids), first in zip(split, self._encode([s[1][0] for s in split])):
+            if None in ids:
+                ids = [self.known[w] if x is None else x for w, x in zip(words, ids)]
+            out[i] = first + b"".join(ids)
         return out
 
 
@@ -215,7 +244,7 @@ def _store(path: str):
 
 
 def _writer(folder: str, tokenizer: str, dtype: str, shard_tokens: int, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer, dtype)
         end = np.array([end_id], dtype).tobytes()
         store, base = _store(folder)
@@ -224,22 +253,22 @@ def _writer(folder: str, tokenizer: str, dtype: str, shard_tokens: int, end_id:
         texts: list[bytes] = []
         size = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal ids, texts, size, seq
             lengths = np.array([len(t) for t in texts], np.int64) // np.dtype(dtype).itemsize
             name = f"shard-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.wvm"
             with store.open_output_stream(f"{base}/{name}") as f:
                 f.write(pack(ids, lengths, np.frombuffer(b"".join(texts), dtype)))
-            row = pd.DataFrame({"part": [part], "seq": [seq], "file": [name], "n_docs": [len(ids)],
-                                "n_tokens": [int(lengths.sum())]})
+            row = pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name],
+                "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([int(lengths.sum())], pa.int64())})
             ids, texts, size, seq = [], [], 0, seq + 1
             return row
 
         for batch in batches:
-            for s in range(0, len(batch), 256):
-                rows = batch.iloc[s:s + 256]
-                numbers = [None if pd.isna(i) else int(i) for i in rows["id"]]
-                for number, t in zip(numbers, encoder.encode(list(rows["text"]))):
+            for s in range(0, batch.num_rows, 256):
+                rows = batch.slice(s, 256)
+                for number, t in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
                     ids.append(number)
                     texts.append(t + end)
                     size += len(t) + len(end)
@@ -277,13 +306,11 @@ def write_wavelet_shards(
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     _make(folder)
-    # ids travel as text, so that a null among them does not turn them into floats
-    rows = base.repartitionByRange("id").sortWithinPartitions("id", "text").select(
-        F.col("id").cast("string").alias("id"), "text").mapInPandas(
+    rows = base.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(
         _writer(folder, tokenizer, dtype, shard_tokens, end_id),
         "part int, seq int, file string, n_docs long, n_tokens long")
     rows.write.parquet(f"{folder}/manifest")
-    return docs.sparkSession.read.parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/manifest")
 
 
 def _make(folder: str) -> None:
@@ -297,6 +324,11 @@ def _open(folder: str, name: str) -> Wavelet:
         return Wavelet(f.read())
 
 
+def _spread(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """About a file a task; a set number, as adaptive execution would merge rows so small."""
+    return files.repartition(max(1, min(manifest.count(), 20_000)), "file")
+
+
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
     by_part = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -317,7 +349,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
                     "doc_id": pd.array(shard.doc_ids, "Int64"), "start": start + ends - shard.lengths, "n_tokens": shard.lengths,
                     "ids_crc32": [zlib.crc32(view[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), shard.lengths.tolist())]})
 
-    return placed.repartition("file").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _spread(placed, manifest).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def count_token(manifest: DataFrame, folder: str, token: int) -> DataFrame:
@@ -326,7 +358,7 @@ def count_token(manifest: DataFrame, folder: str, token: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"file": batch["file"], "n": [_open(folder, f).count(token) for f in batch["file"]]})
 
-    return manifest.select("file").repartition("file").mapInPandas(run, "file string, n long")
+    return _spread(manifest.select("file"), manifest).mapInPandas(run, "file string, n long")
 
 
 def locate_token(manifest: DataFrame, folder: str, token: int) -> DataFrame:
@@ -341,7 +373,7 @@ def locate_token(manifest: DataFrame, folder: str, token: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array([shard.doc_ids[d] for d in doc], "Int64"),
                                     "place": at - (ends - shard.lengths)[doc]})
 
-    return manifest.select("file").repartition("file").mapInPandas(run, "doc_id long, place long")
+    return _spread(manifest.select("file"), manifest).mapInPandas(run, "doc_id long, place long")
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -43,18 +43,20 @@ def _suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     groups = saved(lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "level")
     evenly = F.shiftright("a", 54) + 512  # the ids are hashes: their top bits cut them evenly
     level = saved(lines.join(_ranked(groups, ["a", "b"], evenly), ["a", "b"]).select("doc", "pos", "words", "rank"), "level")
-    levels = [level]
-    while True:
+    levels, ranks = [level], groups.count()
+    while ranks:
         step = 1 << (len(levels) - 1)
         ahead = level.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"))
-        pairs = saved(level.select("doc", "pos", F.col("rank").alias("a")).join(ahead, ["doc", "pos"]), "level")
+        pairs = level.select("doc", "pos", F.col("rank").alias("a")).join(ahead, ["doc", "pos"])
         groups = saved(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "level")
-        top = groups.agg(F.max("a")).first()[0]
-        if top is None:
+        found = groups.count()
+        if not found:
             return levels
-        evenly = F.floor(F.col("a") * RANK_SLICES / (top + 1)).cast("int")
+        evenly = F.floor(F.col("a") * RANK_SLICES / ranks).cast("int")  # the level before has so many ranks
+        ranks = found
         level = saved(pairs.join(_ranked(groups, ["a", "b"], evenly), ["a", "b"]).select("doc", "pos", "rank"), "level")
         levels.append(level)
+    return levels
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
@@ -76,11 +78,11 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
                            F.lit(0).cast("long").alias("y"), F.lit(False).alias("first"))
     for k in range(len(levels) - 1, -1, -1):
         ranks = levels[k].select("doc", F.col("pos").alias("at"), F.col("rank").alias("r"))
-        tried = saved(
+        tried = (
             now.withColumn("at", F.col("pos") + F.col("run")).join(ranks, ["doc", "at"], "left")
             .select("doc", "pos", "run", "x", "y", "first", F.col("r").isNotNull().alias("known"),
                     F.xxhash64(F.lit(1), "run", "x", "y", "r").alias("x2"),
-                    F.xxhash64(F.lit(2), "run", "x", "y", "r").alias("y2")), "runs")
+                    F.xxhash64(F.lit(2), "run", "x", "y", "r").alias("y2")))
         deeper = tried.where("known").groupBy("x2", "y2").agg(
             F.min(place).alias("start"), F.count(F.lit(1)).alias("n")).where("n > 1").select("x2", "y2", "start")
         met = tried.join(deeper, ["x2", "y2"], "left")
@@ -127,7 +129,22 @@ def dedup_lines(
     lines = _lines(base.where("doc is not null and text is not null"))
     if not twice.isEmpty():
         lines = lines.join(twice, "doc", "left_anti")
-    runs = repeated_runs(saved(lines, "lines")).where(F.col("words") >= min_words)
+    lines = saved(lines, "lines")
+
+    # a later copy of a whole text repeats nothing that its first copy does not: only first
+    # copies go on, and all lines of the others go if they have words enough
+    texts = base.where("doc is not null and text is not null").select(
+        "doc", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
+    if not twice.isEmpty():
+        texts = texts.join(twice, "doc", "left_anti")
+    firsts = texts.groupBy("a", "b").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = saved(texts.join(firsts, ["a", "b"]).where("doc != first").select("doc"), "copies")
+    whole = (
+        lines.join(copies, "doc").groupBy("doc").agg(F.count(F.lit(1)).alias("end"), F.sum("words").alias("words"))
+        .where(F.col("words") >= min_words)
+        .select("doc", F.array(F.struct(F.lit(0).cast("long").alias("pos"), "end")).alias("gone"), F.col("end").alias("n_removed"))
+    )
+    runs = repeated_runs(lines.join(copies, "doc", "left_anti")).where(F.col("words") >= min_words)
 
     # ends never fall from one place of a document to the next, so touching runs join in order
     in_order = Window.partitionBy("doc").orderBy("pos")
@@ -139,7 +156,7 @@ def dedup_lines(
         .groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "end"))).alias("gone"),
                             F.sum(F.col("end") - F.col("pos")).alias("n_removed"))
     )
-    joined = base.join(saved(spans, "spans"), "doc", "left").withColumn("parts", F.split("text", "\n"))
+    joined = base.join(saved(spans.unionByName(whole), "spans"), "doc", "left").withColumn("parts", F.split("text", "\n"))
     n = F.size("parts").cast("long")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("gone", lambda s: s["end"]))
     ends = F.concat(F.transform("gone", lambda s: s["pos"]), F.array(n))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import table
 from docloom.session import work_dir
 
-MAGIC, END_ID, SHARD_TOKENS, CACHED_WORDS = b"WAVELET1", 0, 1 << 21, 1 << 17
+MAGIC, END_ID, SHARD_TOKENS, CACHED_WORDS = b"WAVELET1", 0, 1 << 21, 1 << 19
 BLOCK_BITS = 1 << 16
 
 #: white space besides the plain space and line feed
@@ -46,12 +46,25 @@ class WordEncoder:
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
         self.separator, self.mark = separator, self.tokenizer.token_to_id(separator)
         self.known: dict[str, bytes] = {}
+        self.stops = dict(zip(".,", self._encode([".", ","])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _learn(self, words: list[str]) -> None:
+        """The pattern parts a letter from a stop as well: a word and its stop are learned apart."""
+        stopped = [w for w in words if w[-1:] in self.stops and w[-2:-1].isalpha()]
+        if stopped:
+            apart = set(stopped)
+            cores = {w[:-1] for w in stopped}
+            cores.update(w for w in words if w not in apart)
+            self._learn_whole([w for w in cores if w not in self.known])
+            self.known.update([(w, self.known[w[:-1]] + self.stops[w[-1]]) for w in stopped])
+        else:
+            self._learn_whole(words)
+
+    def _learn_whole(self, words: list[str]) -> None:
         if self.mark is None:
             plain, odd = [], words
         else:
@@ -100,6 +113,16 @@ class WordEncoder:
         return out
 
 
+def worker_encoder(path: str, dtype: str) -> WordEncoder:
+    """The encoder of this Python worker: tasks that it runs later find the words known."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_docloom_encoders", {})
+    if (path, dtype) not in held:
+        held[path, dtype] = WordEncoder(path, dtype)
+    return held[path, dtype]
+
+
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One shard's file.
 
@@ -245,7 +268,7 @@ def _store(path: str):
 
 def _writer(folder: str, tokenizer: str, dtype: str, shard_tokens: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, dtype)
+        encoder = worker_encoder(tokenizer, dtype)
         end = np.array([end_id], dtype).tobytes()
         store, base = _store(folder)
         part, seq = TaskContext.get().partitionId(), 0

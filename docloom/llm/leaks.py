@@ -283,8 +283,8 @@ def find_leaks(
     most one row, with the best place found. A document holds an item if at most
     (1 - similarity) * words of word edits turn a stretch of it into the item; words are
     compared in lower case, without ASCII punctuation. ``repetitions`` is set for a recall
-    over 0.9 at the limit of edits; measured: 0.92 at 20 % of words edited, 0.99 at 10 %, 1.0
-    at 5 % and below (see the tests). 24 repetitions reach 0.97 at the limit.
+    over 0.9 at the limit of edits; measured: 0.94 at 20 % of words edited, 1.0 at 10 %
+    and below (see the tests). 24 repetitions reach 0.96 at the limit.
 
     Whole texts are searched; null, empty and wordless texts hold nothing. Items of fewer than
     MIN_WORDS words, null or empty ones are left out: they stand in ordinary text. More than

@@ -158,6 +158,27 @@ def test_recall_at_the_limit_of_edits():
     assert found >= 0.9 * total
 
 
+@pytest.mark.parametrize("sizes", [(5, 9), (10, 14), (15, 59), (100, 150)])
+@pytest.mark.parametrize("where", [0, 0.25, 0.5, 0.75, 1])
+def test_recall_of_edits_that_lie_together(sizes, where):
+    r = random.Random(9)
+    words = [f"v{k}" for k in range(2000)]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randint(*sizes)))) for k in range(40)]
+    index = Leaks(items, 0.8, REPETITIONS, SEED)
+    for share in (0.1, 0.2):
+        for what in ("cut", "replaced", "inserted"):
+            texts = []
+            for _, t in items:
+                w = t.split()
+                n = int(len(w) * share + 1e-9)
+                at = int((len(w) - n) * where)
+                new = [] if what == "cut" else ["zz%d" % r.randrange(10**6) for _ in range(n)]
+                copy = w[:at] + new + w[at + (n if what != "inserted" else 0):]
+                texts.append(" ".join([r.choice(words) for _ in range(50)] + copy + [r.choice(words) for _ in range(50)]))
+            hits = {(row, i) for row, i, *_ in index.find(texts)}
+            assert sum((row, row) in hits for row in range(len(items))) >= 0.9 * len(items), (share, what)
+
+
 def test_leaks_without_items_or_documents(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, items).collect() == []

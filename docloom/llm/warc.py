@@ -11,10 +11,10 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import saved, table
 
 DATE = "2024-01-01T00:00:00Z"
 _RECORD = "id long, type string, record_id string, refers_to string, uri string, record binary"
@@ -94,12 +94,12 @@ def response_record(number: int | None, uri: str | None, page: str | None) -> tu
         ("WARC-Payload-Digest", digest(payload))], block)
 
 
-def derive(record: bytes) -> tuple[dict, tuple[str, bytes], tuple[str, bytes]]:
-    """(facts, metadata record, conversion record) of a response record.
+def derive(record: bytes) -> tuple[tuple[str, bytes], tuple[str, bytes]]:
+    """((id, metadata record), (id, conversion record)) of a response record.
 
     Both refer to the response by its id and keep its URI and date. The metadata block lists
-    the source's headers and digests, status, title, language and links; the conversion block
-    is the page's plain text. Facts are what a table wants: ids, digests, sizes.
+    the source's headers, size and digests, status, title, language and links; the conversion block
+    is the page's plain text.
     """
     headers, block = read_record(record)
     status, http, payload = split_http(block)
@@ -114,6 +114,7 @@ def derive(record: bytes) -> tuple[dict, tuple[str, bytes], tuple[str, bytes]]:
     cid, mid = record_id("conversion", source, payload_digest), record_id("metadata", source, payload_digest)
     fields = [("status", status), *((f"http-{k.lower()}", v) for k, v in http),
               ("source-block-digest", headers.get("warc-block-digest", digest(block))),
+              ("source-payload-bytes", str(len(payload))),
               ("source-payload-digest", headers.get("warc-payload-digest", payload_digest)),
               ("payload-digest-valid", str(headers.get("warc-payload-digest", payload_digest) == payload_digest).lower()),
               ("conversion", cid)]
@@ -130,9 +131,7 @@ def derive(record: bytes) -> tuple[dict, tuple[str, bytes], tuple[str, bytes]]:
         ("WARC-Type", "conversion"), ("WARC-Record-ID", cid), ("WARC-Refers-To", source), *kept,
         ("Content-Type", "text/plain; charset=utf-8"), ("WARC-Block-Digest", digest(conversion)),
         ("WARC-Payload-Digest", digest(conversion))], conversion)
-    facts = {"response_id": source, "metadata_id": mid, "conversion_id": cid, "payload_digest": payload_digest,
-             "text_digest": digest(conversion), "payload_bytes": len(payload), "text_bytes": len(conversion), "n_links": len(links)}
-    return facts, (mid, meta), (cid, conv)
+    return (mid, meta), (cid, conv)
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -164,7 +163,7 @@ def derivatives(records: DataFrame) -> DataFrame:
                 headers, _ = read_record(record)
                 if headers.get("warc-type") != "response":
                     continue
-                _, meta, conv = derive(record)
+                meta, conv = derive(record)
                 for kind, (rid, data) in (("metadata", meta), ("conversion", conv)):
                     out.append((i, kind, rid, headers.get("warc-record-id"), headers.get("warc-target-uri"), data))
             yield pd.DataFrame(out, columns=["id", "type", "record_id", "refers_to", "uri", "record"])
@@ -177,34 +176,63 @@ def warc_bytes(records: list[bytes]) -> bytes:
     return b"".join(gzip.compress(r, 6, mtime=0) for r in records)
 
 
-def summaries(pages: DataFrame) -> DataFrame:
-    """One row a page: the ids that link its three records, digests and sizes, read back from
-    the records as written."""
+def _read_pair(n: int, meta: bytes, conv: bytes) -> dict:
+    """What a metadata and a conversion record say of their response; raises where they do not agree."""
+    (m, block), (c, text) = read_record(meta), read_record(conv)
+    if m["warc-block-digest"] != digest(block) or c["warc-block-digest"] != digest(text):
+        raise ValueError("the block of a WARC record does not have its digest")
+    fields = [line.partition(": ")[::2] for line in block.decode("utf-8", "surrogatepass").split("\r\n") if line]
+    one = dict(reversed(fields))
+    if one["conversion"] != c["warc-record-id"] or m["warc-refers-to"] != c["warc-refers-to"]:
+        raise ValueError("metadata and conversion record are not of one response")
+    links = [v for k, v in fields if k == "outlink"]
+    return {
+        "url": m.get("warc-target-uri"), "response_id": m["warc-refers-to"], "metadata_id": m["warc-record-id"],
+        "conversion_id": c["warc-record-id"], "metadata_refers_to": m["warc-refers-to"],
+        "conversion_refers_to": c["warc-refers-to"], "payload_digest": one["source-payload-digest"],
+        "text_digest": c["warc-payload-digest"], "payload_bytes": int(one["source-payload-bytes"]), "text_bytes": len(text),
+        "n_links": len(links), "text": text.decode("utf-8", "replace"), "status": one["status"],
+        "http_headers": [f"{k[5:]}: {v}" for k, v in fields if k.startswith("http-")], "title": one.get("title"),
+        "lang": one.get("lang"), "outlinks": links, "source_block_digest": one["source-block-digest"],
+        "payload_digest_valid": one["payload-digest-valid"] == "true", "n": n}
+
+
+def summaries(records: DataFrame) -> DataFrame:
+    """Metadata and conversion records, as of ``derivatives``, to one row a response: ids,
+    digests, sizes, metadata fields, links and text, all read from the two records.
+
+    The two meet by the response they refer to. Equal responses have equal records: they are
+    read once and give a row each. A response without one of the two raises.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, uri, page in zip(batch["id"], batch["uri"], batch["page"]):
-                rid, record = response_record(i, uri, page)
-                facts, (_, meta), (_, conv) = derive(record)
-                m, _ = read_record(meta)
-                c, text = read_record(conv)
-                rows.append({"page_id": i, "url": m.get("warc-target-uri"), **facts, "metadata_refers_to": m["warc-refers-to"],
-                             "conversion_refers_to": c["warc-refers-to"], "text": text.decode("utf-8", "replace")})
+            for i, n, k, meta, conv in zip(batch["page_id"], batch["n"], batch["n_conversions"], batch["metadata"], batch["conversion"]):
+                if n != k:
+                    raise ValueError("a response without its metadata or conversion record")
+                rows.append({"page_id": i, **_read_pair(n, meta, conv)})
             yield pd.DataFrame(rows, columns=_SUMMARY_COLUMNS)
 
-    return pages.mapInPandas(run, _SUMMARY)
+    def of(kind: str) -> Column:
+        return F.when(F.col("type") == kind, F.col("record"))
+
+    pairs = records.groupBy("refers_to").agg(
+        F.first("id").alias("page_id"), F.count(of("metadata")).alias("n"), F.count(of("conversion")).alias("n_conversions"),
+        F.first(of("metadata"), True).alias("metadata"), F.first(of("conversion"), True).alias("conversion"))
+    return (pairs.drop("refers_to").mapInPandas(run, _SUMMARY)
+            .withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n"))
 
 
 _SUMMARY = ("page_id long, url string, response_id string, metadata_id string, conversion_id string, "
             "metadata_refers_to string, conversion_refers_to string, payload_digest string, text_digest string, "
-            "payload_bytes long, text_bytes long, n_links long, text string")
+            "payload_bytes long, text_bytes long, n_links long, text string, status string, http_headers array<string>, "
+            "title string, lang string, outlinks array<string>, source_block_digest string, payload_digest_valid boolean, n long")
 _SUMMARY_COLUMNS = [x.split()[0] for x in _SUMMARY.split(", ")]
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(
-        F.col("page_id").cast("long").alias("id"), F.col("url").alias("uri"), F.col("html").alias("page"))
-    return summaries(pages)
+    made = saved(responses(table(spark, sf_dir, "pages")), "warc_responses", "zstd")
+    return summaries(saved(derivatives(made), "warc_derivatives", "zstd"))
 
 
 QUERIES = {"op9_warc_derivatives": op9_warc_derivatives}

@@ -254,6 +254,26 @@ def test_summaries(spark, sf_dir):
         warc.read_record(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort")
 
 
+def test_summaries_are_read_from_both_stored_records(spark, sf_dir):
+    page = "<html lang='fr'><head><title>A &amp; B</title></head><body><a href='/y'>one</a> <a href='/z'>two</a></body></html>"
+    rows = [(1, "http://a.example/x", page), (1, "http://a.example/x", page), (2, None, None), (None, "u", "<p>t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = warc.derivatives(warc.responses(pages))
+    got = sorted(warc.summaries(records).collect(), key=lambda g: g.page_id or 0)
+    assert [g.page_id for g in got] == [None, 1, 1, 2] and got[1] == got[2]
+    g = got[1]
+    assert (g.status, g.title, g.lang, g.outlinks, g.n_links) == ("HTTP/1.1 200 OK", "A & B", "fr", ["/y", "/z"], 2)
+    assert g.http_headers == ["content-type: text/html; charset=utf-8", f"content-length: {len(page)}"]
+    assert all(g.payload_digest_valid and g.source_block_digest.startswith("sha1:") for g in got)
+    assert got[3].title is None and got[3].lang is None and got[3].text == "" and got[3].outlinks == []
+    with pytest.raises(Exception, match="without its metadata or conversion"):
+        warc.summaries(records.where("type = 'conversion' or id = 2")).collect()
+    assert warc.summaries(records.where("false")).collect() == []
+    held = {p.page_id: p.html for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for g in warc.op9_warc_derivatives(spark, sf_dir).collect():
+        assert g.payload_digest_valid and [x.encode() for x in g.outlinks] == warc._LINK.findall(held[g.page_id].encode())
+
+
 # the pipeline
 
 def test_pipeline_stage_by_stage(spark, sf_dir):

@@ -1,0 +1,8 @@
+"""The benchmark leaves no training-data operator out."""
+
+import bench
+from docloom.llm import queries
+
+
+def test_bench_times_every_training_data_operator():
+    assert set(queries()) | {"pipeline"} == set(bench.LLM)

@@ -218,12 +218,12 @@ def predict(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_c
     return found.withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang and more) without what language identification rejects.
 
-    Learns from rows with a language, then drops rows it calls ``und`` and rows whose best
-    language has a score under ``least``. Columns stay as they are. Where no row has a
-    language nothing can be told apart, and only rows without a letter go.
+    Learns from rows with a language, then drops rows it calls ``und``, which have no letter.
+    A low score drops nothing: on a text of a word or two, several languages tie. Columns stay
+    as they are. Where no row has a language nothing can be told apart, and the same rows go.
     """
     parser = learn(docs, F.lit(True))
 
@@ -232,10 +232,10 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
             for s in range(0, batch.num_rows, 2048):
                 part = batch.slice(s, 2048)
                 letters = part.column(batch.num_columns - 1).to_pylist()
-                names, score = _judge(parser, part.column(batch.schema.get_field_index("text")).to_pylist(), letters)
+                names, _ = _judge(parser, part.column(batch.schema.get_field_index("text")).to_pylist(), letters)
                 keep = np.array(letters, bool)
                 if parser.languages:
-                    keep &= (np.array(names) != "und") & (score >= least)
+                    keep &= np.array(names) != "und"
                 yield part.filter(pa.array(keep)).select(range(batch.num_columns - 1))
 
     marked = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

@@ -241,6 +241,22 @@ def test_language_edges(spark):
         learn(df, F.lit(True), max_languages=1)
 
 
+def test_short_texts_on_which_languages_tie_stay(spark):
+    words = {"en": "the cat and the dog were in a house", "fr": "le chat et le chien dans la maison a",
+             "de": "der hund und die katze in dem haus a", "es": "el perro y el gato en la casa a"}
+    rows = [(k, t, x) for k, (x, t) in enumerate(words.items())] + [(10, "A.", None), (11, "a", None), (12, "?!", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tie = {r.doc_id: r.score for r in predict(df, learn(df, F.lit(True))).collect()}
+    assert tie[10] < 0.5 and tie[11] < 0.5
+    assert sorted(r.doc_id for r in keep_known(df).collect()) == [0, 1, 2, 3, 10, 11]
+
+
+def test_every_given_document_with_a_letter_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    kept = {r.doc_id for r in keep_known(docs).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+
+
 # quality
 
 def test_quality_held_out(spark):

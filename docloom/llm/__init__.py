@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("embed_dup", "minhash", "lines", "language", "quality", "leaks", "tokens", "mixing", "shards", "warc")
+_MODULES = ("embed_dup", "minhash", "lines", "language", "quality", "leaks", "tokens", "mixing", "shards", "warc",
+            "secrets")
 
 
 def queries() -> dict:

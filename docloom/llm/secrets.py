@@ -126,7 +126,7 @@ def _trigrams(query) -> set[str]:
 
 def _holds(query, grams: str) -> Column:
     if isinstance(query, str):
-        return F.array_contains(grams, query)
+        return F.array_contains(grams, trigram_number(query))
     out = None
     for part in query[1:]:
         c = _holds(part, grams)
@@ -141,8 +141,19 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_col, text_col)
 
 
+def trigram_number(gram: str) -> int:
+    """A trigram's code points, 21 bits each: numbers sort faster than strings."""
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
+
+
+def _number(gram: str) -> Column:
+    a, b, c = (F.ascii(F.substring(gram, k, 1)).cast("long") for k in (1, 2, 3))
+    return F.shiftleft(a, 42) + F.shiftleft(b, 21) + c
+
+
 def trigram_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (gram, doc): every lower-case trigram of every text with the row's key.
+    """Postings (gram, doc): the number of every lower-case trigram of every text with the row's key.
 
     Each task writes the postings of its own rows, sorted by trigram: no shuffle, no list
     grows with the corpus, and a lookup reads the row groups of its trigrams alone. Long texts
@@ -153,13 +164,14 @@ def trigram_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1)))
     cut = docs.where(F.char_length(text) >= 3).select(row_key(id_col, text_col).alias("doc"), F.explode(pieces).alias("piece"))
     grams = F.array_distinct(F.regexp_extract_all(F.lower("piece"), F.lit("(?s)(?=(...))"), F.lit(1)))
-    return saved(cut.select(F.explode(grams).alias("gram"), "doc").sortWithinPartitions("gram"), "trigrams")
+    postings = cut.select(F.explode(grams).alias("g"), "doc").select(_number("g").alias("gram"), "doc")
+    return saved(postings.sortWithinPartitions("gram"), "trigrams")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc, rules): the kinds whose query the postings of a row satisfy, where there are any."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    wanted = sorted(set().union(*map(_trigrams, queries.values())))
+    wanted = sorted(map(trigram_number, set().union(*map(_trigrams, queries.values()))))
     met = index.where(F.col("gram").isin(wanted)).groupBy("doc").agg(F.collect_set("gram").alias("grams"))
     kinds = F.filter(F.array(*[F.when(_holds(q, "grams"), k) for k, q in queries.items() if q is not True],
                              F.lit(None).cast("string")), lambda k: k.isNotNull())
@@ -170,13 +182,12 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def running_totals(numbers: Column) -> Column:
     """Inclusive running totals of an array, by doubling: no array is built element by element."""
-    def doubled(step: int):
-        return lambda a: F.when(F.size(a) > step, F.transform(
+    def doubled(a: Column, step: Column) -> Column:
+        return F.when(F.size(a) > step, F.transform(
             a, lambda x, i: x + F.when(i >= step, F.get(a, i - step)).otherwise(0))).otherwise(a)
 
-    for k in range(28):  # a text of 2 GiB holds fewer matches than 2**28
-        numbers = F.transform(F.array(numbers), doubled(1 << k))[0]
-    return numbers
+    # a text of 2 GiB holds fewer matches than 2**28
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(28)]), numbers, doubled)
 
 
 def _no_spans() -> Column:

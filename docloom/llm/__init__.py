@@ -9,7 +9,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("embed_dup", "minhash", "lines", "language", "quality", "leaks", "tokens", "mixing", "shards", "warc",
-            "secrets")
+            "secrets", "alignment", "variants")
 
 
 def queries() -> dict:

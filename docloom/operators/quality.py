@@ -77,7 +77,7 @@ def review_pass(df: DataFrame, fns: list[Callable], original: str = "text",
         translated, "__text").withColumn("__sent", masked("__text", mask, "R"))
     ask = first_success(fns)
     engine = Engine(ask if by else (lambda texts, _: ask(texts)), batch_size, policy or RetryPolicy())
-    answers = call_stage(distinct, "__sent", groups, lambda *_: engine, None).where("status = 'ok'")
+    answers = call_stage(distinct, "__sent", groups, engine, None).where("status = 'ok'")
     reviewed = answers.select(
         *groups, segment_key("__text").alias("__key"), unmasked("translated", "__text", mask, "R").alias("__new"), "uses")
     keyed = distinct.withColumn("__key", segment_key("__text"))

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions.fixed import EVALUATION_FAILED
 from docloom.functions.text import col, segment_key, strip_code_fence, strip_tags, trim_ws
-from docloom.operators.policy import Pace, RetryPolicy
+from docloom.operators.memory import apply_memory, hot_keys
+from docloom.operators.policy import Pace, RetryPolicy, in_order
+from docloom.operators.translate import default_partitions, in_lanes
 
 REVIEW_SCHEMA = (
     "score string, accuracy string, tone string, issues array<string>, suggestion string, "
@@ -32,28 +34,34 @@ def evaluate(df: DataFrame, judge: Callable[[str, str, str], str], original: str
     """
     policy = policy or RetryPolicy()
     asked = [original, translated, language]
-    src = df.select(*keep, *asked)
+    n = default_partitions(df, partitions)
+    lanes = policy.lanes(n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pace = Pace()
+        paces: dict[int, Pace] = {}
+
+        def ask(job: tuple) -> str:
+            *texts, lane = job
+            try:
+                return policy.call(judge, *texts, before=paces[lane].wait)[0]
+            except Exception as e:  # noqa: BLE001
+                if policy.on_error == "raise":
+                    raise
+                return json.dumps(
+                    {"score": 0, "error": str(e), "suggestion": EVALUATION_FAILED}, ensure_ascii=False)
+
         for pdf in batches:
-            raws = []
-            for o, t, lang in zip(pdf[original], pdf[translated], pdf[language]):
-                pace.wait(policy)
-                try:
-                    raws.append(policy.call(judge, o, t, lang)[0])
-                except Exception as e:  # noqa: BLE001
-                    if policy.on_error == "raise":
-                        raise
-                    raws.append(json.dumps(
-                        {"score": 0, "error": str(e), "suggestion": EVALUATION_FAILED}, ensure_ascii=False))
-            yield pd.DataFrame({"__pair": pdf["__pair"], "raw": raws})
+            paces |= {k: Pace(policy, k, lanes) for k in set(pdf["__lane"]) - set(paces)}
+            jobs = zip(pdf[original], pdf[translated], pdf[language], pdf["__lane"])
+            yield pd.DataFrame({"__pair": pdf["__pair"], "raw": list(in_order(jobs, ask, policy.in_flight))})
 
     pair = segment_key(F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(asked)])))
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = src.select(*asked).distinct().withColumn("__pair", pair)
-    judged = distinct.repartition(n, F.xxhash64("__pair")).mapInPandas(run, "__pair binary, raw string")
-    return src.withColumn("__pair", pair).join(judged, "__pair", "left").drop("__pair")
+    src = df.select(*keep, *asked).withColumn("__pair", pair)
+    # folded by the key: equal pairs move their texts once for each task that reads them
+    distinct = src.groupBy("__pair").agg(*[F.first(c).alias(c) for c in asked], F.count(F.lit(1)).alias("uses"))
+    placed = in_lanes(distinct, F.xxhash64("__pair"), {None: policy}, n)
+    judged = placed.mapInPandas(run, "__pair binary, raw string")
+    return apply_memory(src, judged, ["__pair"], "raw", hot_keys(distinct, ["__pair"])).drop("__pair")
 
 
 def evaluate_requests(df: DataFrame, judges: dict[str, Callable[[str, str, str], str]],

@@ -1,13 +1,14 @@
 """The model calls. The model is a Python function of the user; all else is built-in.
 
-A call stage is ``repartition`` + ``mapInPandas``: the partition count is the number of
-calls in flight, so it also sets the pace. The repartition key is a hash expression:
-on the plain column Spark would see the data as placed already, drop the exchange and
-later merge small partitions into one task.
+A call stage is an exchange + ``mapInPandas``. Each engine has tasks of its own, as many as
+its gap between calls leaves work for, and a row's task is computed, not hashed by Spark: so
+all tasks together keep an engine's rate, and no other engine waits for it. Several calls of a
+task may be in flight at once; answers come in the order of the requests.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -19,7 +20,7 @@ from docloom.functions.masking import (
     has_protected, mask_images, mask_protected, mask_styles, unmask, unmask_images, unmask_styles,
 )
 from docloom.functions.text import decode_entities, extract_body, map_symbols, strip_code_fence, trim_ws
-from docloom.operators.policy import Pace, RetryPolicy
+from docloom.operators.policy import Pace, RetryPolicy, ask_batch, in_order
 from docloom.operators.routing import language_name
 
 
@@ -34,55 +35,105 @@ class Engine:
     symbols: bool = False  # symbol-font code points go to it as the glyphs they stand for
 
 
-def _run_batch(fn: Callable, policy: RetryPolicy, texts: list[str], *args) -> tuple[list, str, int]:
-    try:
-        result, used = policy.call(fn, texts, *args)
-        result = list(result)
-    except Exception as e:  # noqa: BLE001
-        if policy.on_error == "raise":
-            raise
-        return list(texts), "kept", getattr(e, "attempts", 1)
-    if len(result) != len(texts):
-        # pairs by position would be wrong from some line on: keep the originals
-        return list(texts), "misaligned", used
-    if not all(isinstance(r, str) for r in result):
-        return list(texts), "kept", used
-    return result, "ok", used
-
-
-def call_stage(src: DataFrame, sent: str, groups: list[str], engine_of: Callable[..., Engine],
-                partitions: int | None) -> DataFrame:
-    """Run the model over ``sent``; a request never mixes values of ``groups``."""
-    n = partitions or int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def lanes_of(policies: dict[str | None, RetryPolicy], partitions: int) -> tuple[dict[str | None, tuple[int, int]], int]:
+    """For each engine its first task and how many it has; and all tasks. An engine with a gap
+    has tasks of its own, those without share the rest."""
+    plan, first = {}, 0
+    for name, policy in policies.items():
+        if policy.gap:
+            plan[name] = (first, policy.lanes(partitions))
+            first += plan[name][1]
+    free = {name: (first, partitions) for name, policy in policies.items() if not policy.gap}
+    return plan | free, first + (partitions if free else 0)
+
+
+def in_lanes(src: DataFrame, key: Column, policies: dict[str | None, RetryPolicy], partitions: int,
+             engine_col: str | None = None) -> DataFrame:
+    """Place rows by engine and a hash of ``key``, and add ``__lane``, the row's task among its engine's."""
+    plan, total = lanes_of(policies, partitions)
+    if engine_col is None:
+        (first, count), = plan.values()
+        return src.withColumn("__lane", F.pmod(key, F.lit(count)).cast("int")).repartitionById(total, F.col("__lane"))
+    first, count = F.lit(0), F.lit(1)
+    for name, (f, c) in plan.items():
+        first = F.when(F.col(engine_col) == name, f).otherwise(first)
+        count = F.when(F.col(engine_col) == name, c).otherwise(count)
+    return src.withColumn("__lane", F.pmod(key, count).cast("int")).repartitionById(
+        total, (first + F.col("__lane")).cast("int"))
+
+
+def default_partitions(df: DataFrame, partitions: int | None) -> int:
+    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _requests(batches: Iterator[pd.DataFrame], groups: list[str], size_of: Callable[[tuple], int]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(labels, rows) of each request. One may go on over the end of a batch of rows, so it does
+    not depend on how many rows Spark hands over at once."""
+    rest = None
+    for more in itertools.chain(batches, [None]):
+        rows = more if rest is None else rest if more is None else pd.concat([rest, more], ignore_index=True)
+        if rows is None:
+            return
+        labels = list(zip(*[rows[g].tolist() for g in groups])) if groups else [()] * len(rows)
+        at = 0
+        while at < len(rows):
+            end, size = at + 1, size_of(labels[at])
+            while end < len(rows) and end - at < size and labels[end] == labels[at]:
+                end += 1
+            if end == len(rows) and end - at < size and more is not None:
+                break
+            yield labels[at], rows.iloc[at:end]
+            at = end
+        rest = rows.iloc[at:].reset_index(drop=True)
+
+
+def call_stage(src: DataFrame, sent: str, groups: list[str], engines: Engine | dict[str, Engine],
+               partitions: int | None) -> DataFrame:
+    """Run the model over ``sent``; a request never mixes values of ``groups``. With several
+    ``engines`` the first of these names a row's engine; an unknown one is an error."""
+    named = engines if isinstance(engines, dict) else {None: engines}
+    policies = {name: e.policy for name, e in named.items()}
+    n = default_partitions(src, partitions)
+    plan, _ = lanes_of(policies, n)
     carried = [f.name for f in src.schema.fields if f.name != "__sent"]
 
+    def engine_of(labels: tuple) -> str | None:
+        return labels[0] if isinstance(engines, dict) else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pace = Pace()
-        for pdf in batches:
-            outs, stats, tries = [], [], []
-            texts = pdf[sent].tolist()
-            labels = list(zip(*[pdf[g].tolist() for g in groups])) if groups else [()] * len(texts)
-            at = 0
-            while at < len(texts):
-                engine = engine_of(*labels[at])
-                end = at + 1
-                while end < len(texts) and end - at < engine.batch_size and labels[end] == labels[at]:
-                    end += 1
-                pace.wait(engine.policy)
-                language = labels[at][-1] if groups else None
-                res, status, used = _run_batch(engine.fn, engine.policy, texts[at:end], language)
-                outs += res
-                stats += [status] * (end - at)
-                tries += [used] * (end - at)
-                at = end
-            out = pdf[carried].copy()
-            out["translated"], out["status"], out["attempts"] = outs, stats, tries
-            yield out
+        paces: dict[tuple, Pace] = {}
+
+        def ask(job: tuple[tuple, pd.DataFrame]) -> pd.DataFrame:
+            labels, rows = job
+            engine, pace = named[engine_of(labels)], paces[engine_of(labels), rows["__lane"].iat[0]]
+            out = rows[carried].copy()
+            out["translated"], out["status"], out["attempts"] = ask_batch(
+                engine.fn, engine.policy, rows[sent].tolist(), labels[-1] if groups else None, pace=pace)
+            return out
+
+        def opened(jobs: Iterator[tuple]) -> Iterator[tuple]:
+            for labels, rows in jobs:
+                name, lane = engine_of(labels), rows["__lane"].iat[0]
+                if (name, lane) not in paces:
+                    paces[name, lane] = Pace(policies[name], lane, plan[name][1])
+                yield labels, rows
+
+        jobs = opened(_requests(batches, groups, lambda labels: named[engine_of(labels)].batch_size))
+        done, rows = [], 0
+        for name, own in itertools.groupby(jobs, key=lambda job: engine_of(job[0])):
+            for out in in_order(own, ask, policies[name].in_flight):
+                done.append(out)
+                rows += len(out)
+                if rows >= 2000:
+                    yield pd.concat(done, ignore_index=True)
+                    done, rows = [], 0
+        if done:
+            yield pd.concat(done, ignore_index=True)
 
     schema = src.select(*carried).schema.add("translated", "string").add("status", "string").add("attempts", "integer")
     # sorted, so that a retried task forms the same batches again
-    placed = src.repartition(n, F.xxhash64(*groups, sent)).sortWithinPartitions(*groups, sent)
-    return placed.mapInPandas(run, schema)
+    placed = in_lanes(src, F.xxhash64(*groups, sent), policies, n, groups[0] if isinstance(engines, dict) else None)
+    return placed.sortWithinPartitions(*groups, sent).mapInPandas(run, schema)
 
 
 def masked(text_col: str, where: Column | bool = True, prefix: str = "", html: bool = False) -> Column:
@@ -116,7 +167,7 @@ def translate_segments(
     src = segs.select(text_col, *(keep or []))
     if mask:
         src = src.withColumn("__sent", masked(text_col))
-    called = call_stage(src, "__sent" if mask else text_col, [], lambda: engine, partitions)
+    called = call_stage(src, "__sent" if mask else text_col, [], engine, partitions)
     return called.withColumn("translated", unmasked("translated", text_col)) if mask else called
 
 
@@ -131,7 +182,7 @@ def translate_by_engine(
     as_glyphs = F.col(engine_col).isin([name for name, e in engines.items() if e.symbols])
     src = src.withColumn("__plain", F.when(as_glyphs, map_symbols(text_col)).otherwise(F.col(text_col)))
     called = call_stage(src.withColumn("__sent", masked("__plain", hidden)), "__sent", [engine_col, language_col],
-                        lambda name, _: engines[name], partitions)
+                        engines, partitions)
     restored = F.when(F.col("status") == "ok", unmasked("translated", "__plain", hidden)).otherwise(F.col(text_col))
     return called.withColumn("translated", restored).drop("__plain")
 
@@ -148,7 +199,8 @@ def translate_chunks(
 
     On an error the original pages of that chunk stay (``original``, by default the body of
     the chunk). ``mask`` hides protected terms and ``[[…]]``, also in their escaped forms, and
-    puts them back into the answer. ``spread=False`` is for streams, which are placed by their source.
+    puts them back into the answer. ``spread=False`` is for streams, which are placed by their
+    source unless the policy has a gap.
     """
     policy = policy or RetryPolicy()
     whole = original if original is not None else extract_body(html)
@@ -159,24 +211,28 @@ def translate_chunks(
     def one(texts: list[str], *extra) -> list[str]:
         return [fn(texts[0], *extra)]
 
+    lanes = policy.lanes(n := default_partitions(chunks, partitions))
+    paced = spread or bool(policy.gap)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pace = Pace()
+        paces: dict[int, Pace] = {}
+
+        def ask(job: tuple) -> tuple[list, list, list]:
+            text, lane, extra = job
+            return ask_batch(one, policy, [text], *extra, pace=paces[lane])
+
         for pdf in batches:
+            own = pdf["__lane"].tolist() if paced else [0] * len(pdf)
+            paces |= {k: Pace(policy, k, lanes) for k in set(own) - set(paces)}
             extra = pdf[[language]].values.tolist() if language else [[]] * len(pdf)
-            done = []
-            for t, x in zip(pdf["__sent"].tolist(), extra):
-                pace.wait(policy)
-                done.append(_run_batch(one, policy, [t], *x))
+            done = list(in_order(zip(pdf["__sent"].tolist(), own, extra), ask, policy.in_flight))
             out = pdf[names].copy()
-            out["__answer"] = [d[0][0] for d in done]
-            out["status"] = [d[1] for d in done]
-            out["attempts"] = [d[2] for d in done]
+            out["__answer"], out["status"], out["attempts"] = ([d[k][0] for d in done] for k in range(3))
             yield out
 
     schema = src.select(*names).schema.add("__answer", "string").add("status", "string").add("attempts", "integer")
-    if spread:
-        n = partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        src = src.repartition(n, F.xxhash64(*keys))
+    if paced:
+        src = in_lanes(src, F.xxhash64(*keys), {None: policy}, n)
     called = src.mapInPandas(run, schema)
     if mask:
         called = called.withColumn("__answer", unmasked("__answer", "__source", html=True)).drop("__source")
@@ -201,7 +257,7 @@ def translate_html(
     styled = mask_styles(html)
     pictured = mask_images(styled["text"])
     one = replace(engine, batch_size=1)
-    called = call_stage(docs.withColumn("__sent", pictured["text"]), "__sent", [language], lambda _: one, partitions)
+    called = call_stage(docs.withColumn("__sent", pictured["text"]), "__sent", [language], one, partitions)
     answer = unmask_styles(
         unmask_images(decode_entities("translated"), pictured["term_map"]), styled["term_map"])
     done = F.when(F.col("status") == "ok", answer).otherwise(F.col(html))

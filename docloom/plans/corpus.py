@@ -10,7 +10,7 @@ from docloom.functions.text import segment_key
 from docloom.operators import memory, segment
 from docloom.operators.assemble import assemble, assemble_parts
 from docloom.operators.policy import RetryPolicy
-from docloom.operators.requests import plan_chunk_stream, plan_requests
+from docloom.operators.requests import plan_chunk_stream, plan_rates, plan_requests
 from docloom.operators.translate import (
     REVIEW_TEMPLATE, Engine, align_lines, build_prompts, translate_by_engine, translate_chunks, translate_segments,
 )
@@ -130,6 +130,60 @@ def translate_with_fallback(spark, sf_dir):
         "text", "translated", "status")
 
 
+@query("translate_split_batches", f"""
+SELECT DISTINCT text,
+  CASE WHEN contains(text, 'ß') OR contains(text, 'ñ') THEN text ELSE '[hi] ' || text END AS translated,
+  CASE WHEN contains(text, 'ß') OR contains(text, 'ñ') THEN 'kept' ELSE 'ok' END AS status
+FROM ({SEGS})
+""")
+def translate_split_batches(spark, sf_dir):
+    """A failing request of 25 is halved until the lines that it fails for stand alone."""
+    uniq = segment.distinct_segments(segment.segments(documents(spark, sf_dir)))
+    return translate_segments(uniq, _fails_on_marks, RetryPolicy(split_calls=48), batch_size=25).select(
+        "text", "translated", "status")
+
+
+_BY_ENGINE = ("CASE lang WHEN 'en' THEN 'gemini' WHEN 'fr' THEN 'sarvam' ELSE 'openai' END AS llm_provider, "
+              "CASE lang WHEN 'es' THEN 'te' ELSE 'hi' END AS target_language")
+
+
+def _named(name):
+    return lambda texts, language: [f"{name} {language} {t}" for t in texts]
+
+
+PACED = {
+    "gemini": Engine(_named("gemini"), 25, RetryPolicy(gap=0.001, latency=0.004, in_flight=2)),
+    "sarvam": Engine(_named("sarvam"), 25, RetryPolicy(gap=0.001)),
+    "openai": Engine(_named("openai"), 20, RetryPolicy(in_flight=4)),
+}
+
+
+@query("translate_paced", f"""
+SELECT DISTINCT llm_provider, target_language, text, llm_provider || ' ' || target_language || ' ' || text AS translated,
+  'ok' AS status, 1 AS attempts
+FROM (SELECT {_BY_ENGINE}, text FROM ({SEGS}))
+""")
+def translate_paced(spark, sf_dir):
+    """Engines with a rate each, kept by all tasks together, and with several calls in flight."""
+    segs = segment.segments(documents(spark, sf_dir), keep=["lang"])
+    rows = segs.selectExpr(*_BY_ENGINE.split(", "), "text").distinct()
+    return translate_by_engine(rows, PACED)
+
+
+@query("plan_rates", f"""
+SELECT llm_provider, CAST(sum(n) AS BIGINT) AS segments, CAST(sum(requests) AS BIGINT) AS requests, CAST(1 AS BIGINT) AS lanes,
+  CASE llm_provider WHEN 'openai' THEN 0e0 ELSE (sum(requests) - 1) * 0.001e0 END AS paced_s
+FROM (SELECT llm_provider, count(*) AS n,
+        ceil(count(*) / CASE llm_provider WHEN 'openai' THEN 20e0 ELSE 25e0 END) AS requests
+      FROM (SELECT DISTINCT {_BY_ENGINE}, text FROM ({SEGS})) GROUP BY llm_provider, target_language)
+GROUP BY llm_provider
+""")
+def rates(spark, sf_dir):
+    """What one task an engine will send, and how long its gaps take."""
+    segs = segment.segments(documents(spark, sf_dir), keep=["lang"])
+    return plan_rates(segs.selectExpr(*_BY_ENGINE.split(", "), "text").distinct(), PACED, partitions=1)
+
+
 _MEMORY = f"SELECT DISTINCT text, '[mem] ' || text AS translated FROM ({SEGS}) WHERE lang = 'en'"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,15 @@ from pyspark.sql.types import StructType
 from docloom.llm.common import saved, shuffle_partitions, table
 
 #: texts are handed to the tokenizers in parts of about so many characters
-PART = 1 << 16
+PART = 1 << 12
+#: at most so many units are kept by a worker
+KEPT_UNITS = 1 << 18
 #: documents are worked on together up to so many characters
 SLICE = 1 << 19
 
+_UNIT = re.compile(r"[ \n][^ \n]*")
+_ODD = re.compile(r"\s\s|[^\S \n]|\s$")
+
 BLOCK_SCHEMA = (
     "block long, docs array<struct<id:{id},n_a:long,n_b:long,n_groups:long,groups_sha256:string,n_codes:int>>, "
     "codes array<long>, counts array<long>, at array<int>, times array<int>")
@@ -52,7 +58,7 @@ class ByteTokenizer:
 
 
 class PieceTokenizer:
-    """Side B: a sentencepiece model. It puts the leading space itself."""
+    """Side B: a sentencepiece model. It puts a leading space itself."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -61,11 +67,12 @@ class PieceTokenizer:
         size = self.model.get_piece_size()
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
                       for i, p in enumerate(self.model.id_to_piece(list(range(size))))]
-        # no piece goes on over a space, so a text may be cut in front of one
-        self.cuts = not any("▁" in p.lstrip("▁") for p in self.model.id_to_piece(list(range(size))))
+        # no piece goes on over a space or holds a line feed, so a text may be cut in front of one
+        self.cuts = not any("▁" in p.lstrip("▁") or "\n" in p for p in self.model.id_to_piece(list(range(size))))
 
     def encode(self, parts: list[str]) -> list[list[int]]:
-        return self.model.encode([p[1:] for p in parts], num_threads=1)
+        found = self.model.encode([p[p[:1] == " ":] for p in parts], num_threads=1)
+        return [ids if p[:1] == " " else ids[1:] for p, ids in zip(parts, found)]
 
 
 def cut_text(spaced: str, size: int = PART) -> list[str]:
@@ -111,58 +118,91 @@ class _Tables:
         self.size = len(tokens)
 
 
+#: a unit's tokens, and how its groups are written; None where a tokenizer does not give it back
+Unit = tuple[int, int, int, str, bytes] | None
+
+
+def cut_units(part: str) -> list[str]:
+    """A part's words, each with the space or line feed in front of it. Where other white space
+    or several in a row stand, a tokenizer may look over a cut, and the part stays whole."""
+    return [part] if _ODD.search(part) else _UNIT.findall(part)
+
+
 class Aligner:
+    """Aligns units, many at a time, and keeps what it knows of up to ``KEPT_UNITS`` of them."""
+
     def __init__(self, path_a: str, path_b: str) -> None:
         self.a, self.b = ByteTokenizer(path_a), PieceTokenizer(path_b)
         self.ta, self.tb = _Tables(self.a.bytes, ",", "|"), _Tables(self.b.bytes, ",", ";")
-
-    def _tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        none = (np.empty(0, np.int64), np.empty(0, np.int64))
-        given = [(i, " " + t) for i, t in enumerate(texts) if t]
-        parts = [cut_text(s) if self.b.cuts else [s] for _, s in given]
-        flat = [p for ps in parts for p in ps]
-        found = list(zip(self.a.encode(flat), self.b.encode(flat)))
-        out, at = [none] * len(texts), 0
-        for (i, spaced), ps in zip(given, parts):
-            a = [x for f in found[at:at + len(ps)] for x in f[0]]
-            b = [x for f in found[at:at + len(ps)] for x in f[1]]
-            at += len(ps)
-            raw = spaced.encode()
-            if raw == b"".join(map(self.a.bytes.__getitem__, a)) == b"".join(map(self.b.bytes.__getitem__, b)):
-                out[i] = np.array(a, np.int64), np.array(b, np.int64)
-        return out
-
-    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
-        """For each text (n_a, n_b, n_groups, groups_sha256, codes of its links in order). A code is
-        A's id in the upper 32 bits and B's in the lower."""
-        tokens = self._tokens(texts)
-        a, b = (np.concatenate([t[side] for t in tokens]) for side in (0, 1))
-        if not len(a):
-            return [(0, 0, 0, "", a)] * len(texts)
-        # all texts stand behind one another: both sides end where a text ends, so no group crosses
+        self.known: dict[str, Unit] = {}
+
+    def _units(self, spaced: str) -> list[str]:
+        return [u for p in cut_text(spaced) for u in cut_units(p)] if self.b.cuts else [spaced]
+
+    def _learn(self, units: list[str]) -> Iterator[Unit]:
+        """Units in a row are a text whose tokens end where the units end."""
+        at = 0
+        while at < len(units):
+            end, size = at + 1, len(units[at])
+            while end < len(units) and size < PART:
+                size += len(units[end])
+                end += 1
+            yield from self._aligned(units[at:end])
+            at = end
+
+    def _aligned(self, units: list[str]) -> Iterator[Unit]:
+        text = "".join(units)
+        ids_a, ids_b = self.a.encode([text])[0], self.b.encode([text])[0]
+        raw = text.encode()
+        if not raw == b"".join(map(self.a.bytes.__getitem__, ids_a)) == b"".join(map(self.b.bytes.__getitem__, ids_b)):
+            if len(units) == 1:
+                yield None
+            else:  # look for the unit that does not come back
+                half = len(units) // 2
+                yield from self._aligned(units[:half])
+                yield from self._aligned(units[half:])
+            return
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         ends_a, ends_b = np.cumsum(self.ta.lengths[a]), np.cumsum(self.tb.lengths[b])
         group = terminals(ends_a, ends_b)
         n = len(a)
         last_a = group[:n] == np.arange(n)
         last_b = ends_a[group[n:]] == ends_b
-        codes = a[last_a] << 32 | b[last_b]
+        codes = (a[last_a] << 32 | b[last_b]).tobytes()
         number_a, number_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         size_a, size_b = np.bincount(number_a), np.bincount(number_b)
         written = np.empty(n + len(b), object)
         written[np.arange(n) + (np.cumsum(size_b) - size_b)[number_a]] = self.ta.texts[a + self.ta.size * last_a]
         written[np.arange(len(b)) + np.cumsum(size_a)[number_b]] = self.tb.texts[b + self.tb.size * last_b]
-        out, at_a, at_b, at_g = [], 0, 0, 0
-        groups_by_token = np.cumsum(last_a)
-        for ids_a, ids_b in tokens:
-            if not len(ids_a):
-                out.append((0, 0, 0, "", codes[:0]))
+        pieces = written.tolist()
+        stops = np.cumsum([len(u.encode()) for u in units])
+        until_a = np.searchsorted(ends_a, stops, "right").tolist()
+        until_b = np.searchsorted(ends_b, stops, "right").tolist()
+        groups = np.searchsorted(ends_a[last_a], stops, "right").tolist()
+        pa_, pb, pg = 0, 0, 0
+        for qa, qb, qg in zip(until_a, until_b, groups):
+            yield qa - pa_, qb - pb, qg - pg, "".join(pieces[pa_ + pb:qa + qb])[:-1], codes[8 * pg:8 * qg]
+            pa_, pb, pg = qa, qb, qg
+
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """For each text (n_a, n_b, n_groups, groups_sha256, codes of its links in order). A code is
+        A's id in the upper 32 bits and B's in the lower."""
+        if len(self.known) > KEPT_UNITS:
+            self.known = {}
+        cut = [self._units(" " + t) if t else [] for t in texts]
+        new = list(dict.fromkeys(u for us in cut for u in us if u not in self.known))
+        short = [u for u in new if not _ODD.search(u)] if self.b.cuts else []
+        self.known.update(zip(short, self._learn(short)))
+        odd = {u: next(self._aligned([u])) for u in new if u not in self.known}
+        out = []
+        for units in cut:
+            found = [odd[u] if u in odd else self.known[u] for u in units] if odd else list(map(self.known.__getitem__, units))
+            if not found or None in found:
+                out.append((0, 0, 0, "", np.empty(0, np.int64)))
                 continue
-            begin = at_a + at_b
-            at_a, at_b = at_a + len(ids_a), at_b + len(ids_b)
-            text = "".join(written[begin:at_a + at_b])[:-1]
-            groups = int(groups_by_token[at_a - 1]) - at_g
-            out.append((len(ids_a), len(ids_b), groups, hashlib.sha256(text.encode()).hexdigest(), codes[at_g:at_g + groups]))
-            at_g += groups
+            n_a, n_b, n_groups, written, codes = zip(*found)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), hashlib.sha256(";".join(written).encode()).hexdigest(),
+                        np.frombuffer(b"".join(codes), np.int64)))
         return out
 
 

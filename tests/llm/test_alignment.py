@@ -96,8 +96,11 @@ def test_parts_have_the_ids_of_the_whole():
         spaced = " " + "".join(r.choice(bits) for _ in range(200))
         parts = L.cut_text(spaced, 20)
         assert "".join(parts) == spaced
+        units = [u for p in parts for u in L.cut_units(p)]
+        assert "".join(units) == spaced
         for side in (a, b):
             assert sum(side.encode(parts), []) == side.encode([spaced])[0]
+            assert sum(side.encode(units), []) == side.encode([spaced])[0]
 
 
 @pytest.mark.parametrize("seed", range(20))

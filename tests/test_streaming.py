@@ -25,12 +25,17 @@ class Stream:
     def run(self):
         src = S.read_chunk_stream(self.spark, self.p["in"], files_per_trigger=1)
         S.run_to_end(S.write_chunks(S.stream_chunks(src, upper), self.p["chunks"], self.p["c1"]), 120)
-        arrived = S.read_chunk_stream(self.spark, self.p["chunks"], 1, S.TABLE_SCHEMA)
+        arrived = S.read_chunk_stream(self.spark, self.p["chunks"], schema=S.TABLE_SCHEMA)
         S.run_to_end(S.write_progress(S.track_arrivals(arrived), self.p["progress"], self.p["c2"]), 120)
         originals = self.spark.range(100).selectExpr("id AS doc_id", "'o' AS original_html", "'hi' AS language", "'gemini' AS provider")
         done = S.track_done(S.read_progress_stream(self.spark, self.p["progress"]))
         S.run_to_end(S.write_done(done, self.p["chunks"], originals, self.p["done"], self.p["c3"]), 120)
 
+    def table_rows(self):
+        import glob
+
+        return self.table().count() if glob.glob(self.p["chunks"] + "/slot=*/*.parquet") else 0
+
     def table(self):
         return self.spark.read.parquet(self.p["chunks"])
 
@@ -143,6 +148,56 @@ def test_abandoned_documents_are_reported(spark, stream):
     assert {r.doc_id: r.abandoned for r in S.latest_progress(stream.progress()).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_an_abandoned_document_resumes(spark, stream):
+    def run(*rows):
+        if rows:
+            deliver(spark, stream.p["in"], rows)
+        src = S.read_chunk_stream(spark, stream.p["in"])
+        S.run_to_end(S.write_chunks(S.stream_chunks(src, upper), stream.p["chunks"], stream.p["c1"]), 120)
+        arrived = S.track_arrivals(S.read_chunk_stream(spark, stream.p["chunks"], schema=S.TABLE_SCHEMA), abandon_after_ms=1)
+        S.run_to_end(S.write_progress(arrived, stream.p["progress"], stream.p["c2"]), 120)
+        return {r.doc_id: (r.done, r.abandoned) for r in S.latest_progress(stream.progress()).collect()}
+
+    run((1, 0, 3), (1, 1, 3))
+    assert run((2, 0, 1)) == {1: (2, True), 2: (1, False)}
+    assert run((1, 1, 3)) == {1: (2, False), 2: (1, False)}  # a repeat is a sign of life
+    assert run((1, 2, 3)) == {1: (3, False), 2: (1, False)}
+    assert list(stream.documents()) == [1, 2]
+
+
+def test_a_trigger_writes_one_file_a_slot(spark, stream):
+    deliver(spark, stream.p["in"], [(d, i, 3) for d in range(200) for i in range(3)])
+    spark.read.parquet(stream.p["in"]).repartition(8).write.parquet(stream.p["in"] + "2")
+    src = S.read_chunk_stream(spark, stream.p["in"] + "2")
+    S.run_to_end(S.write_chunks(S.stream_chunks(src, upper), stream.p["chunks"], stream.p["c1"]), 120)
+    files = stream.table().select(F.input_file_name().alias("f"), "slot").distinct()
+    assert files.count() == files.select("slot").distinct().count() <= S.SLOTS
+
+
+def test_a_stream_keeps_running_by_its_trigger(spark, stream):
+    import time
+
+    deliver(spark, stream.p["in"], [(1, 0, 2)])
+    src = S.read_chunk_stream(spark, stream.p["in"])
+    query = S.write_chunks(S.stream_chunks(src, upper), stream.p["chunks"], stream.p["c1"], {"processingTime": "200 milliseconds"})
+    try:
+        deliver(spark, stream.p["in"], [(1, 1, 2)])
+        end = time.time() + 60
+        while time.time() < end and (query.lastProgress is None or stream.table_rows() < 2):
+            time.sleep(0.3)
+        assert query.isActive and stream.table_rows() == 2
+    finally:
+        query.stop()
+
+
+def test_the_session_keeps_its_own_state_store(spark, stream):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    deliver(spark, stream.p["in"], [(1, 0, 1)])
+    stream.run()
+    assert spark.conf.get(name) == before
+
+
 class FakeSession:
     """A session with a master and, perhaps, the cluster's shared folder."""
 

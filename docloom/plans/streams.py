@@ -40,7 +40,7 @@ def _run(spark, sf_dir):
 
 def _track_files(spark, table):
     path = work_dir(spark, "progress")
-    arrived = S.read_chunk_stream(spark, table, schema=S.TABLE_SCHEMA, bytes_per_trigger="256m")
+    arrived = S.read_chunk_stream(spark, table, schema=S.TABLE_SCHEMA, bytes_per_trigger=1 << 28)
     S.run_to_end(S.write_progress(S.track_arrivals(arrived), path, work_dir(spark, "progress-checkpoint")))
     return path
 
@@ -92,7 +92,7 @@ def stream_done_events(spark, sf_dir):
     originals = pages_of(spark, sf_dir).select("doc_id").distinct().selectExpr(
         "doc_id", "concat('conversation ', doc_id) AS original_html", "'hi' AS language", "'gemini' AS provider")
     path = work_dir(spark, "done")
-    done = S.track_done(S.read_progress_stream(spark, _track_files(spark, table), bytes_per_trigger="256m"))
+    done = S.track_done(S.read_progress_stream(spark, _track_files(spark, table), bytes_per_trigger=1 << 28))
     S.run_to_end(S.write_done(done, table, originals, path, work_dir(spark, "done-checkpoint")))
     return spark.read.parquet(path).drop("batch_id")
 

@@ -41,7 +41,7 @@ DAY_MS = 24 * 3600 * 1000
 
 
 def read_chunk_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None,
-                      schema: str = CHUNK_SCHEMA, bytes_per_trigger: str | None = None) -> DataFrame:
+                      schema: str = CHUNK_SCHEMA, bytes_per_trigger: int | None = None) -> DataFrame:
     """A folder of chunk files; a trigger takes so many files or bytes, or all there are."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
@@ -238,7 +238,7 @@ def track_done(progress: DataFrame, forget_after_ms: int = 30 * DAY_MS) -> DataF
 
 
 def read_progress_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None,
-                         bytes_per_trigger: str | None = None) -> DataFrame:
+                         bytes_per_trigger: int | None = None) -> DataFrame:
     return read_chunk_stream(spark, f"{path}/*", files_per_trigger, PROGRESS_SCHEMA, bytes_per_trigger)
 
 

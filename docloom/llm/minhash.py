@@ -216,7 +216,8 @@ def minhash_classes(
     A bucket is first compared with the member that most candidates share (a group of near
     copies becomes a component by as many comparisons as it has members); what is left
     between different components of a bucket is compared inside its blocks, likely links
-    first. So no link between components is lost, and no group is expanded into rows of pairs.
+    first. So no link that the bands bring up is lost between components, and no group is
+    expanded into rows of pairs.
 
     A null, empty or blank text has no shingles and links with nothing. Rows with equal ids
     are rows of their own in the result, with the smallest id of their component. A null id
@@ -239,9 +240,10 @@ def minhash_classes(
         shared.join(leaders.select("bucket", (-F.col("m.col2")).alias("lead")), "bucket").where("lead != id")
         .select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).distinct()
     )
-    some = shared.select("id").distinct()
-    sets = saved(base.join(some, "id", "left_semi").mapInPandas(_sets(words), "id long, items binary")
-                 .dropDuplicates(["id"]), "sets")
+    # stored, so that few ids are known to be few: texts then stay where they are
+    some = saved(shared.select("id").distinct(), "candidates")
+    sets = saved(base.join(some, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(
+        _sets(words), "id long, items binary"), "sets")
 
     filled = stars.join(sets.withColumnRenamed("id", "u"), "u").join(
         sets.select(F.col("id").alias("v"), F.col("items").alias("others")), "v")

@@ -218,27 +218,36 @@ def predict(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_c
     return found.withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
+def keep_known(docs: DataFrame, factor: float = 1.6, least: int = 300) -> DataFrame:
     """``docs`` (doc_id, text, lang and more) without what language identification rejects.
 
-    Learns from rows with a language, then drops rows it calls ``und``, which have no letter.
-    A low score drops nothing: on a text of a word or two, several languages tie. Columns stay
-    as they are. Where no row has a language nothing can be told apart, and the same rows go.
+    Learns from rows with a language. A row goes that is called ``und``, having no letter, or
+    whose ``lang`` is a learned one while its text, of ``least`` bytes or more, needs ``factor``
+    times as many bits in it as in the predicted one: what it says of itself is wrong. Languages
+    tie on a text of a word or two, and a line of a licence may be known in one language only,
+    so short texts and close ones stay; so does a ``lang`` that is null or was not learned.
+    Columns stay as they are. Where no row has a language nothing can be told apart,
+    and rows without a letter go.
     """
     parser = learn(docs, F.lit(True))
+    place = {lang: k for k, lang in enumerate(parser.languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
                 part = batch.slice(s, 2048)
-                letters = part.column(batch.num_columns - 1).to_pylist()
-                names, _ = _judge(parser, part.column(batch.schema.get_field_index("text")).to_pylist(), letters)
+                letters, stated = (part.column(batch.num_columns - k).to_pylist() for k in (1, 2))
+                texts = part.column(batch.schema.get_field_index("text")).to_pylist()
                 keep = np.array(letters, bool)
-                if parser.languages:
-                    keep &= np.array(names) != "und"
-                yield part.filter(pa.array(keep)).select(range(batch.num_columns - 1))
-
-    marked = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+                rows = np.flatnonzero(keep)
+                if len(rows) and parser.languages:
+                    bits, sizes = parser.entropies([texts[i] for i in rows])
+                    own = np.array([place.get(stated[i], -1) for i in rows])
+                    keep[rows] = (own < 0) | (sizes < least) | (bits[np.arange(len(rows)), own] < factor * bits.min(1))
+                yield part.filter(pa.array(keep)).select(range(batch.num_columns - 2))
+
+    marked = docs.withColumn("__stated", F.col("lang").cast("string")).withColumn(
+        "__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(run, docs.schema)
 
 

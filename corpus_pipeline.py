@@ -18,7 +18,7 @@ from docloom.llm.tokens import tokenized
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others go."""
+    """Documents with a language, and not unmistakably in another than they say; the others go."""
     return keep_known(docs)
 
 

@@ -2,18 +2,21 @@
 
 A window over ``partitionBy(doc)`` sorts a whole document in one task, and one
 document may hold a third of all rows. These helpers cut every document into
-blocks of consecutive order values. Rows are ranked or summed inside a block, the
-per-block totals (one row for up to ``block`` input rows) are accumulated per
-document, and the two are joined on (document, block). Ids and order values must
-not be null; order values must be whole numbers, distinct within a document.
+blocks of consecutive order values. Rows are ranked or summed inside a block; the
+per-block totals are accumulated the same way, in blocks of blocks; and the levels are
+joined on (document, block). However far apart the order values lie (time stamps, ids),
+a window holds at most ``block`` rows, or a row each of ``FAN`` blocks. Ids and order values must not be
+null; order values must be whole numbers, distinct within a document.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 BLOCK = 1024
+FAN = 1 << 20
 _BLK = "__blk"
 
 
@@ -31,6 +34,35 @@ def with_block(df: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
     return df.withColumn(_BLK, F.floor(F.col(order) / F.lit(block)).cast("long"))
 
 
+def _levels(df: DataFrame, order: str) -> int:
+    """How often blocks are put into blocks before a document is looked at as a whole. Four bytes
+    hold four million blocks at most; of time stamps in microseconds, a century has three million
+    blocks of blocks."""
+    return 0 if isinstance(df.schema[order].dataType, (ByteType, ShortType, IntegerType)) else 1
+
+
+def before_blocks(heads: DataFrame, ids: list[str], at: str, sums: list[str], lasts: list[str], levels: int) -> DataFrame:
+    """``heads``, one row for each block ``at``, with what comes before the block in its document:
+    ``__off_x``, the sum of x over the blocks before, and ``__prev_x``, x of the one before."""
+    group = [*ids, f"__up{levels}"] if levels else ids
+    grouped = heads.withColumn(group[-1], F.floor(F.col(at) / FAN).cast("long")) if levels else heads
+    here = Window.partitionBy(*group).orderBy(at)
+    earlier = here.rowsBetween(Window.unboundedPreceding, -1)
+    local = grouped.select(
+        "*", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"__off_{n}") for n in sums],
+        *[F.lag(n).over(here).alias(f"__prev_{n}") for n in lasts])
+    if not levels:
+        return local
+    parents = grouped.groupBy(*group).agg(
+        *[F.sum(n).alias(n) for n in sums], *[F.max_by(n, at).alias(n) for n in lasts])
+    above = before_blocks(parents, ids, group[-1], sums, lasts, levels - 1).select(
+        *group, *[F.col(f"__off_{n}").alias(f"__above_{n}") for n in sums],
+        *[F.col(f"__prev_{n}").alias(f"__above_{n}") for n in lasts])
+    return local.join(above, group).select(
+        *heads.columns, *[(F.col(f"__off_{n}") + F.col(f"__above_{n}")).alias(f"__off_{n}") for n in sums],
+        *[F.coalesce(f"__prev_{n}", f"__above_{n}").alias(f"__prev_{n}") for n in lasts])
+
+
 def running_sums(
     df: DataFrame, ids: str | list[str], order: str, sums: dict[str, Column],
     totals: dict[str, str] | None = None, block: int = BLOCK,
@@ -41,15 +73,12 @@ def running_sums(
     keys = ids + [_BLK]
     blocked = with_block(df, order, block)
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*ids).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*ids)
 
     heads = blocked.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in sums.items()])
-    offsets = heads.select(
-        *keys,
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__off_{n}") for n in sums],
-        *[F.sum(n).over(whole).alias(out) for out, n in (totals or {}).items()],
-    )
+    offsets = before_blocks(heads, ids, _BLK, list(sums), [], _levels(df, order)).drop(*sums)
+    if totals:
+        whole = heads.groupBy(*ids).agg(*[F.sum(n).alias(out) for out, n in totals.items()])
+        offsets = offsets.join(whole, ids)
     local = blocked.select("*", *[F.sum(e).over(w).alias(f"__in_{n}") for n, e in sums.items()])
     joined = local.join(offsets, keys)
     return joined.select(
@@ -77,11 +106,10 @@ def with_extremes(df: DataFrame, ids: str | list[str], order: str,
     _check_new(df, [*mins, *maxs])
     keys = ids + [_BLK]
     blocked = with_block(df, order, block)
-    whole = Window.partitionBy(*ids)
     heads = blocked.groupBy(*keys).agg(
         *[F.min(e).alias(n) for n, e in mins.items()], *[F.max(e).alias(n) for n, e in maxs.items()])
-    extremes = heads.select(
-        *keys, *[F.min(n).over(whole).alias(n) for n in mins], *[F.max(n).over(whole).alias(n) for n in maxs])
+    extremes = heads.select(*keys).join(heads.groupBy(*ids).agg(
+        *[F.min(n).alias(n) for n in mins], *[F.max(n).alias(n) for n in maxs]), ids)
     return blocked.join(extremes, keys).select(*df.columns, *mins, *maxs)
 
 
@@ -97,7 +125,6 @@ def number_islands(df: DataFrame, ids: str | list[str], order: str, value: str,
     _check_new(df, [out])
     keys = ids + [_BLK]
     in_block = Window.partitionBy(*keys).orderBy(order)
-    blocks = Window.partitionBy(*ids).orderBy(_BLK)
     here = F.struct(F.col(value).alias("v"))
     counts = F.lit(True) if count_null else F.col(value).isNotNull()
 
@@ -112,18 +139,15 @@ def number_islands(df: DataFrame, ids: str | list[str], order: str, value: str,
     heads = local.groupBy(*keys).agg(
         F.min_by(here, order).alias("__first"), F.max_by(here, order).alias("__last"),
         F.max("__in").alias("__n"))
-    before = F.lag("__last").over(blocks)
-    starts = ~F.col("__first").eqNullSafe(F.col("__before"))
+    levels = _levels(df, order)
+    starts = ~F.col("__first").eqNullSafe(F.col("__prev___last"))
     if not count_null:
         starts = starts & F.col("__first.v").isNotNull()
-    offsets = (
-        heads.withColumn("__before", before)
-        .withColumn("__start", F.when(starts, 1).otherwise(0))
-        .select(*keys, (
-            F.sum("__start").over(blocks.rowsBetween(Window.unboundedPreceding, 0))
-            + F.coalesce(F.sum("__n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ).alias("__off"))
-    )
+    # a block counts its own runs after the first, and that one where it goes on from no other
+    counted = before_blocks(heads, ids, _BLK, [], ["__last"], levels).select(
+        *keys, F.when(starts, 1).otherwise(0).alias("__start"), (F.col("__n") + F.when(starts, 1).otherwise(0)).alias("__all"))
+    offsets = before_blocks(counted, ids, _BLK, ["__all"], [], levels).select(
+        *keys, (F.col("__off___all") + F.col("__start")).alias("__off"))
     return local.join(offsets, keys).select(
         *[F.col(c) for c in df.columns], (F.col("__in") + F.col("__off")).cast("long").alias(out))
 

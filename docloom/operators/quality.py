@@ -13,6 +13,7 @@ from docloom.functions.text import col, segment_key, strip_code_fence, trim_ws
 from docloom.operators.memory import MIN_HOT_USES, apply_memory, hot_keys
 from docloom.operators.policy import RetryPolicy
 from docloom.operators.translate import Engine, call_stage, masked, unmasked
+from docloom.session import work_dir
 
 TOKEN = r"__R?(?:TERM|BRACKET)_[0-9]+A?__|\[\[[^\n]*?\]\]|(?:STYLE|IMG)_PLACEHOLDER_[0-9]+"
 NUMBER = r"[0-9]+(?:[.,/:\-][0-9]+)*%?"
@@ -66,12 +67,15 @@ def review_pass(df: DataFrame, fns: list[Callable], original: str = "text",
     ``fn(texts)``, or as ``fn(texts, language)`` when ``by`` is given. An answer is used only for
     equal texts of the same ``by``. ``mask`` hides protected terms and ``[[…]]`` from reviewers.
 
-    Missed rows alone are joined, by a key; the others are not moved. ``df`` is read more than
-    once: give a written table when it holds a model call. A row without a translation stays.
+    Missed rows alone are stored and joined, by a key; the others are not moved. ``df`` is read
+    twice, for the missed rows at once and for the others with the result: give a written table
+    when it holds a model call. A row without a translation stays.
     """
     marked = df.withColumn("__missed", F.coalesce(is_missed(original, translated, threshold), F.lit(False)))
     others = marked.where(~F.col("__missed")).drop("__missed").withColumn("reviewed", F.lit(False))
-    missed = marked.where("__missed").drop("__missed").withColumn("__key", segment_key(translated))
+    marked.where("__missed").drop("__missed").withColumn("__key", segment_key(translated)).write.parquet(
+        path := work_dir(df.sparkSession, "missed"))
+    missed = df.sparkSession.read.parquet(path)
     groups = list(by)
     distinct = missed.groupBy(*groups, translated).agg(F.count(F.lit(1)).alias("uses")).withColumnRenamed(
         translated, "__text").withColumn("__sent", masked("__text", mask, "R"))

@@ -34,7 +34,8 @@ def translate_corpus(spark, sf_dir):
     rows = segment.paragraphs(documents(spark, sf_dir).select("doc_id", "text"))
     uses = segment.distinct_segments(rows.where(F.col("text").isNotNull()))
     counted = uses.select("text", "uses")
-    keyed_uses = counted.withColumn("seg_key", segment_key("text"))
+    counted.withColumn("seg_key", segment_key("text")).write.parquet(path := work_dir(spark, "corpus-uses"))
+    keyed_uses = spark.read.parquet(path)  # counted once, for the calls and for the frequent lines
     done = translate_segments(keyed_uses, prefix_hindi, keep=["seg_key"])
     translations = memory.write_memory(
         done.select("seg_key", "translated", "status"), work_dir(spark, "corpus-memory"), ["seg_key"])
@@ -196,8 +197,11 @@ def _memory(spark, sf_dir):
 SELECT s.doc_id, s.seg_no, s.text, m.translated FROM ({SEGS}) s LEFT JOIN ({_MEMORY}) m ON s.text = m.text
 """)
 def apply_memory(spark, sf_dir):
-    segs = segment.segments(documents(spark, sf_dir))
-    return memory.apply_memory(segs, _memory(spark, sf_dir))
+    """By the key of a line, with the lines that make up much of all spread over tasks."""
+    segs = segment.segments(documents(spark, sf_dir)).select("doc_id", "seg_no", "text", segment_key("text").alias("seg_key"))
+    known = _memory(spark, sf_dir).select(segment_key("text").alias("seg_key"), "translated")
+    uses = segs.groupBy("seg_key").agg(F.count(F.lit(1)).alias("uses"))
+    return memory.apply_memory(segs, known, ["seg_key"], hot=memory.hot_keys(uses, ["seg_key"])).drop("seg_key")
 
 
 @query("reuse_memory", f"SELECT DISTINCT lang, text, '[' || lang || '] ' || text AS translated FROM ({SEGS})")

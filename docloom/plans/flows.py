@@ -77,6 +77,12 @@ FROM (SELECT *, regexp_extract_all(regexp_replace(translated, '{_ASIDE}', ' ', '
 """
 
 
+def _stored(df, name):
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query("translate_requests", f"""
 WITH d AS (SELECT doc_id, '{HTML_HEADER}' || string_agg('<p>' || final || '</p>', '' ORDER BY seg_no) || '{HTML_FOOTER}' AS html,
       '{HTML_HEADER}' || string_agg('<p>' || text || '</p>', '' ORDER BY seg_no) || '{HTML_FOOTER}' AS original_html
@@ -106,7 +112,8 @@ def translate_requests(spark, sf_dir):
     accepted, bad_name = routing.split_rejects(req.accept_uploads(asked))
     checked, no_engine = routing.split_rejects(
         routing.check_provider(accepted.drop("status", "detail"), list(ENGINES)))
-    ready = routing.route(checked).withColumn("code", routing.normalize_language("target_language"))
+    # read by every branch below: checked and routed once
+    ready = _stored(routing.route(checked).withColumn("code", routing.normalize_language("target_language")), "ready")
     wrapped = {"header": HTML_HEADER, "footer": HTML_FOOTER}
 
     def paragraph(text):
@@ -115,7 +122,7 @@ def translate_requests(spark, sf_dir):
     # lines
     segs = segment.segments(ready.where("route = 'docx_model'"), keep=["llm_provider", "code"])
     key = ["llm_provider", "code", "text"]
-    counted = segs.groupBy(*key).agg(F.count(F.lit(1)).alias("uses"))
+    counted = _stored(segs.groupBy(*key).agg(F.count(F.lit(1)).alias("uses")), "counted")
     done = translate_by_engine(counted, ENGINES, language_col="code")
     known = memory.write_memory(done, work_dir(spark, "memory"), key)
     placed = memory.apply_translations(segs, known, key, hot=memory.hot_keys(counted, key))

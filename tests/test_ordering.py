@@ -77,6 +77,40 @@ def test_with_extremes(df, rows):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["int", "long"])
+def test_order_values_far_apart(spark, rows, kind):
+    """Positions times a million: every block has one row, and so have most blocks of blocks."""
+    step = 1_000_000 if kind == "long" else 900_000
+    far = [(d, p * step, k) for d, p, k in rows]
+    df = spark.createDataFrame(far, f"id long, pos {kind}, kind string").repartition(5)
+    sums = {(r.id, r.pos): (r.s, r.t) for r in ordering.running_sums(
+        df, "id", "pos", {"s": F.when(F.col("kind") == "a", 2).otherwise(1)}, {"t": "s"}).collect()}
+    islands = {(r.id, r.pos): r.n for r in ordering.number_islands(df, "id", "pos", "kind", "n", False).collect()}
+    ends = {(r.id, r.pos): (r.lo, r.hi) for r in ordering.with_extremes(
+        df, "id", "pos", {"lo": F.col("pos")}, {"hi": F.col("pos")}).collect()}
+    assert len(sums) == len(islands) == len(ends) == len(far)
+    for d, part in by_doc(far):
+        total, n, last = 0, 0, None
+        for _, pos, k in part:
+            total += 2 if k == "a" else 1
+            n += k is not None and k != last
+            last = k
+            assert sums[d, pos][0] == total and islands[d, pos] == n and ends[d, pos] == (part[0][1], part[-1][1])
+        assert all(sums[d, pos][1] == total for _, pos, _ in part)
+
+
+def test_no_window_holds_a_document(spark):
+    """A third of all rows in one document, a second apart in microseconds: the most rows that a
+    window of blocks can hold is what lies in FAN neighbouring blocks."""
+    df = spark.range(30000).selectExpr("if(id % 3 = 0, -7, id) AS doc", "id * 1000000 AS at")
+    blocked = ordering.with_block(df, "at")
+    assert blocked.groupBy("doc", "__blk").count().agg(F.max("count")).first()[0] <= ordering.BLOCK
+    ups = blocked.select("doc", F.floor(F.col("__blk") / ordering.FAN).alias("up")).groupBy("doc", "up").count()
+    assert ups.agg(F.max("count")).first()[0] < 1000
+    got = ordering.number_rows(df, "doc", "at", "n", "t").where("doc = -7").agg(F.max("n"), F.min("t"), F.count("*")).first()
+    assert tuple(got) == (9999, 10000, 10000)
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_chunk_counts(spark, dense):
     """ceil(n / 3) chunks, nothing lost, order kept; one document crosses many blocks."""

@@ -234,8 +234,8 @@ def keep_known(docs: DataFrame, factor: float = 1.6, least: int = 300) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 2048):
-                part = batch.slice(s, 2048)
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
                 letters, stated = (part.column(batch.num_columns - k).to_pylist() for k in (1, 2))
                 texts = part.column(batch.schema.get_field_index("text")).to_pylist()
                 keep = np.array(letters, bool)

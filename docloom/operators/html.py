@@ -6,7 +6,7 @@ paragraphs are well defined. Scripts, styles and comments are removed first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import trim_ws, unescape_html
@@ -194,66 +194,96 @@ def inline_runs(blocks: DataFrame, keys: list[str], raw_col: str = "raw") -> Dat
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def table_cells(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
     """``(id, table_no, row_no, col_no, kind, text, background, n_cols)`` of outermost tables.
 
-    A table inside a cell is text of that cell. Tables without cells give no rows. A
-    document is one input row, so a window over its tags never exceeds that row; spreading
-    the rows by id first is the only shuffle, and all windows below use it again.
+    A table inside a cell is text of that cell. Tables without cells give no rows. One fold over
+    the table tags of a document, inside its row: nothing is shuffled, and rows that share an id
+    are documents of their own.
     """
     holds = F.contains(F.lower(F.col(html_col)), F.lit("<table"))
-    # a set number: adaptive execution would merge the partitions by their size before the
-    # tags are taken out, and leave too few tasks for what comes after
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.where(holds).select(
-        id_col, F.regexp_replace(F.col(html_col), NOISE, "").alias("__html")).repartition(n, id_col)
+    docs = df.where(holds).select(id_col, F.regexp_replace(F.col(html_col), NOISE, "").alias("__html"))
     html = F.col("__html")
-    tokens = docs.select(id_col, F.posexplode(F.arrays_zip(
+    tokens = F.transform(F.arrays_zip(
         F.regexp_extract_all(html, F.lit(TABLE_TAG), F.lit(0)).alias("tag"),
-        F.regexp_extract_all(html, F.lit(TABLE_TAG), F.lit(1)).alias("slash"),
-        F.regexp_extract_all(html, F.lit(TABLE_TAG), F.lit(2)).alias("name"),
         F.slice(F.split(html, TABLE_TAG, -1), F.lit(2), F.length(html) + 1).alias("piece"),
-    )).alias("pos", "t")).select(
-        id_col, "pos", "t.tag", "t.piece", F.lower("t.name").alias("name"), (F.col("t.slash") == "").alias("opening"))
-
-    in_order = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("name") == "table", F.when(F.col("opening"), 1).otherwise(-1)).otherwise(0)
-    marked = tokens.withColumn("depth", F.sum(step).over(in_order))
-
-    outer = F.col("depth") == 1
-    is_table = outer & F.col("opening") & (F.col("name") == "table")
-    is_row = outer & F.col("opening") & (F.col("name") == "tr")
-    is_cell = outer & F.col("opening") & F.col("name").isin("td", "th")
-    # a new group starts at each tag of the outermost table, and where that table ends
-    edge = (outer & ((F.col("name") != "table") | F.col("opening"))) | (F.col("depth") <= 0)
-    grouped = marked.select(
-        id_col, "pos", "tag", "piece", "name",
-        F.count(F.when(is_table, 1)).over(in_order).alias("table_no"),
-        F.count(F.when(is_row, 1)).over(in_order).alias("row_seq"),
-        F.count(F.when(edge, 1)).over(in_order).alias("grp"),
-        F.last(F.when(edge, is_cell), ignorenulls=True).over(in_order).alias("in_cell"),
-    ).where("in_cell")
-    cells = grouped.groupBy(id_col, "table_no", "row_seq", "grp").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "piece", "name", "tag"))).alias("t")
-    ).select(
-        id_col, "table_no", "row_seq", "grp",
-        F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("body"),
-        F.get("t", F.lit(0))["name"].alias("kind"), F.get("t", F.lit(0))["tag"].alias("tag"))
-
-    by_table = Window.partitionBy(id_col, "table_no")
-    by_row = Window.partitionBy(id_col, "table_no", "row_seq")
-    colour = F.regexp_extract(_style(F.col("tag")), r"background-color:\s*#([0-9a-fA-F]+)", 1)
-    placed = cells.select(
-        id_col, "table_no", "grp",
-        F.dense_rank().over(by_table.orderBy("row_seq")).alias("row_no"),
-        F.row_number().over(by_row.orderBy("grp")).alias("col_no"),
-        "kind", trim_ws(inline_text(F.col("body"))).alias("text"),
+    ), lambda t: F.struct(
+        t["tag"].alias("tag"), F.replace(t["piece"], F.lit(_CUT), F.lit(_KEPT)).alias("piece"),
+        F.lower(F.regexp_extract(t["tag"], TABLE_TAG, 2)).alias("name"),
+        (F.regexp_extract(t["tag"], TABLE_TAG, 1) == "").alias("opening")))
+
+    # what is collected: the pieces of cells, the first of each with the cell's place, and at
+    # the end of each table how wide it was (then ``kind`` is null)
+    piece = "array<struct<text:string,first:boolean,table_no:int,row_no:int,col_no:int,kind:string,tag:string,width:int>>"
+
+    def state(depth, table_no, row, cell_row, row_no, col_no, width, in_cell, pieces) -> Column:
+        return F.struct(
+            depth.alias("depth"), table_no.alias("table_no"), row.alias("row"), cell_row.alias("cell_row"),
+            row_no.alias("row_no"), col_no.alias("col_no"), width.alias("width"), in_cell.alias("in_cell"), pieces.alias("pieces"))
+
+    def end_of_table(acc: Column) -> Column:
+        none = F.lit(None)
+        return F.array(F.struct(
+            F.lit("").alias("text"), F.lit(False).alias("first"), acc["table_no"].alias("table_no"), none.cast("int").alias("row_no"),
+            none.cast("int").alias("col_no"), none.cast("string").alias("kind"), none.cast("string").alias("tag"),
+            acc["width"].alias("width")))
+
+    def step(acc: Column, t: Column) -> Column:
+        table, opening = t["name"] == "table", t["opening"]
+        depth = acc["depth"] + F.when(table, F.when(opening, 1).otherwise(-1)).otherwise(0)
+
+        def seen(depth: Column) -> Column:
+            outer = depth == 1
+            opens = outer & opening
+            return F.struct(
+                depth.alias("depth"), (opens & table).alias("table"), (opens & (t["name"] == "tr")).alias("row"),
+                (opens & t["name"].isin("td", "th")).alias("cell"),
+                # a piece goes to the cell before it unless a tag of the outermost table stands between
+                ((outer & (~table | opening)) | (depth <= 0)).alias("edge"))
+
+        def placed(e: Column) -> Column:
+            row = acc["row"] + e["row"].cast("int")
+            same = acc["cell_row"] == row
+            return F.struct(
+                e["depth"].alias("depth"), e["table"].alias("table"), e["cell"].alias("cell"),
+                (acc["table_no"] + e["table"].cast("int")).alias("table_no"), row.alias("row"),
+                F.when(e["table"], -1).when(e["cell"], row).otherwise(acc["cell_row"]).alias("cell_row"),
+                F.when(e["table"], -1).when(e["cell"] & ~same, acc["row_no"] + 1).otherwise(acc["row_no"]).alias("row_no"),
+                F.when(e["cell"], F.when(same, acc["col_no"] + 1).otherwise(0)).otherwise(acc["col_no"]).alias("col_no"),
+                F.when(e["edge"], e["cell"]).otherwise(acc["in_cell"]).alias("in_cell"))
+
+        def next_state(n: Column) -> Column:
+            new = F.array(F.struct(
+                t["piece"].alias("text"), n["cell"].alias("first"), n["table_no"].alias("table_no"), n["row_no"].alias("row_no"),
+                n["col_no"].alias("col_no"), t["name"].alias("kind"), t["tag"].alias("tag"), F.lit(0).alias("width")))
+            pieces = F.when(n["table"], F.concat(acc["pieces"], end_of_table(acc))).when(
+                n["in_cell"], F.concat(acc["pieces"], new)).otherwise(acc["pieces"])
+            width = F.when(n["table"], 0).when(n["cell"], F.greatest(acc["width"], n["col_no"] + 1)).otherwise(acc["width"])
+            return state(n["depth"], n["table_no"], n["row"], n["cell_row"], n["row_no"], n["col_no"], width, n["in_cell"], pieces)
+
+        return _bound(_bound(_bound(depth, seen), placed), next_state)
+
+    zero, below = F.lit(0), F.lit(-1)
+    start = state(zero, below, zero, below, below, zero, zero, F.lit(False), F.array().cast(piece))
+    folded = docs.select(id_col, _fold_in_groups(tokens, start, step, "pieces").alias("__s"))
+    collected = folded.select(id_col, F.concat("__s.pieces", end_of_table(F.col("__s"))).alias("__p")).select(
+        id_col, F.filter("__p", lambda p: p["kind"].isNotNull()).alias("__p"),
+        # the first width is that of what stands before any table
+        F.transform(F.filter("__p", lambda p: p["kind"].isNull()), lambda p: p["width"]).alias("__w"))
+    marked = F.array_join(F.transform("__p", lambda p: F.when(
+        p["first"], F.concat(F.lit(_CUT), p["text"])).otherwise(p["text"])), "")
+    bodies = F.slice(F.split(marked, f"{_CUT}(?!\x02)", -1), F.lit(2), F.size("__p") + 1)
+    cells = collected.select(id_col, "__w", F.explode(F.arrays_zip(
+        bodies.alias("body"), F.filter("__p", lambda p: p["first"]).alias("c"))).alias("x"))
+    colour = F.regexp_extract(_style(F.col("x.c.tag")), r"background-color:\s*#([0-9a-fA-F]+)", 1)
+    return cells.select(
+        id_col, F.col("x.c.table_no").cast("long").alias("table_no"), F.col("x.c.row_no").cast("long").alias("row_no"),
+        F.col("x.c.col_no").cast("long").alias("col_no"), F.col("x.c.kind").alias("kind"),
+        trim_ws(inline_text(F.replace("x.body", F.lit(_KEPT), F.lit(_CUT)))).alias("text"),
         F.when(colour != "", colour).alias("background"),
-    )
-    return placed.select(
-        id_col, (F.col("table_no") - 1).alias("table_no"),
-        (F.col("row_no") - 1).cast("long").alias("row_no"),
-        (F.col("col_no") - 1).cast("long").alias("col_no"),
-        "kind", "text", "background",
-        F.max("col_no").over(by_table).cast("long").alias("n_cols"),
-    )
+        F.get("__w", F.col("x.c.table_no") + 1).cast("long").alias("n_cols"))

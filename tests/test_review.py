@@ -129,6 +129,21 @@ def test_ragged_and_nested_tables(spark):
                    (1, 1, 0, 0, "td", "xiny", 2), (1, 1, 0, 1, "td", "z", 2)]
 
 
+def test_long_tables_stay_in_their_row(spark):
+    """More tags than one group of the fold holds, rows without cells, many tables, stray tags, one id twice."""
+    rows = "".join(f"<tr><td>{k}<td>{k}\x01x{'<th>h</th>' * (k % 3)}</tr><tr></tr>" for k in range(1500))
+    many = "</table>" + "<table><tr></tr></table>".join(f"<table><tr><td>{k}</td></tr></table>after" for k in range(300))
+    df = spark.createDataFrame([(1, f"<table>{rows}</table>"), (1, many.replace("</table>", "", 1)), (2, many)], "doc_id long, html string")
+    cells = H.table_cells(df)
+    assert "Exchange" not in cells._jdf.queryExecution().executedPlan().toString()
+    got = cells.where("doc_id = 1 and n_cols > 1").orderBy("row_no", "col_no").collect()
+    want = [(k, c, t) for k in range(1500) for c, t in enumerate([str(k), f"{k}\x01x", *["h"] * (k % 3)])]
+    assert [(r.row_no, r.col_no, r.text) for r in got] == want and {r.n_cols for r in got} == {4}
+    single = cells.where("doc_id = 1 and n_cols = 1").orderBy("table_no").collect()
+    assert [(r.table_no, r.text) for r in single] == [(2 * k, str(k)) for k in range(300)]
+    assert cells.where("doc_id = 2").count() == 0  # closed before it was opened: never at depth one again
+
+
 def test_result_violations(spark):
     long = "x" * 101
     rows = [(long, "o", "hi", "QUJD"), ("short", "short", None, ""), (long, "o", "hi", None)]

@@ -104,7 +104,7 @@ INLINE_TOKEN = f"{ANY_TAG}|[^<]+|<"
 RUN_TAG = r"(?i)^<(/?)(strong|b|em|i|u|span)(?:\s[^>]*)?>$"
 
 
-FOLD = 1024
+FOLD = 128
 _CUT, _KEPT = "\x01", "\x01\x02"
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from docloom.functions.fixed import HTML_FOOTER, HTML_HEADER, PREVIEW_HEADER
 from docloom.operators import segment
-from docloom.plans.common import TARGET, PROVIDER
+from docloom.plans.common import PROVIDER, SEGS, TARGET, documents, prefix_hindi
 from docloom.plans.corpus import _CHUNKS, _TRANSLATED, pages_of, translate_page_html
 from docloom.plans.registry import query
 from docloom.plans.storage import _ENTRIES, _STORED, saved_corrections
 from docloom.session import work_dir
 from docloom.sources import corrections as C
 from docloom.streaming import chunks as S
+from docloom.streaming.segments import write_translations
 
 # the last chunk of a conversation never arrives where its text holds these letters
 _LOST = "contains(body, 'Ét') AND chunk_index = chunk_total - 1"
@@ -106,6 +107,16 @@ def partial_preview(spark, sf_dir):
     return S.partial_preview(spark.read.parquet(_run(spark, sf_dir)))
 
 
+@query("stream_translate", f"SELECT doc_id, seg_no, text, '[hi] ' || text AS translated FROM ({SEGS})")
+def stream_translate(spark, sf_dir):
+    """All lines as a stream over a memory: a line that an earlier trigger brought is not asked for again."""
+    source, out, known = (work_dir(spark, n) for n in ("documents-input", "stream-translated", "stream-memory"))
+    documents(spark, sf_dir).select("doc_id", "text").repartition(4, "doc_id").write.parquet(source)
+    docs = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 2).parquet(source)
+    S.run_to_end(write_translations(segment.segments(docs), prefix_hindi, known, out, work_dir(spark, "stream-translate-checkpoint")))
+    return spark.read.parquet(out).drop("batch_id")
+
+
 @query("stream_corrections", _ENTRIES)
 def stream_corrections(spark, sf_dir):
     """The documents table itself is the stream."""

@@ -198,6 +198,47 @@ def test_the_session_keeps_its_own_state_store(spark, stream):
     assert spark.conf.get(name) == before
 
 
+def test_texts_are_paid_for_once_whatever_is_replayed(spark, tmp_path):
+    import shutil
+
+    from docloom.streaming.segments import write_translations
+
+    log = tmp_path / "calls"
+    log.touch()
+
+    def fn(batch):
+        with open(log, "a") as f:
+            f.write("".join(t + "\n" for t in batch))
+        if "bad" in batch:
+            raise ValueError("no")
+        return [t.upper() for t in batch]
+
+    def run(out, checkpoint):
+        src = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        S.run_to_end(write_translations(src, fn, str(tmp_path / "memory"), str(tmp_path / out), str(tmp_path / checkpoint), batch_size=1), 120)
+        return sorted((r.id, r.text, r.translated) for r in spark.read.parquet(str(tmp_path / out)).collect())
+
+    def deliver_texts(*rows):
+        spark.createDataFrame(rows, "id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    deliver_texts((1, "a"), (2, "a"), (3, "b"))
+    deliver_texts((4, "a"), (5, "c"), (6, "bad"))
+    want = [(1, "a", "A"), (2, "a", "A"), (3, "b", "B"), (4, "a", "A"), (5, "c", "C"), (6, "bad", "bad")]
+    assert run("out", "c1") == want
+    assert sorted(log.read_text().split()) == ["a", "b", "bad", "c"]
+
+    # the last trigger is replayed: its commit is lost, its answers are stored
+    commits = sorted((tmp_path / "c1" / "commits").glob("[0-9]*"))
+    shutil.copytree(tmp_path / "c1", tmp_path / "c2")
+    (tmp_path / "c2" / "commits" / commits[-1].name).unlink()
+    (tmp_path / "c2" / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    log.write_text("")
+    assert run("out", "c2") == want and log.read_text().split() == ["bad"]  # only what failed before
+
+    log.write_text("")
+    assert run("other", "c3") == want and set(log.read_text().split()) == {"bad"}  # another stream, nothing known is asked
+
+
 class FakeSession:
     """A session with a master and, perhaps, the cluster's shared folder."""
 

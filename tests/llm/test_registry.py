@@ -34,4 +34,7 @@ def test_library_without_the_folder(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1_') for n in q) and set(q) == set(e.oracle_sql())"
-    subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, check=True)
+    env = {**os.environ, "PYTHONPATH": str(copy)}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True)
+    # every test of the rest can be imported as well
+    subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, env=env, check=True)

@@ -8,11 +8,11 @@ load_all()
 CALLS = {  # the only queries with a Python stage: those that call a model
     "translate_html_google", "translate_segments", "translate_segments_masked", "translate_with_fallback",
     "translate_chunks", "translate_chunks_masked", "assemble_document", "review_pass", "evaluate", "evaluate_and_score",
-    "evaluate_requests",
+    "evaluate_requests", "translate_paced", "translate_split_batches",
 }
 WRITERS = {"translate_corpus", "append_corrections", "write_results", "stream_chunks", "stream_progress", "stream_documents",
            "partial_preview", "stream_corrections", "stream_done_events", "translate_requests", "evaluate_fix_and_save",
-           "reuse_memory"}
+           "reuse_memory", "stream_translate"}
 
 
 def plan(df):

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from docloom.llm.common import saved, table
 
 MIN_WORDS, RANK_SLICES = 10, 1024
+#: a group of over 1 / HOT of all places is joined by broadcast: there are fewer than twice HOT of them
+HOT, NO_ID = 1000, (1 << 63) - 1
+#: a document's key: its id, and its number among the rows whose id is no key (else 0)
+_DOC = ("doc", "copy")
 _SPACE = " \t\x0b\x0c\r"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, pos, a, b, words): every line, trimmed, as a 128-bit id and a number of words."""
+    """(doc, copy, pos, a, b, words): every line, trimmed, as a 128-bit id and a number of words."""
     parts = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)))
-    return docs.select("doc", F.posexplode(parts).alias("pos", "line")).select(
-        "doc", F.col("pos").cast("long").alias("pos"), F.xxhash64("line").alias("a"),
+    return docs.select(*_DOC, F.posexplode(parts).alias("pos", "line")).select(
+        *_DOC, F.col("pos").cast("long").alias("pos"), F.xxhash64("line").alias("a"),
         F.xxhash64(F.lit(7), "line").alias("b"), F.regexp_count("line", F.lit(_WORD)).alias("words"))
 
 
@@ -34,36 +38,57 @@ def _ranked(groups: DataFrame, keys: list[str], slice_: Column) -> DataFrame:
         *[c for c in groups.columns], (F.col("r") + F.col("before") - 1).alias("rank"))
 
 
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str], value: str, total: int) -> DataFrame:
+    """``rows`` with the ``value`` of their group (keys, value, n), null where they have none.
+
+    Groups of over ``total`` / HOT rows meet theirs by broadcast, and these rows are spread
+    over the tasks of the other groups' join, so no task gets a hot group.
+    """
+    hot = groups.where(F.col("n") * HOT > total).select(*[F.col(k).alias(f"hot_{k}") for k in keys], F.col(value).alias("__hot"))
+    here = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"hot_{k}") for k in keys], "left")
+    spread = [F.when(F.col("__hot").isNull(), F.col(k)).otherwise(F.xxhash64(F.lit(i), *_DOC, "pos")).alias(f"__{i}")
+              for i, k in enumerate(keys)]
+    rest = groups.where(F.col("n") * HOT <= total).select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], value)
+    met = here.select(*rows.columns, "__hot", *spread).join(rest, [f"__{i}" for i in range(len(keys))], "left")
+    return met.select(*rows.columns, F.coalesce("__hot", value).alias(value))
+
+
 def _suffix_ranks(lines: DataFrame) -> list[DataFrame]:
-    """For each level k, (doc, pos, rank): the place in the suffix order of the 2**k lines there.
+    """For each level k, (doc, copy, pos, rank): the place in the suffix order of the 2**k lines there.
 
     Level 0 ranks the lines, level k + 1 the pairs of ranks at pos and pos + 2**k. A run that
     occurs once has found its place and is left out; the levels end when no run is left.
     """
-    groups = saved(lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "level")
-    evenly = F.shiftright("a", 54) + 512  # the ids are hashes: their top bits cut them evenly
-    level = saved(lines.join(_ranked(groups, ["a", "b"], evenly), ["a", "b"]).select("doc", "pos", "words", "rank"), "level")
-    levels, ranks = [level], groups.count()
-    while ranks:
+    def level_of(pairs: DataFrame, slice_: Column, *more: str) -> tuple[DataFrame, int]:
+        counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        groups = saved(_ranked(saved(counted, "groups"), ["a", "b"], slice_), "groups")
+        sums = groups.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if not sums[0]:
+            return groups, 0
+        met = _met(pairs, groups, ["a", "b"], "rank", sums[1]).where("rank is not null")
+        return saved(met.select(*_DOC, "pos", "rank", *more), "level"), sums[0]
+
+    # line ids are hashes: their top bits cut them evenly
+    level, ranks = level_of(lines, F.shiftright("a", 54) + 512, "words")
+    if not ranks:
+        return []
+    levels = [level]
+    while True:
         step = 1 << (len(levels) - 1)
-        ahead = level.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"))
-        pairs = level.select("doc", "pos", F.col("rank").alias("a")).join(ahead, ["doc", "pos"])
-        groups = saved(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "level")
-        found = groups.count()
-        if not found:
+        ahead = level.select(*_DOC, (F.col("pos") - step).alias("pos"), F.col("rank").alias("b"))
+        pairs = level.select(*_DOC, "pos", F.col("rank").alias("a")).join(ahead, [*_DOC, "pos"])
+        # the level before has so many ranks
+        level, ranks = level_of(saved(pairs, "pairs"), F.floor(F.col("a") * RANK_SLICES / ranks).cast("int"))
+        if not ranks:
             return levels
-        evenly = F.floor(F.col("a") * RANK_SLICES / ranks).cast("int")  # the level before has so many ranks
-        ranks = found
-        level = saved(pairs.join(_ranked(groups, ["a", "b"], evenly), ["a", "b"]).select("doc", "pos", "rank"), "level")
         levels.append(level)
-    return levels
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
-    """``lines`` (doc, pos, a, b, words) to (doc, pos, run, words): later copies of line runs.
+    """``lines`` (doc, copy, pos, a, b, words) to (doc, copy, pos, run, words): later copies of line runs.
 
     The ``run`` >= 1 lines from ``pos`` on, of ``words`` words, also stand at an earlier
-    (doc, pos), and run + 1 lines do not.
+    (doc, copy, pos), and run + 1 lines do not.
 
     The places whose first n lines agree are a longest-common-prefix interval of depth n. The
     intervals are walked from large steps to small: inside an interval, places that also agree
@@ -72,20 +97,23 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     into the deeper one. So each place ends in the deepest interval with an earlier place,
     in as many rounds as there are levels, and no interval is ever held in one task.
     """
-    place = F.struct("doc", "pos")
+    place = F.struct(*_DOC, "pos")
     levels = _suffix_ranks(lines)
-    now = levels[0].select("doc", "pos", F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("x"),
-                           F.lit(0).cast("long").alias("y"), F.lit(False).alias("first"))
+    if not levels:
+        return lines.where("false").select(*_DOC, "pos", F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("words"))
+    total = levels[0].count()
+    nothing = F.lit(0).cast("long")
+    now = levels[0].select(*_DOC, "pos", nothing.alias("run"), nothing.alias("x"), nothing.alias("y"), F.lit(False).alias("first"))
     for k in range(len(levels) - 1, -1, -1):
-        ranks = levels[k].select("doc", F.col("pos").alias("at"), F.col("rank").alias("r"))
-        tried = (
-            now.withColumn("at", F.col("pos") + F.col("run")).join(ranks, ["doc", "at"], "left")
-            .select("doc", "pos", "run", "x", "y", "first", F.col("r").isNotNull().alias("known"),
+        ranks = levels[k].select(*_DOC, F.col("pos").alias("at"), F.col("rank").alias("r"))
+        tried = saved(
+            now.withColumn("at", F.col("pos") + F.col("run")).join(ranks, [*_DOC, "at"], "left")
+            .select(*_DOC, "pos", "run", "x", "y", "first", F.col("r").isNotNull().alias("known"),
                     F.xxhash64(F.lit(1), "run", "x", "y", "r").alias("x2"),
-                    F.xxhash64(F.lit(2), "run", "x", "y", "r").alias("y2")))
-        deeper = tried.where("known").groupBy("x2", "y2").agg(
-            F.min(place).alias("start"), F.count(F.lit(1)).alias("n")).where("n > 1").select("x2", "y2", "start")
-        met = tried.join(deeper, ["x2", "y2"], "left")
+                    F.xxhash64(F.lit(2), "run", "x", "y", "r").alias("y2")), "tried")
+        deeper = saved(tried.where("known").groupBy("x2", "y2").agg(
+            F.min(place).alias("start"), F.count(F.lit(1)).alias("n")).where("n > 1"), "deeper")
+        met = _met(tried, deeper, ["x2", "y2"], "start", total)
         same = [F.col(c) for c in ("run", "x", "y", "first")]
         down = [F.col("run") + (1 << k), F.col("x2"), F.col("y2")]
         names = ("run", "x", "y", "first")
@@ -96,17 +124,41 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
         stay, move, lead = row(same), row([*down, F.col("first")]), row([*down, F.lit(True)])
         rows = F.when(F.col("start").isNull() | ~F.col("known"), F.array(stay)).when(
             place == F.col("start"), F.array(stay, lead)).otherwise(F.array(move))
-        now = saved(met.select("doc", "pos", F.explode(rows).alias("row")).select("doc", "pos", "row.*"), "runs")
-    own = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    upto = levels[0].select("doc", "pos", "words", F.sum("words").over(own).alias("upto"))
-    ends = upto.select("doc", F.col("pos").alias("last"), F.col("upto").alias("to"))
+        now = saved(met.select(*_DOC, "pos", F.explode(rows).alias("row")).select(*_DOC, "pos", "row.*"), "runs")
+    own = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    upto = levels[0].select(*_DOC, "pos", "words", F.sum("words").over(own).alias("upto"))
+    ends = upto.select(*_DOC, F.col("pos").alias("last"), F.col("upto").alias("to"))
     return (
-        now.where("not first and run > 0").select("doc", "pos", "run", (F.col("pos") + F.col("run") - 1).alias("last"))
-        .join(upto, ["doc", "pos"]).join(ends, ["doc", "last"])
-        .select("doc", "pos", "run", (F.col("to") - F.col("upto") + F.col("words")).alias("words"))
+        now.where("not first and run > 0").select(*_DOC, "pos", "run", (F.col("pos") + F.col("run") - 1).alias("last"))
+        .join(upto, [*_DOC, "pos"]).join(ends, [*_DOC, "last"])
+        .select(*_DOC, "pos", "run", (F.col("to") - F.col("upto") + F.col("words")).alias("words"))
     )
 
 
+def _keyed(base: DataFrame) -> DataFrame:
+    """(doc, text) rows as (doc, copy, text, no_id), all keys different, their order that of the ids.
+
+    A row whose id no other row has is copy 0. The others, and those without an id (NO_ID,
+    so they come last), are numbered in the order of id and text. They alone are written down:
+    equal rows may change places from one evaluation to the next.
+    """
+    twice = saved(base.where("doc is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"), "twice")
+    several = not twice.isEmpty()
+    alone = base.where("doc is not null")
+    others = base.where("doc is null")
+    if several:
+        others = others.unionByName(alone.join(twice, "doc"))
+        alone = alone.join(twice, "doc", "left_anti")
+    order = ["doc", "a", "b", "row"]  # the row cuts what is equal, so no part holds all of it
+    others = others.select(
+        F.coalesce("doc", F.lit(NO_ID)).alias("doc"), F.col("doc").isNull().alias("no_id"), "text", F.xxhash64("text").alias("a"),
+        F.xxhash64(F.lit(7), "text").alias("b"), F.monotonically_increasing_id().alias("row"))
+    numbered = saved(others.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "doc", (F.monotonically_increasing_id() + 1).alias("copy"), "text", "no_id"), "shared", "zstd")
+    alone = alone.select("doc", F.lit(0).cast("long").alias("copy"), "text", F.lit(False).alias("no_id"))
+    return alone.unionByName(numbered)
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -121,48 +173,46 @@ def dedup_lines(
     more; so the first place keeps every line, and a run may continue into its own copy.
 
     A null text stays null with 0 lines, an empty one is one empty line. Rows that share an id
-    and rows with a null id have no order, so they stay as they are and nothing is compared
-    with them. Other columns are not read; an empty table gives an empty one.
+    come in the order of their texts' hashes, rows without an id after all others; of rows
+    that agree in both, one is the first. Other columns are not read; an empty table gives an
+    empty one.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    twice = saved(base.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"), "twice")
-    lines = _lines(base.where("doc is not null and text is not null"))
-    if not twice.isEmpty():
-        lines = lines.join(twice, "doc", "left_anti")
-    lines = saved(lines, "lines")
+    base = _keyed(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")))
+    held = base.where("text is not null")
+    lines = saved(_lines(held), "lines")
 
     # a later copy of a whole text repeats nothing that its first copy does not: only first
     # copies go on, and all lines of the others go if they have words enough
-    texts = base.where("doc is not null and text is not null").select(
-        "doc", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
-    if not twice.isEmpty():
-        texts = texts.join(twice, "doc", "left_anti")
-    firsts = texts.groupBy("a", "b").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = saved(texts.join(firsts, ["a", "b"]).where("doc != first").select("doc"), "copies")
+    texts = saved(held.select(*_DOC, F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b")), "texts")
+    firsts = saved(texts.groupBy("a", "b").agg(F.min(F.struct(*_DOC)).alias("start"), F.count(F.lit(1)).alias("n"))
+                   .where("n > 1"), "firsts")
+    met = _met(texts.withColumn("pos", F.lit(0)), firsts, ["a", "b"], "start", max(1, texts.count()))
+    copies = saved(met.where(F.struct(*_DOC) != F.col("start")).select(*_DOC), "copies")
     whole = (
-        lines.join(copies, "doc").groupBy("doc").agg(F.count(F.lit(1)).alias("end"), F.sum("words").alias("words"))
+        lines.join(copies, [*_DOC]).groupBy(*_DOC).agg(F.count(F.lit(1)).alias("end"), F.sum("words").alias("words"))
         .where(F.col("words") >= min_words)
-        .select("doc", F.array(F.struct(F.lit(0).cast("long").alias("pos"), "end")).alias("gone"), F.col("end").alias("n_removed"))
+        .select(*_DOC, F.array(F.struct(F.lit(0).cast("long").alias("pos"), "end")).alias("gone"), F.col("end").alias("n_removed"))
     )
-    runs = repeated_runs(lines.join(copies, "doc", "left_anti")).where(F.col("words") >= min_words)
+    runs = repeated_runs(lines.join(copies, [*_DOC], "left_anti")).where(F.col("words") >= min_words)
 
     # ends never fall from one place of a document to the next, so touching runs join in order
-    in_order = Window.partitionBy("doc").orderBy("pos")
+    in_order = Window.partitionBy(*_DOC).orderBy("pos")
     spans = (
-        runs.select("doc", "pos", (F.col("pos") + F.col("run")).alias("end"))
+        runs.select(*_DOC, "pos", (F.col("pos") + F.col("run")).alias("end"))
         .withColumn("new", (F.col("pos") > F.coalesce(F.lag("end").over(in_order), F.lit(-1))).cast("int"))
         .withColumn("piece", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc", "piece").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
-        .groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "end"))).alias("gone"),
+        .groupBy(*_DOC, "piece").agg(F.min("pos").alias("pos"), F.max("end").alias("end"))
+        .groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("pos", "end"))).alias("gone"),
                             F.sum(F.col("end") - F.col("pos")).alias("n_removed"))
     )
-    joined = base.join(saved(spans.unionByName(whole), "spans"), "doc", "left").withColumn("parts", F.split("text", "\n"))
+    # spans grow with the data: merged at every size, never broadcast
+    joined = base.join(saved(spans.unionByName(whole), "spans").hint("merge"), [*_DOC], "left").withColumn("parts", F.split("text", "\n"))
     n = F.size("parts").cast("long")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("gone", lambda s: s["end"]))
     ends = F.concat(F.transform("gone", lambda s: s["pos"]), F.array(n))
     left = F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice("parts", (b + 1).cast("int"), (e - b).cast("int"))))
     return joined.select(
-        F.col("doc").alias(id_col),
+        F.when(~F.col("no_id"), F.col("doc")).alias(id_col),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"),
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"))

@@ -2,9 +2,11 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from docloom.llm.language import automaton, keep_known, learn, op3_language_id, predict
@@ -48,13 +50,28 @@ def test_lines(spark, seed):
     assert got == deduped(docs, 4)
 
 
-def test_lines_repeated_ids_nulls_and_empty_table(spark):
+def test_lines_empty_table_and_nothing_repeated(spark):
     schema = "doc_id long, text string"
     assert dedup_lines(spark.createDataFrame([], schema)).collect() == []
-    rows = [(1, "x y z"), (1, "x y z"), (None, "x y z"), (2, "x y z"), (3, "x y z")]
+    rows = [(1, "a b c\nd e"), (2, None), (None, "f g h")]
     got = dedup_lines(spark.createDataFrame(rows, schema), min_words=2).collect()
-    assert sorted((r.doc_id or 0, r.text, r.n_removed) for r in got) == [
-        (0, "x y z", 0), (1, "x y z", 0), (1, "x y z", 0), (2, "x y z", 0), (3, "", 1)]
+    assert sorted((r.doc_id or 9, r.text, r.n_lines, r.n_removed) for r in got) == [
+        (1, "a b c\nd e", 2, 0), (2, None, 0, 0), (9, "f g h", 1, 0)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_lines_repeated_and_null_ids(spark, seed):
+    r = random.Random(seed)
+    some = ["a", "b b", "c c c", "", "d", "  a "]
+    rows = [(r.choice([1, 2, 3, 4, 5, (1 << 63) - 1, None, None]), "\n".join(r.choice(some) for _ in range(r.randint(1, 9))))
+            for _ in range(16)]
+    rows += [rows[0], rows[1], (None, "x y z w\na"), (None, "x y z w\na"), (7, "x y z w\na"), (7, None), (None, None)]
+    # the order of the places: ids, null last, then the hash of the text
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] is not None,
+                                        xxhash.xxh64_intdigest((x[1] or "").encode(), 42) + (1 << 63) & (1 << 64) - 1))
+    want = deduped([(k, t) for k, (_, t) in enumerate(order)], 4)
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=4).collect()
+    assert Counter((x.doc_id, x.text, x.n_removed) for x in got) == Counter((i, *want[k]) for k, (i, _) in enumerate(order))
 
 
 def test_lines_of_given_documents(spark, sf_dir):

@@ -19,12 +19,14 @@ from docloom.llm.common import saved, table
 DATE = "2024-01-01T00:00:00Z"
 _RECORD = "id long, type string, record_id string, refers_to string, uri string, record binary"
 
-_DROP = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# every pattern either takes what it has read or is tried once for it: time grows with the page
+_DROP = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)", re.S | re.I)
 _BREAK = re.compile(rb"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|nav|header|footer|title|blockquote|pre)\b[^>]*>", re.I)
 _TAG = re.compile(rb"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(rb"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(rb"<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
+_TITLE, _END_TITLE = re.compile(rb"<title\b", re.I), re.compile(rb"</title\s*>", re.I)
+_HTML, _LANG = re.compile(rb"<html\b", re.I), re.compile(rb"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_A, _HREF = re.compile(rb"<a\b", re.I), re.compile(rb"\bhref\s*=\s*[\"']?([^\"'\s>]+)", re.I)
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
 
 
@@ -71,11 +73,47 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [tuple(p.strip() for p in x.split(":", 1)) for x in lines[1:] if ":" in x], payload
 
 
-def plain_text(payload: bytes) -> str:
+def attributes(payload: bytes, tag: re.Pattern[bytes], attribute: re.Pattern[bytes]) -> Iterator[bytes]:
+    """The values of an attribute in the tags that ``tag`` begins, in order.
+
+    A tag reaches to the next ``>``. Where one has no such attribute, neither has a tag that
+    begins inside it, so the search goes on behind it.
+    """
+    at = end = 0
+    while begin := tag.search(payload, at):
+        if begin.end() > end:
+            end = payload.find(b">", begin.end())
+            end = len(payload) if end < 0 else end
+        found = attribute.search(payload, begin.end(), end)
+        if found:
+            yield found[1]
+        at = found.end() if found else end
+
+
+def page_title(payload: bytes) -> bytes | None:
+    """What stands in the first title; where that has no end, no later one has."""
+    begin = _TITLE.search(payload)
+    inside = payload.find(b">", begin.end()) + 1 if begin else 0
+    end = _END_TITLE.search(payload, inside) if inside else None
+    return payload[inside:end.start()] if end else None
+
+
+def charset(http: list[tuple[str, str]]) -> str:
+    """The encoding that the HTTP headers name, UTF-8 where they name none that is known."""
+    named = [m[1] for k, v in http if k.lower() == "content-type" and (m := _CHARSET.search(v))]
+    try:
+        b"a".decode(named[0], "replace")  # an empty text would not look the name up
+        return named[0]
+    except (LookupError, ValueError):  # no name, none that is known, or no encoding of text
+        return "utf-8"
+
+
+def plain_text(payload: bytes, encoding: str = "utf-8") -> str:
     """The text of an HTML page: scripts, styles, comments and tags gone, one line a block."""
     body = _DROP.sub(b" ", payload)
-    body = _TAG.sub(b"", _BREAK.sub(b"\n", body))
-    text = html.unescape(body.decode("utf-8", "replace"))
+    upto = body.rfind(b">") + 1  # behind the last one no tag is closed
+    body = _TAG.sub(b"", _BREAK.sub(b"\n", body[:upto])) + body[upto:]
+    text = html.unescape(body.decode(encoding, "replace"))
     lines = (_BLANKS.sub(" ", x).strip() for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -99,17 +137,18 @@ def derive(record: bytes) -> tuple[tuple[str, bytes], tuple[str, bytes]]:
 
     Both refer to the response by its id and keep its URI and date. The metadata block lists
     the source's headers, size and digests, status, title, language and links; the conversion block
-    is the page's plain text.
+    is the page's plain text, in UTF-8 whatever the response's charset.
     """
     headers, block = read_record(record)
     status, http, payload = split_http(block)
     source = headers.get("warc-record-id", "")
     kept = [(n, headers[n.lower()]) for n in ("WARC-Target-URI", "WARC-Date") if n.lower() in headers]
     payload_digest = digest(payload)
-    text = plain_text(payload)
-    title = _TITLE.search(payload)
-    lang = _LANG.search(payload)
-    links = _LINK.findall(payload)
+    encoding = charset(http)
+    text = plain_text(payload, encoding)
+    title = page_title(payload)
+    lang = next(attributes(payload, _HTML, _LANG), None)
+    links = attributes(payload, _A, _HREF)
     conversion = text.encode("utf-8", "surrogatepass")
     cid, mid = record_id("conversion", source, payload_digest), record_id("metadata", source, payload_digest)
     fields = [("status", status), *((f"http-{k.lower()}", v) for k, v in http),
@@ -118,11 +157,11 @@ def derive(record: bytes) -> tuple[tuple[str, bytes], tuple[str, bytes]]:
               ("source-payload-digest", headers.get("warc-payload-digest", payload_digest)),
               ("payload-digest-valid", str(headers.get("warc-payload-digest", payload_digest) == payload_digest).lower()),
               ("conversion", cid)]
-    if title:
-        fields.append(("title", _BLANKS.sub(" ", html.unescape(title[1].decode("utf-8", "replace")).replace("\n", " ")).strip()))
+    if title is not None:
+        fields.append(("title", _BLANKS.sub(" ", html.unescape(title.decode(encoding, "replace")).replace("\n", " ")).strip()))
     if lang:
-        fields.append(("lang", lang[1].decode("latin-1")))
-    fields += [("outlink", x.decode("utf-8", "replace")) for x in links]
+        fields.append(("lang", lang.decode("latin-1")))
+    fields += [("outlink", x.decode(encoding, "replace")) for x in links]
     facts_block = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
     meta = write_record([
         ("WARC-Type", "metadata"), ("WARC-Record-ID", mid), ("WARC-Refers-To", source), *kept,

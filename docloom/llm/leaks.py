@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import table
 
-SIMILARITY, REPETITIONS, MIN_WORDS, SEED = 0.8, 16, 5, 7
+SIMILARITY, REPETITIONS, MIN_WORDS, SEED = 0.8, 16, 1, 7
+#: items under so many words leave the walks too few steps: they are found by their exact words first
+WALKED = 5
 MAX_ITEMS, CHUNK, GAP, SHORT = 100_000, 1 << 18, 3, 15
 
 #: lower case; ASCII punctuation separates words
@@ -39,14 +41,17 @@ class Leaks:
     them. Four samples lie among the first steps behind an entry, the same for all items of a
     repetition: they drop most windows before the walk goes on; the fifth may lie anywhere
     behind them. Items under SHORT words have half as many repetitions more, of close samples:
-    the words that edits leave together there are few.
+    the words that edits leave together there are few. Items under WALKED words allow no edit
+    at a similarity of 0.8 (one in five words), so they are looked up word by word as they are.
     """
 
     def __init__(self, items: list[tuple[int, str]], similarity: float, repetitions: int, seed: int,
                  min_words: int = MIN_WORDS) -> None:
         split = [(i, words_of(t)) for i, t in items]
-        split = [(i, w) for i, w in split if len(w) >= min_words]
+        split = [(i, w) for i, w in split if len(w) >= max(min_words, 1)]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in split for w in ws}))}
+        self.short = self._short([(i, w) for i, w in split if len(w) < WALKED], similarity)
+        split = [(i, w) for i, w in split if len(w) >= WALKED]
         self.ids = [i for i, _ in split]
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in split]
         self.edits = [int(len(w) * (1 - similarity) + 1e-9) for w in self.words]
@@ -69,6 +74,45 @@ class Leaks:
         self.item, self.offset, self.step, self.shown = (
             np.concatenate([e[k] for e in entries]).astype(np.int32) if entries else np.empty(0, np.int32) for k in range(4))
 
+    def _short(self, items: list[tuple[int, list[bytes]]], similarity: float) -> list[tuple]:
+        """For each length: the known beginnings of 2, 3, ... words, and the items of each whole."""
+        if any(int(len(w) * (1 - similarity) + 1e-9) for _, w in items):
+            raise ValueError(f"items under {WALKED} words are compared exactly: similarity must be over 0.75, or min_words {WALKED}")
+        base, out = len(self.vocabulary) + 1, []
+        for n in sorted({len(w) for _, w in items}):
+            some = [(i, [self.vocabulary[x] for x in w]) for i, w in items if len(w) == n]
+            words = np.array([w for _, w in some], np.int64)
+            slot, levels = words[:, 0], []
+            for k in range(1, n):
+                known, slot = np.unique(slot * base + words[:, k], return_inverse=True)
+                levels.append(known)
+            ids: dict[int, list[int]] = {}
+            for (i, _), s in zip(some, slot.tolist()):
+                ids.setdefault(s, []).append(i)
+            out.append((n, levels, np.unique(slot), ids))
+        return out
+
+    def _exact(self, x: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item id, first word, words) of the short items, at their first place in a text."""
+        base = len(self.vocabulary) + 1
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        for n, levels, whole, ids in self.short:
+            at = np.flatnonzero(x[:len(doc)])
+            at = at[at + n <= ends[doc[at]]]
+            slot = x[at]
+            for k, known in enumerate(levels, 1):
+                key = slot * base + x[at + k]
+                slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                keep = known[slot] == key
+                at, slot = at[keep], slot[keep]
+            keep = np.isin(slot, whole)
+            at, slot = at[keep], slot[keep]
+            _, first = np.unique(doc[at] * base + slot, return_index=True) if not levels else np.unique(
+                doc[at] * len(levels[-1]) + slot, return_index=True)
+            for a, s in zip(at[first].tolist(), slot[first].tolist()):
+                for i in ids[s]:
+                    yield int(doc[a]), i, int(a - (ends[doc[a]] - sizes[doc[a]])), n
+
     def _table(self, r: int, early: list[int], rest: float, item: np.ndarray, offset: np.ndarray, entries: list):
         """The entries of one repetition, by the words they show at its early steps."""
         base = len(self.vocabulary) + 1
@@ -206,12 +250,15 @@ class Leaks:
         return out
 
     def _chunk(self, parts: list[np.ndarray], rows: list[int]) -> list[tuple[int, int, int, int, int]]:
-        if not self.tables:
+        if not self.vocabulary:
             return []
         sizes = np.array([len(p) for p in parts])
         ends = np.cumsum(sizes)
         n = int(ends[-1])
         x = np.concatenate([*parts, np.zeros(64 * self.planes + 8, np.int64)])
+        short = [(rows[d], i, 0, at, k) for d, i, at, k in self._exact(x, sizes, ends)]
+        if not self.tables:
+            return sorted(short)
         items, starts, windows = self._candidates(x, n)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for item in np.unique(items):
@@ -237,8 +284,8 @@ class Leaks:
                 found = (0, exact[0]) if exact else _align(words, x[a:b], a)
                 if found[0] <= edits and found < best.get((d, item), (9**9, 0)):
                     best[d, item] = found
-        return [(rows[d], self.ids[i], int(k), int(s - (ends[d] - sizes[d])), len(self.words[i]))
-                for (d, i), (k, s) in sorted(best.items())]
+        return sorted(short + [(rows[d], self.ids[i], int(k), int(s - (ends[d] - sizes[d])), len(self.words[i]))
+                               for (d, i), (k, s) in best.items()])
 
 
 def _align(words: np.ndarray, text: np.ndarray, base: int) -> tuple[int, int]:
@@ -265,12 +312,13 @@ def _align(words: np.ndarray, text: np.ndarray, base: int) -> tuple[int, int]:
     return best
 
 
-def _index(benchmark: DataFrame, similarity: float, repetitions: int, seed: int, max_items: int) -> Leaks:
+def _index(benchmark: DataFrame, similarity: float, repetitions: int, seed: int, max_items: int,
+           min_words: int) -> Leaks:
     items = [(r[0], r[1]) for r in benchmark.where("item_id is not null and text is not null")
              .select("item_id", "text").distinct().orderBy("item_id", "text").limit(max_items + 1).collect()]
     if len(items) > max_items:
         raise ValueError(f"more than {max_items} benchmark items: pass them in parts, or raise max_items")
-    return Leaks(items, similarity, repetitions, seed)
+    return Leaks(items, similarity, repetitions, seed, min_words)
 
 
 def find_leaks(
@@ -280,6 +328,7 @@ def find_leaks(
     repetitions: int = REPETITIONS,
     seed: int = SEED,
     max_items: int = MAX_ITEMS,
+    min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """Items of ``benchmark`` (item_id, text) that documents (doc_id, text) hold.
 
@@ -291,12 +340,12 @@ def find_leaks(
     Measured at 10 % and 20 % of words edited in each of these ways, 120 passages each: at
     least 0.99 for items of 5-9 words, 1.0 for items of 10-59.
 
-    Whole texts are searched; null, empty and wordless texts hold nothing. Items of fewer than
-    MIN_WORDS words, null or empty ones are left out: they stand in ordinary text. More than
-    ``max_items`` items raise an error, since the items go to every task. A null doc_id is
+    Whole texts are searched; null, empty and wordless texts hold nothing. Wordless, null and
+    empty items, and those of fewer than ``min_words`` words, are left out. Items under WALKED
+    words are found where all their words stand in order. More than ``max_items`` items raise an error, since the items go to every task. A null doc_id is
     searched like any other. Equal rows give equal results each. Other columns are not read.
     """
-    index = _index(benchmark, similarity, repetitions, seed, max_items)
+    index = _index(benchmark, similarity, repetitions, seed, max_items, min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,9 +365,10 @@ def find_leaks(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
-                  repetitions: int = REPETITIONS, seed: int = SEED, max_items: int = MAX_ITEMS) -> DataFrame:
+                  repetitions: int = REPETITIONS, seed: int = SEED, max_items: int = MAX_ITEMS,
+                 min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the rows whose text holds an item, by ``find_leaks``; columns as they are."""
-    index = _index(benchmark, similarity, repetitions, seed, max_items)
+    index = _index(benchmark, similarity, repetitions, seed, max_items, min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -137,7 +137,7 @@ def test_leaks(spark):
             at = r.randrange(len(words) + 1)
             words[at:at] = edited(r, passage, r.choice([0, 0, 1, int(len(passage) * 0.2)]))
         docs.append((k, " ".join(words).title() if k % 3 else ", ".join(words)))
-    index = {i: words_of(t) for i, t in items if i is not None and len(words_of(t)) >= 5}
+    index = {i: words_of(t) for i, t in items if i is not None and words_of(t)}
     for k, t in docs:
         for i, item in index.items():
             d = distance(item, words_of(t))
@@ -156,6 +156,28 @@ def test_leaks(spark):
     assert {x.doc_id for x in kept.collect()} == {k for k, _ in docs} - {k for k, _ in got} | {900, 901, 902}
 
 
+def test_items_of_few_words():
+    r = random.Random(12)
+    for size in (3, 40):
+        words = [f"v{k}" for k in range(size)]
+        items = [(k, " ".join(r.choice(words) for _ in range(r.randint(1, 4)))) for k in range(25)] + [(90, items_of_five := "v0 v1 v2 v0 v1")]
+        texts = [" ".join(r.choice([*words, "other"]) for _ in range(r.randrange(0, 60))) for _ in range(80)] + [None, "", items_of_five]
+        got = Leaks(items, 0.8, REPETITIONS, SEED).find(texts)
+        want = {}
+        for row, t in enumerate(texts):
+            w = words_of(t)
+            for i, item in items:
+                n = len(words_of(item))
+                at = [a for a in range(len(w) - n + 1) if w[a:a + n] == words_of(item)]
+                if n < 5 and at:
+                    want[row, i] = (0, at[0], n)
+        assert {(row, i): (k, at, n) for row, i, k, at, n in got if i != 90} == want and want
+        assert (82, 90, 0, 0, 5) in got and len(got) == len({g[:2] for g in got})
+        assert {g[1] for g in Leaks(items, 0.8, REPETITIONS, SEED, min_words=5).find(texts)} == {90}
+    with pytest.raises(ValueError):
+        Leaks([(1, "a b c d")], 0.7, REPETITIONS, SEED)
+
+
 def test_recall_at_the_limit_of_edits():
     r = random.Random(8)
     words = [f"v{k}" for k in range(2000)]

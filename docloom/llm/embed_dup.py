@@ -123,37 +123,40 @@ def embedding_near_dup(
     buckets are cut into pairs of blocks of about ``block`` rows.
 
     Null, empty, zero vectors and those with null or non-finite components link with nothing;
-    so do vectors of different lengths. Rows with equal ids are rows of their own, and count
-    as links of one another if their vectors link. A null id gives a row that is its own
-    null component. Other columns are not read; an empty table gives an empty one.
+    so do vectors of different lengths. Rows with equal or null ids are rows of their own, and
+    count as links of one another if their vectors link. A component is named by its smallest
+    id that is not null; one that has none is named null, and its rows are all kept, since
+    nothing tells them apart. Other columns are not read; an empty table gives an empty one.
     """
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(
         "array<float>" if kind == "<f4" else "array<double>").alias("vector"))
     coded = saved(base.mapInPandas(
         _signs(tables, bits, seed, kind), "id long, v binary, codes binary, keys array<long>"), "signs")
-    classes = coded.where("v is not null and id is not null").groupBy("v").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    classes = saved(classes, "classes")
-    reps = coded.select("id", "codes", "keys", "v").join(
-        classes.select(F.col("rep").alias("id"), F.col("v"), "weight"), ["id", "v"]).dropDuplicates(["id"])
+    # a class of equal vectors is known by a number of its own: ids may repeat or be null
+    classes = saved(coded.where("v is not null").groupBy("v").agg(
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("codes").alias("codes"),
+        F.first("keys").alias("keys")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = classes.select(F.col("rep").alias("id"), "codes", "keys", "v", "weight")
     rows = reps.select("id", "v", "codes", "weight", F.posexplode("keys").alias("t", "bucket"))
     found = saved(bucket_blocks(rows, block).mapInPandas(
         _links(min_cosine, kind), "id long, other long, links long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.where("other is not null").select(
         F.col("id").alias("u"), F.col("other").alias("v")))
-    per_class = (
-        classes.join(links.withColumnRenamed("id", "rep"), "rep", "left")
+    named = saved(
+        classes.select("v", "rep", "least", "weight").join(links.withColumnRenamed("id", "rep"), "rep", "left")
         .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-                F.coalesce("component", "rep").alias("component_id"))
-    )
+        .select("v", "least", "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "named")
+    least = named.where("component is not null").groupBy("component").agg(F.min("least").alias("least_of_all"))
+    per_class = named.join(least, "component", "left").select(
+        "v", "n_links", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("least_of_all")).alias("component_id"))
     out = coded.select("id", "v").join(per_class, "v", "left")
+    component = F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        component.alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

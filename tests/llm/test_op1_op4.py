@@ -49,10 +49,21 @@ def test_vectors_empty_null_and_repeated(spark):
     assert embedding_near_dup(spark.createDataFrame([], schema)).collect() == []
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 1.0])]
     got = sorted(map(tuple, embedding_near_dup(spark.createDataFrame(rows, schema)).collect()), key=repr)
-    assert [(1, 1, 1, True)] * 2 == [g for g in got if g[0] == 1]
+    assert [(1, 2, 1, True)] * 2 == [g for g in got if g[0] == 1]  # the row without an id is a link too
     assert (2, 0, 2, True) in got
 
 
+def test_vectors_with_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0]), (None, [1.0, 0.01, 0.0]), (5, [1.0, 0.02, 0.0]),
+            (3, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (2, [0.0, 1.0, 0.01]), (4, [0.0, 0.01, 1.0]),  # 3 stands for two vectors
+            (None, [-1.0, 0.0, 0.0]), (None, [-1.0, 0.01, 0.0]), (None, None), (None, [0.0, -1.0, 0.0])]
+    got = embedding_near_dup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 3, 1, True), (None, 3, 1, False), (None, 3, 1, False), (5, 3, 1, False),
+            (3, 1, 2, False), (3, 1, 3, True), (2, 1, 2, True), (4, 1, 3, False),
+            (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (None, 0, None, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_recall_at_the_limit(spark):
     rng = np.random.default_rng(5)
     rows = []

@@ -66,15 +66,18 @@ def default_partitions(df: DataFrame, partitions: int | None) -> int:
     return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _requests(batches: Iterator[pd.DataFrame], groups: list[str], size_of: Callable[[tuple], int]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """(labels, rows) of each request. One may go on over the end of a batch of rows, so it does
-    not depend on how many rows Spark hands over at once."""
+def _requests(batches: Iterator[pd.DataFrame], groups: list[str], sent: str,
+              size_of: Callable[[tuple], int]) -> Iterator[tuple[tuple, list, object, pd.DataFrame, int]]:
+    """(labels, texts, lane, rows, first) of each request: its rows are ``rows`` from ``first`` on. One
+    may go on over the end of a batch of rows, so it does not depend on how many rows Spark hands
+    over at once. Columns are read once a batch: a request of one text costs no work on frames."""
     rest = None
     for more in itertools.chain(batches, [None]):
         rows = more if rest is None else rest if more is None else pd.concat([rest, more], ignore_index=True)
         if rows is None:
             return
         labels = list(zip(*[rows[g].tolist() for g in groups])) if groups else [()] * len(rows)
+        texts, lanes = rows[sent].tolist(), rows["__lane"].tolist() if "__lane" in rows else [0] * len(rows)
         at = 0
         while at < len(rows):
             end, size = at + 1, size_of(labels[at])
@@ -82,15 +85,18 @@ def _requests(batches: Iterator[pd.DataFrame], groups: list[str], size_of: Calla
                 end += 1
             if end == len(rows) and end - at < size and more is not None:
                 break
-            yield labels[at], rows.iloc[at:end]
+            yield labels[at], texts[at:end], lanes[at], rows, at
             at = end
         rest = rows.iloc[at:].reset_index(drop=True)
 
 
 def call_stage(src: DataFrame, sent: str, groups: list[str], engines: Engine | dict[str, Engine],
-               partitions: int | None) -> DataFrame:
+               partitions: int | None, spread: bool = True) -> DataFrame:
     """Run the model over ``sent``; a request never mixes values of ``groups``. With several
-    ``engines`` the first of these names a row's engine; an unknown one is an error."""
+    ``engines`` the first of these names a row's engine; an unknown one is an error.
+
+    ``spread=False`` leaves rows in the tasks where they are, unless an engine has a gap: for rows
+    that a shuffle has just dealt out, whose texts need not move again."""
     named = engines if isinstance(engines, dict) else {None: engines}
     policies = {name: e.policy for name, e in named.items()}
     n = default_partitions(src, partitions)
@@ -103,36 +109,42 @@ def call_stage(src: DataFrame, sent: str, groups: list[str], engines: Engine | d
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         paces: dict[tuple, Pace] = {}
 
-        def ask(job: tuple[tuple, pd.DataFrame]) -> pd.DataFrame:
-            labels, rows = job
-            engine, pace = named[engine_of(labels)], paces[engine_of(labels), rows["__lane"].iat[0]]
-            out = rows[carried].copy()
-            out["translated"], out["status"], out["attempts"] = ask_batch(
-                engine.fn, engine.policy, rows[sent].tolist(), labels[-1] if groups else None, pace=pace)
-            return out
+        def ask(job: tuple) -> tuple:
+            labels, texts, lane, rows, first = job
+            engine, pace = named[engine_of(labels)], paces[engine_of(labels), lane]
+            return rows, first, ask_batch(
+                engine.fn, engine.policy, texts, labels[-1] if groups else None, pace=pace)
 
         def opened(jobs: Iterator[tuple]) -> Iterator[tuple]:
-            for labels, rows in jobs:
-                name, lane = engine_of(labels), rows["__lane"].iat[0]
+            for job in jobs:
+                name, lane = engine_of(job[0]), job[2]
                 if (name, lane) not in paces:
                     paces[name, lane] = Pace(policies[name], lane, plan[name][1])
-                yield labels, rows
+                yield job
+
+        def made(rows: pd.DataFrame, first: int, columns: tuple[list, list, list]) -> pd.DataFrame:
+            out = rows[carried].iloc[first:first + len(columns[0])].copy()
+            out["translated"], out["status"], out["attempts"] = columns
+            return out
 
-        jobs = opened(_requests(batches, groups, lambda labels: named[engine_of(labels)].batch_size))
-        done, rows = [], 0
+        jobs = opened(_requests(batches, groups, sent, lambda labels: named[engine_of(labels)].batch_size))
+        frame, begin, done = None, 0, ([], [], [])
         for name, own in itertools.groupby(jobs, key=lambda job: engine_of(job[0])):
-            for out in in_order(own, ask, policies[name].in_flight):
-                done.append(out)
-                rows += len(out)
-                if rows >= 2000:
-                    yield pd.concat(done, ignore_index=True)
-                    done, rows = [], 0
-        if done:
-            yield pd.concat(done, ignore_index=True)
+            for rows, first, answers in in_order(own, ask, policies[name].in_flight):
+                if rows is not frame or len(done[0]) >= 2000:  # requests of one frame follow each other
+                    if done[0]:
+                        yield made(frame, begin, done)
+                    frame, begin, done = rows, first, ([], [], [])
+                for column, values in zip(done, answers):
+                    column += values
+        if done[0]:
+            yield made(frame, begin, done)
 
     schema = src.select(*carried).schema.add("translated", "string").add("status", "string").add("attempts", "integer")
+    placed = src
+    if spread or partitions or any(p.gap for p in policies.values()):
+        placed = in_lanes(src, F.xxhash64(*groups, sent), policies, n, groups[0] if isinstance(engines, dict) else None)
     # sorted, so that a retried task forms the same batches again
-    placed = in_lanes(src, F.xxhash64(*groups, sent), policies, n, groups[0] if isinstance(engines, dict) else None)
     return placed.sortWithinPartitions(*groups, sent).mapInPandas(run, schema)
 
 
@@ -155,35 +167,42 @@ def unmasked(answer: str, text_col: str, where: Column | bool = True, prefix: st
 def translate_segments(
     segs: DataFrame, fn: Callable[[list[str]], list[str]], policy: RetryPolicy | None = None,
     batch_size: int = 25, partitions: int | None = None, mask: bool = False,
-    text_col: str = "text", keep: list[str] | None = None,
+    text_col: str = "text", keep: list[str] | None = None, spread: bool = True,
 ) -> DataFrame:
     """``(text, translated, status, attempts)`` of distinct segments, one language, one engine.
 
     ``fn`` maps a list of texts to a list of equal length. Status is ``ok``, ``kept`` (the
     call failed) or ``misaligned``; in the last two the original stands in. ``keep`` names
-    further columns of ``segs`` to carry through.
+    further columns of ``segs`` to carry through. ``spread=False`` is for ``segs`` that a shuffle
+    has dealt out, see :func:`call_stage`.
     """
     engine = Engine(lambda texts, _: fn(texts), batch_size, policy or RetryPolicy())
     src = segs.select(text_col, *(keep or []))
     if mask:
         src = src.withColumn("__sent", masked(text_col))
-    called = call_stage(src, "__sent" if mask else text_col, [], engine, partitions)
+    called = call_stage(src, "__sent" if mask else text_col, [], engine, partitions, spread)
     return called.withColumn("translated", unmasked("translated", text_col)) if mask else called
 
 
 def translate_by_engine(
     segs: DataFrame, engines: dict[str, Engine], engine_col: str = "llm_provider",
     language_col: str = "target_language", text_col: str = "text", partitions: int | None = None,
+    spread: bool = True,
 ) -> DataFrame:
     """The same for distinct (engine, language, text): every request goes to the engine its
     rows name, with that engine's batch size, retries, pace and masking."""
     src = segs.select(engine_col, language_col, text_col)
-    hidden = F.col(engine_col).isin([name for name, e in engines.items() if e.mask])
-    as_glyphs = F.col(engine_col).isin([name for name, e in engines.items() if e.symbols])
-    src = src.withColumn("__plain", F.when(as_glyphs, map_symbols(text_col)).otherwise(F.col(text_col)))
-    called = call_stage(src.withColumn("__sent", masked("__plain", hidden)), "__sent", [engine_col, language_col],
-                        engines, partitions)
-    restored = F.when(F.col("status") == "ok", unmasked("translated", "__plain", hidden)).otherwise(F.col(text_col))
+    masking, symbols = ([name for name, e in engines.items() if use(e)] for use in (lambda e: e.mask, lambda e: e.symbols))
+    plain, sent = text_col, text_col  # one copy of a text moves and is sorted, unless it is changed before it goes out
+    if symbols:
+        plain = sent = "__plain"
+        src = src.withColumn(plain, F.when(F.col(engine_col).isin(symbols), map_symbols(text_col)).otherwise(F.col(text_col)))
+    if masking:
+        sent, hidden = "__sent", F.col(engine_col).isin(masking)
+        src = src.withColumn(sent, masked(plain, hidden))
+    called = call_stage(src, sent, [engine_col, language_col], engines, partitions, spread)
+    answer = unmasked("translated", plain, hidden) if masking else F.col("translated")
+    restored = F.when(F.col("status") == "ok", answer).otherwise(F.col(text_col))
     return called.withColumn("translated", restored).drop("__plain")
 
 

@@ -256,9 +256,9 @@ def translate_chunks(
     if mask:
         called = called.withColumn("__answer", unmasked("__answer", "__source", html=True)).drop("__source")
     # white space and a code fence around the answer go before the body is cut out
-    body = extract_body(strip_code_fence("__answer", "plain"))
+    called = called.withColumn("__answer", strip_code_fence("__answer", "plain"))
     return called.withColumn(
-        html, F.when(F.col("status") == "ok", body).otherwise(F.col("__original"))
+        html, F.when(F.col("status") == "ok", extract_body("__answer")).otherwise(F.col("__original"))
     ).drop("__answer", "__original")
 
 
@@ -273,14 +273,18 @@ def translate_html(
     damaged goes to the front. Adds ``out``, ``status`` and ``attempts``; on an error the
     document stays as it is. ``engine.fn`` is called as ``fn([html], language)``.
     """
-    styled = mask_styles(html)
-    pictured = mask_images(styled["text"])
     one = replace(engine, batch_size=1)
-    called = call_stage(docs.withColumn("__sent", pictured["text"]), "__sent", [language], one, partitions)
-    answer = unmask_styles(
-        unmask_images(decode_entities("translated"), pictured["term_map"]), styled["term_map"])
-    done = F.when(F.col("status") == "ok", answer).otherwise(F.col(html))
-    return called.withColumn("translated", done).withColumnRenamed("translated", out)
+    hidden = docs.withColumn("__styled", mask_styles(html)["text"]).withColumn("__sent", mask_images("__styled")["text"])
+    called = call_stage(hidden.drop("__styled"), "__sent", [language], one, partitions)
+    # columns, not one expression: what is named more than once is computed once
+    read = (
+        called.withColumn("__styles", mask_styles(html))
+        .withColumn("__images", mask_images("__styles.text")["term_map"])
+        .withColumn("__answer", unmask_images(decode_entities("translated"), "__images"))
+        .withColumn("__answer", unmask_styles("__answer", "__styles.term_map"))
+    )
+    done = F.when(F.col("status") == "ok", F.col("__answer")).otherwise(F.col(html))
+    return read.withColumn("translated", done).drop("__styles", "__images", "__answer").withColumnRenamed("translated", out)
 
 
 def align_lines(batches: DataFrame, segments: str = "segments", response: str = "response",

@@ -21,8 +21,8 @@ def correction_entries(df: DataFrame) -> DataFrame:
 
 
 def append_corrections(entries: DataFrame, path: str) -> None:
-    """One JSON object on a line, UTF-8, appended."""
-    entries.write.mode("append").option("ignoreNullFields", "false").json(path)
+    """One JSON object on a line, UTF-8, appended; compressed, as an entry holds its text three times."""
+    entries.write.mode("append").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:

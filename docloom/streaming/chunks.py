@@ -299,7 +299,7 @@ def done_events(documents: DataFrame, originals: DataFrame) -> DataFrame:
 
 def write_corrections(entries: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append correction entries as they come."""
-    writer = entries.writeStream.format("json").outputMode("append").option("path", path)
+    writer = entries.writeStream.format("json").outputMode("append").option("compression", "gzip").option("path", path)
     return _started(writer, checkpoint, trigger)
 
 

@@ -103,24 +103,34 @@ def read_memory(spark: SparkSession, path: str, on: list[str] | None = None) ->
     return table.groupBy(*on).agg(F.min(F.struct(*rest)).alias("__r")).select(*on, "__r.*")
 
 
-def write_memory(translations: DataFrame, path: str, on: list[str] | None = None) -> DataFrame:
+def write_memory(translations: DataFrame, path: str, on: list[str] | None = None, new: bool = False) -> DataFrame:
     """Append finished translations whose key is not stored yet; the memory, read back.
 
     A model call costs money and a lost executor would repeat it for every reader; readers
     of the table never do. Failed segments are left out, so they stay pending. ``on`` is the
     key and should hold the language wherever a memory serves several. Pass the
-    translations of :func:`pending_segments`, so that nothing known is translated again.
+    translations of :func:`pending_segments`, so that nothing known is translated again; with
+    ``new`` they are taken to be those, each key once and none stored, and no text moves to be
+    compared again.
     """
     on = on or ["text"]
     spark = translations.sparkSession
-    new = translations.where(F.col("status") == "ok").dropDuplicates(on)
-    if stored(spark, path):
-        new = new.join(spark.read.parquet(path).select(*on), on, "left_anti")
-    new.write.mode("append").parquet(path)
+    rows, first = translations.where(F.col("status") == "ok"), not _exists(spark, path)
+    if not new:
+        rows = rows.dropDuplicates(on)
+        if stored(spark, path):
+            rows = rows.join(spark.read.parquet(path).select(*on), on, "left_anti")
+    rows.write.mode("append").option("compression", "zstd").parquet(path)
+    if first:  # what one writer has just written has each key once
+        return spark.read.schema(rows.schema).parquet(path)
     return read_memory(spark, path, on)
 
 
 def stored(spark: SparkSession, path: str) -> bool:
     """Whether a memory has been written there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return _exists(spark, f"{path}/_SUCCESS")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -34,11 +34,12 @@ def translate_corpus(spark, sf_dir):
     rows = segment.paragraphs(documents(spark, sf_dir).select("doc_id", "text"))
     uses = segment.distinct_segments(rows.where(F.col("text").isNotNull()))
     counted = uses.select("text", "uses")
-    counted.withColumn("seg_key", segment_key("text")).write.parquet(path := work_dir(spark, "corpus-uses"))
-    keyed_uses = spark.read.parquet(path)  # counted once, for the calls and for the frequent lines
-    done = translate_segments(keyed_uses, prefix_hindi, keep=["seg_key"])
+    counted.write.option("compression", "zstd").parquet(path := work_dir(spark, "corpus-uses"))
+    # counted once, for the calls and for the frequent lines
+    keyed_uses = spark.read.parquet(path).withColumn("seg_key", segment_key("text"))
+    done = translate_segments(keyed_uses, prefix_hindi, keep=["seg_key"], spread=False)
     translations = memory.write_memory(
-        done.select("seg_key", "translated", "status"), work_dir(spark, "corpus-memory"), ["seg_key"])
+        done.select("seg_key", "translated", "status"), work_dir(spark, "corpus-memory"), ["seg_key"], new=True)
     hot = memory.hot_keys(keyed_uses, ["seg_key"])
     keyed = rows.select("doc_id", "seg_no", segment_key("text").alias("seg_key"), "blank")
     placed = memory.apply_memory(keyed, translations, ["seg_key"], hot=hot)
@@ -218,9 +219,9 @@ def reuse_memory(spark, sf_dir):
     for name, part in (("first", uses.where("lang = 'en'")), ("second", uses), ("third", uses)):
         rows = part if name == "first" else memory.pending_segments(part, memory.read_memory(spark, path, key), key)
         rows = rows.withColumn("llm_provider", F.lit(name))
-        done = translate_by_engine(rows, {name: engine(name)}, language_col="lang").drop("llm_provider")
-        memory.write_memory(done, path, key)
-    spark.read.parquet(path).write.mode("append").parquet(path)  # another writer adds what is there
+        done = translate_by_engine(rows, {name: engine(name)}, language_col="lang", spread=False).drop("llm_provider")
+        memory.write_memory(done, path, key, new=True)
+    spark.read.parquet(path).write.mode("append").option("compression", "zstd").parquet(path)  # another writer adds what is there
     return memory.read_memory(spark, path, key).select(*key, "translated")
 
 

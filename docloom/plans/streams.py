@@ -111,8 +111,9 @@ def partial_preview(spark, sf_dir):
 def stream_translate(spark, sf_dir):
     """All lines as a stream over a memory: a line that an earlier trigger brought is not asked for again."""
     source, out, known = (work_dir(spark, n) for n in ("documents-input", "stream-translated", "stream-memory"))
-    documents(spark, sf_dir).select("doc_id", "text").repartition(4, "doc_id").write.parquet(source)
-    docs = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 2).parquet(source)
+    documents(spark, sf_dir).select("doc_id", "text").write.option("compression", "zstd").parquet(source)
+    half = max(1, len(spark.read.parquet(source).inputFiles()) // 2)
+    docs = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", half).parquet(source)
     S.run_to_end(write_translations(segment.segments(docs), prefix_hindi, known, out, work_dir(spark, "stream-translate-checkpoint")))
     return spark.read.parquet(out).drop("batch_id")
 

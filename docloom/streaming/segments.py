@@ -30,10 +30,10 @@ def write_translations(segs: DataFrame, fn: Callable[[list[str]], list[str]], me
         todo = uses
         if memory.stored(spark, memory_path):
             todo = memory.pending_segments(uses, memory.read_memory(spark, memory_path, [text]), [text])
-        done = translate_segments(todo, fn, policy, batch_size, mask=mask, text_col=text)
-        known = memory.write_memory(done.select(text, "translated", "status"), memory_path, [text])
+        done = translate_segments(todo, fn, policy, batch_size, mask=mask, text_col=text, spread=False)
+        known = memory.write_memory(done.select(text, "translated", "status"), memory_path, [text], new=True)
         placed = memory.apply_translations(batch, known.select(text, "translated"), [text], text)
-        placed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        placed.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch_id={batch_id}")
 
     return segs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

@@ -24,6 +24,9 @@ from docloom.operators.policy import Pace, RetryPolicy, ask_batch, in_order
 from docloom.operators.routing import language_name
 
 
+CHUNKS_HELD = 256
+
+
 @dataclass(frozen=True)
 class Engine:
     """A translator: ``fn(texts, language)`` returns as many texts as it is given."""
@@ -222,9 +225,10 @@ def translate_chunks(
     source unless the policy has a gap.
     """
     policy = policy or RetryPolicy()
-    whole = original if original is not None else extract_body(html)
-    src = chunks.withColumn("__sent", masked(html, html=True) if mask else F.col(html)).withColumn("__original", whole)
-    src = src.withColumnRenamed(html, "__source") if mask else src.drop(html)
+    # one copy of a chunk goes through Python, two where it is masked: its body is cut out after the call
+    src = chunks.withColumn("__sent", masked(html, html=True)) if mask else chunks
+    src = src if original is None else src.withColumn("__original", original)
+    src, sent = src.withColumnRenamed(html, "__source"), "__sent" if mask else "__source"
     names = [f.name for f in src.schema.fields if f.name != "__sent"]
 
     def one(texts: list[str], *extra) -> list[str]:
@@ -244,22 +248,25 @@ def translate_chunks(
             own = pdf["__lane"].tolist() if paced else [0] * len(pdf)
             paces |= {k: Pace(policy, k, lanes) for k in set(own) - set(paces)}
             extra = pdf[[language]].values.tolist() if language else [[]] * len(pdf)
-            done = list(in_order(zip(pdf["__sent"].tolist(), own, extra), ask, policy.in_flight))
-            out = pdf[names].copy()
-            out["__answer"], out["status"], out["attempts"] = ([d[k][0] for d in done] for k in range(3))
-            yield out
+            answers = in_order(zip(pdf[sent].tolist(), own, extra), ask, policy.in_flight)
+            for at in range(0, len(pdf), CHUNKS_HELD):  # answers go as they come, they do not wait for the batch
+                out = pdf[names].iloc[at:at + CHUNKS_HELD].copy()
+                done = list(itertools.islice(answers, len(out)))
+                out["__answer"], out["status"], out["attempts"] = ([d[k][0] for d in done] for k in range(3))
+                yield out
 
     schema = src.select(*names).schema.add("__answer", "string").add("status", "string").add("attempts", "integer")
     if paced:
         src = in_lanes(src, F.xxhash64(*keys), {None: policy}, n)
     called = src.mapInPandas(run, schema)
     if mask:
-        called = called.withColumn("__answer", unmasked("__answer", "__source", html=True)).drop("__source")
+        called = called.withColumn("__answer", unmasked("__answer", "__source", html=True))
     # white space and a code fence around the answer go before the body is cut out
     called = called.withColumn("__answer", strip_code_fence("__answer", "plain"))
+    whole = F.col("__original") if original is not None else extract_body("__source")
     return called.withColumn(
-        html, F.when(F.col("status") == "ok", extract_body("__answer")).otherwise(F.col("__original"))
-    ).drop("__answer", "__original")
+        html, F.when(F.col("status") == "ok", extract_body("__answer")).otherwise(whole)
+    ).drop("__answer", "__original", "__source")
 
 
 def translate_html(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from docloom.session import work_dir
 
 TOKEN = r"__R?(?:TERM|BRACKET)_[0-9]+A?__|\[\[[^\n]*?\]\]|(?:STYLE|IMG)_PLACEHOLDER_[0-9]+"
 NUMBER = r"[0-9]+(?:[.,/:\-][0-9]+)*%?"
-WORD = r"[\p{L}\p{M}]+"
+WORD = r"[\p{L}\p{M}]++"
 LATIN_WORD = r"(?<![\p{L}\p{M}])\p{IsLatin}+(?![\p{L}\p{M}])"
 
 
@@ -26,7 +27,9 @@ def is_missed(original: str, translated: str, threshold: float = 0.5,
     """True where a segment still reads as the source language: it did not change, or more
     than ``threshold`` of its words are Latin. Tags, tokens, protected terms and numbers
     do not count as words."""
-    aside = f"<[^>]*>|{TOKEN}|{terms_pattern(terms)}|{NUMBER}"
+    # a look at the character rejects most positions at once
+    heads = "".join(sorted({re.escape(t[0]) for t in (fixed.PROTECTED_TERMS if terms is None else terms)}))
+    aside = rf"(?=[<_\[SI0-9{heads}])(?:<[^>]*>|{TOKEN}|{terms_pattern(terms)}|{NUMBER})"
     bare = F.regexp_replace(F.col(translated), aside, " ")
 
     def judge(b: Column) -> Column:

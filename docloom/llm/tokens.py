@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from docloom.llm.common import table
 from docloom.session import work_dir
 
-MAGIC, END_ID, SHARD_TOKENS, CACHED_WORDS = b"WAVELET1", 0, 1 << 21, 1 << 20
-BLOCK_BITS, SLICE_BYTES = 1 << 16, 1 << 23
+MAGIC, END_ID, SHARD_TOKENS = b"WAVELET1", 0, 1 << 21
+#: what a worker keeps between tasks, and works on at once: an executor holds several workers for as long as it lives
+CACHED_WORDS, CACHED_BYTES, SLICE_BYTES = 1 << 18, 1 << 24, 1 << 21
+BLOCK_BITS = 1 << 16
 
 #: a text with white space other than single spaces and line feeds between characters is not cut
 _UNCUT = r"\A | \z|  |\n | \n|[\x09\x0B-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -39,8 +41,8 @@ class WordEncoder:
     their space or line feeds) have equal ids wherever they stand. Arrow tells the words of
     many texts apart. New ones go to the tokenizer many at a time, as they stand in a text,
     and are parted by the ids that begin with a space, of which each word has one. Texts with
-    other white space go to it whole. About ``CACHED_WORDS`` words are kept at most, else
-    those of the last call.
+    other white space go to it whole. Up to ``CACHED_WORDS`` words are kept that take up to
+    ``CACHED_BYTES`` with their ids, else those of the last call, or none if these take more.
     """
 
     def __init__(self, path: str, dtype: str) -> None:
@@ -51,7 +53,8 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # a space in byte-level BPE
-        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.nothing = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.words, self.ids = self.nothing
         self.stops = pa.array(["", ".", ","], pa.large_string())
         self.stop_ids = pa.array(self._encode(self.stops.to_pylist()), pa.large_binary())
 
@@ -94,10 +97,9 @@ class WordEncoder:
         at[np.concatenate(order)] = len(self.ids) + np.arange(len(plain) + len(begun))
         known = pa.concat_arrays([self.ids, *learned])
         ids = known.take(pa.array(at))
-        if len(known) > CACHED_WORDS:
-            self.words, self.ids = cores.dictionary, ids
-        else:
-            self.words, self.ids = pa.concat_arrays([self.words, plain, begun]), known
+        for self.words, self.ids in ((pa.concat_arrays([self.words, plain, begun]), known), (cores.dictionary, ids), self.nothing):
+            if len(self.words) <= CACHED_WORDS and self.words.nbytes + self.ids.nbytes <= CACHED_BYTES:
+                break
         ends = self.stop_ids.take(pc.index_in(stops, value_set=self.stops))
         return pc.binary_join_element_wise(ids.take(cores.indices), ends, pa.scalar(b"", pa.large_binary()))
 

@@ -114,6 +114,28 @@ def test_slices_hold_every_row(monkeypatch):
             assert all(sum(sizes[i] for i in p[1:]) <= 100 for p in parts)
 
 
+def test_a_worker_keeps_and_holds_little_whatever_the_words():
+    """Words of any length are kept up to a number of bytes; a large batch is encoded in small slices."""
+    r, t, encoder = random.Random(5), Tokenizer.from_file(BPE), WordEncoder(BPE, "<u2")
+    long = [" ".join(f"w{k}{i}" + "x" * 100_000 for i in range(10)) for k in range(18)]  # 18 MB of words
+    for text in long:
+        encoder.encode([text])
+        assert encoder.words.nbytes + encoder.ids.nbytes <= 1 << 24
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(2000)]
+    texts = [" ".join(r.choices(words, k=300)) for _ in range(8000)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts))), "text": texts})
+    encoder, before = WordEncoder(BPE, "<u2"), pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(pool)
+    try:
+        got = [ids for rows in tokens._slices(batch) for ids in encoder.encode(rows.column(1))]
+    finally:
+        pa.set_memory_pool(before)
+    assert pool.max_memory() < 24 << 20
+    for k in range(0, len(texts), 500):
+        assert np.frombuffer(got[k], "<u2").tolist() == t.encode(texts[k], add_special_tokens=False).ids
+
+
 def expected_tokens(rows):
     t, start, out = Tokenizer.from_file(BPE), 0, []
     for i, text in rows:
